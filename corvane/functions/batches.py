@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import ship
+
 #: Output rows held before a batch is handed back to the JVM.
 OUT_ROWS = 2_000
 
@@ -19,6 +21,7 @@ def flat_map(df: DataFrame, columns: list[str | Column], make: Callable[[], Call
     Only `columns` cross to Python, so clashing or extra columns of df don't matter. `make` runs once in each task and returns the
     row function, which gets the values of `columns` in order.
     """
+    ship(df.sparkSession)
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)

@@ -1 +1,4 @@
-"""plans of the engine."""
+"""Registered queries over the given tables."""
+
+#: Modules with QUERIES and ORACLES, in the order they are registered.
+CATALOGUES = ["hierarchy"]
