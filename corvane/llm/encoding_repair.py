@@ -37,6 +37,9 @@ _SEQUENCES = (
 )
 # What such a span may say: letters and signs of the living scripts, not the rare blocks that natural text hits by chance.
 _PLAUSIBLE = re.compile("[\x80-ſƒȘ-țˆ˜Ά-ώЁЄ-ЇА-яё-џҐґא-תء-ي‐-⁄€№™←-⇿∀-⋿─-╿、-ヿ一-鿿️﻿�！-～\U0001f300-\U0001faff]+")
+# Letters and signs of the large European languages; of pages that explain as much, the one that gives these is taken.
+_COMMON = re.compile("[\xa0-¿àâäæçèéêëîïôöùûüÿßœáíñóúãõąćęłńśźżšžřýěůőűåøÀÂÄÇÈÉÊËÎÏÔÖÙÛÜŒÁÍÑÓÚÃÕĄĆĘŁŃŚŹŻа-яА-ЯёЁ‐-”„…€™→─-╿]+")
+_INNER_CAPITAL = re.compile("(?<=[a-zà-öø-ÿа-яё])[A-ZÀ-ÖØ-ÞА-ЯЁ]")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _LOST = re.compile("[^\\W\\d_]�|�[^\\W\\d_]|��")
 
@@ -92,13 +95,17 @@ class Repairer:
         """The text with all wrongly decoded multibyte spans restored, the pages found, the number of spans."""
         used, n = [], 0
         for _ in range(MAX_LAYERS):
-            best: tuple[int, str, list] | None = None
+            best: tuple[tuple[int, int], str, list] | None = None
             for page in self.pages:
                 spans = page.spans(text)
-                # The page that explains most characters; the earlier of equals. Sequences of two letters that natural text may
-                # hold by chance (a capital before a quote) don't reach this: their decoded form isn't plausible.
-                gain = sum(e - s for s, e, _ in spans)
-                if spans and (best is None or gain > best[0]):
+                # The page that explains most characters, then the one that gives common letters and puts fewer capitals
+                # within words, then the earlier.
+                # What natural text holds by chance doesn't reach this: its decoded form isn't plausible.
+                if not spans:
+                    continue
+                odd = sum((not _COMMON.fullmatch(good)) + len(_INNER_CAPITAL.findall(text[s - 1 : s] + good)) for s, _, good in spans)
+                gain = (sum(e - s for s, e, _ in spans), -odd)
+                if best is None or gain > best[0]:
                     best = (gain, page.name, spans)
             if best is None:
                 break
