@@ -29,7 +29,10 @@ from ..session import cut
 
 #: Rows of each label the forest is trained on at most (chosen by hash, so the same at every run).
 MAX_TRAINING = 6_000
-TREES, DEPTH, SEED = 24, 7, 7
+#: Files without a sign train as hand-written only if fewer of their lines look alike; the others may be unlabelled finds.
+RELIABLE_SHAPE = 0.85
+#: LEAF rows at least in a leaf, so that a tree cannot learn a single unlabelled file by heart.
+TREES, DEPTH, LEAF, SEED = 24, 7, 8, 7
 #: A text counts as a library copy in this many repositories, from this many lines.
 COPY_REPOS, COPY_LINES = 3, 10
 
@@ -185,7 +188,7 @@ def _trained(rows: DataFrame):
     """The forest, or None where one of the two labels is missing. Positive: a notice or a short banner; negative: no sign at all."""
     code = rows.where("has_text and (path is null or not path rlike '\\\\.(json|ya?ml|toml|md|lock)$')")
     labelled = code.select(
-        "id", "f", F.when(F.arrays_overlap("said", F.array(F.lit("notice"), F.lit("library banner"))), 1.0).when((F.size("said") == 0) & F.col("checked").isNull(), 0.0).alias("label")
+        "id", "f", F.when(F.arrays_overlap("said", F.array(F.lit("notice"), F.lit("library banner"))), 1.0).when((F.size("said") == 0) & F.col("checked").isNull() & (F.col("f")[FEATURES.index("top_shape")] < RELIABLE_SHAPE), 0.0).alias("label")
     ).where("label is not null")
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -194,10 +197,10 @@ def _trained(rows: DataFrame):
     rate = F.when(F.col("label") == 1.0, MAX_TRAINING / counts[1.0]).otherwise(MAX_TRAINING / counts[0.0])
     sample = labelled.where(share < rate).withColumn("weight", F.when(F.col("label") == 1.0, min(MAX_TRAINING, counts[0.0]) / min(MAX_TRAINING, counts[1.0]) / 3).otherwise(1.0))
     sample = sample.select(array_to_vector("f").alias("v"), "label", "weight").coalesce(4)
-    return RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.7).fit(sample)
+    return RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, seed=SEED, subsamplingRate=0.7).fit(sample)
 
 
-def not_handwritten(files: DataFrame, id_col: str = "file_id", threshold: float = 0.5, **columns: str) -> DataFrame:
+def not_handwritten(files: DataFrame, id_col: str = "file_id", threshold: float = 0.75, **columns: str) -> DataFrame:
     """id, reasons and the forest's probability of each file that wasn't written by hand."""
     rows = cut(judged(files, id_col, **columns))
     copies = rows.where("digest is not null").groupBy("digest").agg(F.approx_count_distinct("repo", 0.01).alias("near"), F.count("*").alias("n")).where(f"n >= {COPY_REPOS}")

@@ -57,13 +57,13 @@ def hand_written(i):
 
 def test_handwritten(spark):
     made = lambda i: "\n".join(f"export const a{i}_{j} = {i * 7 + j * 13};" for j in range(40))
-    rows = [(f"h{i}", "r1", f"src/h{i}.py", hand_written(i)) for i in range(40)]
-    rows += [(f"g{i}", "r1", f"src/g{i}.js", "// Code generated by x. DO NOT EDIT.\n" + made(i)) for i in range(20)] + [("silent", "r1", "src/s.js", made(99))]
-    rows += [(f"c{i}", f"r{i % 3}", f"lib/c{i}.py", ("\r\n" if i else "\n").join(hand_written(77).split("\n"))) for i in range(3)] + [("two1", "r1", "a.py", hand_written(78)), ("two2", "r2", "a.py", hand_written(78))]
+    rows = [(f"h{i}", "r1", f"src/h{i}.py", hand_written(i)) for i in range(120)]
+    rows += [(f"g{i}", "r1", f"src/g{i}.js", "// Code generated by x. DO NOT EDIT.\n" + made(i)) for i in range(80)] + [("silent", "r1", "src/s.js", made(99))]
+    rows += [(f"c{i}", f"r{i % 3}", f"lib/c{i}.py", ("\r\n" if i else "\n").join(hand_written(777).split("\n"))) for i in range(3)] + [("two1", "r1", "a.py", hand_written(778)), ("two2", "r2", "a.py", hand_written(778))]
     rows += [("null", None, None, None), ("empty", "r1", "a.py", ""), ("lock", "r1", "a/pnpm-lock.yaml", None), ("h0", "r1", "src/h0.py", hand_written(0)), (None, "r1", "x_pb2.py", "x")]
     df = spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], FILES)
     got = {r.file_id: r.reasons for r in handwritten.not_handwritten(df).collect()}
-    assert {f"g{i}" for i in range(20)} | {"silent", "c0", "c1", "c2", "lock"} == set(got)
+    assert {f"g{i}" for i in range(80)} | {"silent", "c0", "c1", "c2", "lock"} == set(got)
     assert "written by a tool" in got["silent"] and "copied" in got["c0"]
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
