@@ -24,10 +24,9 @@ RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 60, 0.7, 0.3
 BLOCK_QUERIES = 2_000
 
 
-def postings(docs: DataFrame, scope: str, key: str, tokens: Column) -> DataFrame:
-    """scope, key, term, tf and the document's length dl. The length travels with the terms, so no join is needed later."""
-    base = docs.select(scope, key, tokens.alias("tokens")).where(F.size("tokens") > 0).withColumn("dl", F.size("tokens"))
-    return base.select(scope, key, "dl", F.explode("tokens").alias("term")).groupBy(scope, key, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+def document_frequencies(docs: DataFrame, scope: str, tokens: Column) -> DataFrame:
+    """scope, term, df. Each document's terms are made distinct in its row, so that partial counts are all that is shuffled."""
+    return docs.select(scope, F.explode(F.array_distinct(tokens)).alias("term")).groupBy(scope, "term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(docs: DataFrame, scope: str, tokens: Column) -> DataFrame:
@@ -35,9 +34,8 @@ def corpus_stats(docs: DataFrame, scope: str, tokens: Column) -> DataFrame:
     return docs.groupBy(scope).agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean_dl"))
 
 
-def term_stats(posts: DataFrame, stats: DataFrame, scope: str) -> DataFrame:
+def term_stats(df: DataFrame, stats: DataFrame, scope: str) -> DataFrame:
     """df and idf of each term; a negative idf becomes EPSILON of the scope's mean idf."""
-    df = posts.groupBy(scope, "term").agg(F.count("*").alias("df"))
     raw = df.join(stats, scope).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.groupBy(scope).agg(F.avg("raw").alias("mean_idf"))
     return raw.join(mean, scope).select(scope, "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -45,11 +43,13 @@ def term_stats(posts: DataFrame, stats: DataFrame, scope: str) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, scope: str, key: str, tokens: Column, top: int, min_score: float = LEAST_SCORE) -> DataFrame:
     """query_id, scope, key, score, rank: the best documents for each query. queries: query_id, scope and terms (array<string>); a repeated
-    term counts as often. Only postings of asked terms meet the queries; the hot scopes are spread by term."""
-    posts = cut(postings(docs, scope, key, tokens))
-    stats = corpus_stats(docs, scope, tokens)
+    term counts as often. Only postings of asked terms are shuffled and meet the queries; hot scopes are spread by term."""
+    base = cut(docs.select(scope, key, tokens.alias("tokens")))
+    stats = corpus_stats(base, scope, F.col("tokens"))
     asked = queries.select("query_id", scope, F.explode("terms").alias("term")).groupBy("query_id", scope, "term").agg(F.count("*").alias("times"))
-    weights = term_stats(posts, stats, scope).join(asked.select(scope, "term").distinct(), [scope, "term"], "left_semi")
+    terms = asked.select(scope, "term").distinct()
+    weights = term_stats(document_frequencies(base, scope, F.col("tokens")), stats, scope).join(terms, [scope, "term"], "left_semi")
+    posts = base.select(scope, key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, [scope, "term"], "left_semi").groupBy(scope, key, "dl", "term").agg(F.count("*").alias("tf"))
     scored = (
         posts.join(weights, [scope, "term"])
         .join(stats, scope)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import lenses, retrieval
-from ..session import table
+from ..session import cut, table
 
 #: Terms of the keyword query asked of every repository.
 ASKED = ["restore", "token", "cache", "token"]
@@ -26,9 +26,9 @@ def tokenize_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency and weight of every term of every repository."""
-    docs = _indexed(spark, sf)
-    posts = retrieval.postings(docs, "repo_id", "chunk_id", F.col("tokens"))
-    out = retrieval.term_stats(posts, retrieval.corpus_stats(docs, "repo_id", F.col("tokens")), "repo_id")
+    docs = cut(_indexed(spark, sf))
+    frequencies = retrieval.document_frequencies(docs, "repo_id", F.col("tokens"))
+    out = retrieval.term_stats(frequencies, retrieval.corpus_stats(docs, "repo_id", F.col("tokens")), "repo_id")
     return out.select("repo_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
