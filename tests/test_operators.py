@@ -169,3 +169,12 @@ def test_streams_drop_repeats(spark, tmp_path):
     df.write.parquet(str(tmp_path / "ask_pairs.parquet"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "ask_pairs.parquet"))
     assert [tuple(r) for r in jobs.run(jobs.daily_usage(stream), "complete").collect()] == [("2025-01-01", "p", 2, 5)]
+
+
+def test_hashed_vectors(spark):
+    from corvane.operators import vectors
+
+    df = spark.createDataFrame([(1, "open the cache"), (2, "open the cache"), (3, None), (4, "")], "id long, x string")
+    got = {r.id: r.vector for r in vectors.hashed_vectors(df, "id", "x", 16).collect()}
+    assert got[1] == got[2] and sum(v * v for v in got[1]) == pytest.approx(1, abs=1e-5)
+    assert got[3] == got[4] == [0.0] * 16
