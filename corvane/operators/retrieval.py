@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import ship
 
 # The usual parameters of Okapi BM25 and the least score that counts.
 K1, B, EPSILON, LEAST_SCORE = 1.5, 0.75, 0.25, 0.01
@@ -43,8 +43,8 @@ def term_stats(df: DataFrame, stats: DataFrame, scope: str) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, scope: str, key: str, tokens: Column, top: int, min_score: float = LEAST_SCORE) -> DataFrame:
     """query_id, scope, key, score, rank: the best documents for each query. queries: query_id, scope and terms (array<string>); a repeated
-    term counts as often. Only postings of asked terms are shuffled and meet the queries; hot scopes are spread by term."""
-    base = cut(docs.select(scope, key, tokens.alias("tokens")))
+    term counts as often. docs is read three times, so let it be a written table or a checkpoint. Only postings of asked terms are shuffled and meet the queries; hot scopes are spread by term."""
+    base = docs.select(scope, key, tokens.alias("tokens"))
     stats = corpus_stats(base, scope, F.col("tokens"))
     asked = queries.select("query_id", scope, F.explode("terms").alias("term")).groupBy("query_id", scope, "term").agg(F.count("*").alias("times"))
     terms = asked.select(scope, "term").distinct()

@@ -33,7 +33,7 @@ def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _indexed(spark, sf)
+    docs = cut(_indexed(spark, sf))
     queries = table(spark, sf, "repositories").select("repo_id", F.lit(1).alias("query_id"), F.array(*map(F.lit, ASKED)).alias("terms"))
     return retrieval.bm25(docs, queries, "repo_id", "chunk_id", F.col("tokens"), TOP).select("repo_id", "chunk_id", "score", "rank")
 
@@ -58,7 +58,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf)
+    docs = cut(_documents(spark, sf))
     vectors = retrieval.nearest(table(spark, sf, "embeddings"), _asked(spark, sf), "vec_id", "embedding", CANDIDATES, skip_self=False)
     asked = docs.join(_asked(spark, sf).select("vec_id"), "vec_id", "left_semi")
     queries = asked.select(F.col("vec_id").alias("query_id"), "corpus", F.slice("tokens", 1, QUERY_TERMS).alias("terms"))
