@@ -30,7 +30,7 @@ def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
     tree = _tree(spark, sf)
     classes = latest_classes(table(spark, sf, "class_hierarchy")).select(F.col("chunk_id").alias("node"), "class_name", "mro_list")
     first = F.try_element_at("mro_list", F.lit(1)) == F.col("class_name")
-    return tree.join(classes, "node").select(F.col("scope").alias("repo_id"), F.col("node").alias("chunk_id"), "path", "depth", "root", "on_cycle", F.coalesce(first, F.lit(False)).alias("mro_starts_here"))
+    return tree.join(classes, "node").select(F.col("scope").alias("repo_id"), F.col("node").alias("chunk_id"), F.array_join("path", ">").alias("path"), "depth", "root", "on_cycle", F.coalesce(first, F.lit(False)).alias("mro_starts_here"))
 
 
 def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,6 +49,18 @@ links AS (
 ), reach AS (
   SELECT child AS a, parent AS b FROM links UNION SELECT reach.a, links.parent FROM reach JOIN links ON reach.b = links.child
 )"""
+_TREE = rf"""{_LINKS}, cyc AS (SELECT DISTINCT a FROM reach WHERE a = b), placed AS (
+  SELECT DISTINCT r.chunk_id AS child, c.chunk_id AS parent, r.position
+  FROM base_class_refs r JOIN class_hierarchy c ON c.repo_id = r.repo_id
+   AND c.class_name = regexp_extract(regexp_replace(regexp_replace(r.name, '\s+', '', 'g'), '[\[<(].*$', ''), '([^.:/$\\]+)$', 1)
+), up AS (SELECT child, arg_min(parent, {{'p': position, 'q': parent}}) AS parent FROM placed WHERE child NOT IN (SELECT a FROM cyc) GROUP BY 1),
+classes AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY extracted_at DESC) AS rn FROM class_hierarchy) WHERE rn = 1),
+tree AS (SELECT chunk_id AS id, chunk_id AS root, chunk_id AS path, 0 AS depth FROM classes WHERE chunk_id NOT IN (SELECT child FROM up)
+  UNION ALL SELECT u.child, t.root, t.path || '>' || u.child, t.depth + 1 FROM tree t JOIN up u ON u.parent = t.id)"""
 ORACLES = {
+    "p1_paths": f"""WITH RECURSIVE {_TREE} SELECT c.repo_id, t.id AS chunk_id, t.path, t.depth::INT AS depth, t.root, t.id IN (SELECT a FROM cyc) AS on_cycle, coalesce(c.mro_list[1] = c.class_name, false) AS mro_starts_here
+FROM tree t JOIN classes c ON c.chunk_id = t.id""",
+    "p1_descendants": f"""WITH RECURSIVE {_TREE}, walk AS (SELECT parent AS ancestor, child AS descendant, 1 AS steps FROM up UNION ALL SELECT w.ancestor, u.child, w.steps + 1 FROM walk w JOIN up u ON u.parent = w.descendant)
+SELECT c.repo_id, ancestor, descendant, steps::INT AS steps FROM walk JOIN classes c ON c.chunk_id = walk.descendant""",
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT min(y.b) AS cycle_id, x.a AS chunk_id FROM reach x JOIN reach y ON y.a = x.a JOIN reach z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a",
 }
