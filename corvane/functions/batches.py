@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..session import ship
 
-#: Output rows held before a batch is handed back to the JVM.
+#: Output rows handed back to the JVM at once.
 OUT_ROWS = 2_000
 
 
@@ -35,8 +35,10 @@ def flat_map(df: DataFrame, columns: list[str | Column], make: Callable[[], Call
                 if len(out) >= OUT_ROWS:
                     yield _batch(out, arrow)
                     out = []
-        if out:
-            yield _batch(out, arrow)
+            # Spark bounds the bytes of what comes in; nothing that was made of it is held beyond its batch.
+            if out:
+                yield _batch(out, arrow)
+                out = []
 
     return df.select(*columns).mapInArrow(run, schema)
 
