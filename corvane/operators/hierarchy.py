@@ -252,3 +252,18 @@ def descendants(tree: DataFrame) -> DataFrame:
     """scope, ancestor, descendant and the steps between them, from paths()."""
     pairs = tree.select("scope", F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("level", "ancestor"))
     return pairs.where("ancestor <> descendant").select("scope", "ancestor", "descendant", (F.col("depth") - F.col("level")).alias("steps"))
+
+
+def all_descendants(links: DataFrame, scope: str = "scope", child: str = "child", parent: str = "parent") -> DataFrame:
+    """scope, ancestor, descendant and the least steps between them, over every parent of a node. Nodes on a cycle are below each other; no
+    node is below itself. The reach doubles each round: a pair more than `reach` steps apart has a node exactly `reach` steps below its ancestor."""
+    edges = links.select(F.col(scope).alias("scope"), F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).where("ancestor is not null and descendant is not null and ancestor <> descendant").distinct()
+    pairs = front = cut(edges.withColumn("steps", F.lit(1)))
+    reach = 1
+    while not front.isEmpty():
+        left = front.where(F.col("steps") == reach).select("scope", "ancestor", F.col("descendant").alias("mid"))
+        right = pairs.select("scope", F.col("ancestor").alias("mid"), "descendant", "steps")
+        met = left.join(right, ["scope", "mid"]).where("ancestor <> descendant").groupBy("scope", "ancestor", "descendant").agg((F.min("steps") + reach).alias("steps"))
+        front = cut(met.join(pairs, ["scope", "ancestor", "descendant"], "left_anti"))
+        pairs, reach = pairs.unionByName(front), 2 * reach
+    return pairs

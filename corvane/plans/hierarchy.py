@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.class_links import base_links, latest_classes
-from ..operators.hierarchy import cycles, descendants, paths
+from ..operators.hierarchy import all_descendants, cycles, descendants, paths
 from ..session import cut, table
 
 
@@ -34,11 +34,16 @@ def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """Every class with each class below it."""
+    """Every class with each class below it by first resolved bases, as its SQL says; p1_all_descendants follows every base."""
     return descendants(_tree(spark, sf)).select(F.col("scope").alias("repo_id"), "ancestor", "descendant", "steps")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants)}
+def p1_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every class with each class below it, whatever the position of the base, and the least steps between them."""
+    return all_descendants(_links(spark, sf)).select(F.col("scope").alias("repo_id"), "ancestor", "descendant", "steps")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants)}
 
 _LINKS = r"""
 links AS (

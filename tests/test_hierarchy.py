@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from corvane.operators import class_links
-from corvane.operators.hierarchy import components, cycles, descendants, paths
+from corvane.operators.hierarchy import all_descendants, components, cycles, descendants, paths
 
 LINKS = "scope string, child string, parent string"
 
@@ -83,3 +83,37 @@ def test_links_resolve_within_a_repository_and_ignore_extra_columns(spark):
     classes = spark.createDataFrame([("c1", "r1", "A", "x"), ("c2", "r1", "B", "x"), ("c3", "r2", "A", "x"), ("c2", "r1", "B", "x")], "chunk_id string, repo_id string, class_name string, parent string")
     refs = spark.createDataFrame([("c2", "r1", "m.A", 0), ("c2", "r1", "m.A", 0), ("c2", "r1", "object", 1), ("c2", None, "A", 2)], "chunk_id string, repo_id string, name string, position int")
     assert [(r.scope, r.child, r.parent) for r in class_links.base_links(classes, refs).collect()] == [("r1", "c2", "c1")]
+
+
+def brute_below(links):
+    out = defaultdict(set)
+    for s, c, p in links:
+        if c and p:
+            out[s, p].add(c)
+    pairs = set()
+    for s, top in list(out):
+        seen, level, steps = {top}, {top}, 0
+        while level:
+            level, steps = {y for x in level for y in out.get((s, x), ())} - seen, steps + 1
+            seen |= level
+            pairs |= {(s, top, y, steps) for y in level}
+    return pairs
+
+
+def test_all_descendants_follow_every_parent(spark):
+    chain = [("s9", f"c{i + 1:02}", f"c{i:02}") for i in range(21)]
+    links = [*random_links(1), *chain, ("s8", "d", "a"), ("s8", "d", "b"), ("s8", "e", "d"), ("s8", "d", "a"), ("s8", "a", "a"), ("s8", None, "a"), ("s8", "e", None)]
+    got = [tuple(r) for r in all_descendants(spark.createDataFrame(links, LINKS)).select("scope", "ancestor", "descendant", "steps").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_below([x for x in links if x[1] != x[2]])
+    assert {("s8", "b", "e", 2), ("s8", "a", "e", 2), ("s9", "c00", "c21", 21)} <= set(got)
+
+
+def test_registered_descendants_take_bases_of_all_positions(spark, tmp_path):
+    from corvane.plans.hierarchy import QUERIES
+
+    classes = [(x, "r", x.upper(), "f", False, False, [x.upper()], 1) for x in "abcd"]
+    spark.createDataFrame(classes, "chunk_id string, repo_id string, class_name string, file_path string, is_abstract boolean, is_mixin boolean, mro_list array<string>, extracted_at long").write.parquet(f"{tmp_path}/class_hierarchy.parquet")
+    refs = [("c", "r", "A", 0), ("c", "r", "B", 1), ("d", "r", "C", 0)]
+    spark.createDataFrame(refs, "chunk_id string, repo_id string, name string, position int").write.parquet(f"{tmp_path}/base_class_refs.parquet")
+    rows = {(r.ancestor, r.descendant, r.steps) for r in QUERIES["p1_all_descendants"](spark, str(tmp_path)).collect()}
+    assert rows == {("a", "c", 1), ("b", "c", 1), ("c", "d", 1), ("a", "d", 2), ("b", "d", 2)}
