@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Tokens of a text that the SQL of the search queries counts.
 MAX_TOKENS = 512
 # Characters per token by file extension, and for other text.
 CHARS_PER_TOKEN = {"py": 3.5, "js": 3.8, "ts": 3.8, "go": 3.8, "java": 3.8, "rs": 3.8, "cpp": 3.8, "c": 3.8, "rb": 3.8, "php": 3.8}
@@ -24,11 +25,13 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def code_tokens(text: Column, limit: int = MAX_TOKENS) -> Column:
-    """Lower-case parts of identifiers and words of two or more ASCII characters; an empty array for a null text."""
+def code_tokens(text: Column, limit: int | None = None) -> Column:
+    """Lower-case parts of identifiers and words of two or more ASCII characters, all of them unless a limit is given; an empty array for a
+    null text."""
     spaced = F.regexp_replace(F.regexp_replace(text, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
     # Runs of two or more; whole-string functions are far cheaper here than a lambda for each token.
-    runs = F.array_join(F.slice(F.regexp_extract_all(spaced, F.lit("[a-zA-Z0-9]{2,}"), F.lit(0)), 1, limit), " ")
+    words = F.regexp_extract_all(spaced, F.lit("[a-zA-Z0-9]{2,}"), F.lit(0))
+    runs = F.array_join(words if limit is None else F.slice(words, 1, limit), " ")
     return F.when(runs != "", F.split(F.lower(runs), " ")).otherwise(F.array().cast("array<string>"))
 
 

@@ -1,8 +1,11 @@
-"""Queries of keyword, vector and hybrid search, with their metrics."""
+"""Queries of keyword, vector and hybrid search, with their metrics.
+
+The SQL of the keyword queries counts the first 512 tokens of a text, and that of hybrid_search asks with the first 8 of a document; those
+queries keep to it. The queries named whole_... take every token."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -11,33 +14,58 @@ from ..session import cut, table
 
 #: Terms of the keyword query asked of every repository.
 ASKED = ["restore", "token", "cache", "token"]
-#: Tokens of a document that stand for its question, and results of each side.
+#: Tokens of a document that stand for its question in hybrid_search, and results of each side.
 QUERY_TERMS, CANDIDATES, TOP = 8, 20, 10
 
 
-def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+def _indexed(spark: SparkSession, sf: str, limit: int | None = t.MAX_TOKENS) -> DataFrame:
     c = lenses.chunks(spark, sf, "repo_id", "name", "docstring", "content")
-    return c.select("repo_id", "chunk_id", t.code_tokens(t.index_text(F.col("name"), F.col("docstring"), F.col("content"))).alias("tokens"))
+    return c.select("repo_id", "chunk_id", t.code_tokens(t.index_text(F.col("name"), F.col("docstring"), F.col("content")), limit).alias("tokens"))
 
 
-def tokenize_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return _indexed(spark, sf).select("chunk_id", F.size("tokens").alias("n_tokens"), F.array_join(F.slice("tokens", 1, 10), " ").alias("head"))
+def _token_heads(indexed: DataFrame) -> DataFrame:
+    return indexed.select("chunk_id", F.size("tokens").alias("n_tokens"), F.array_join(F.slice("tokens", 1, 10), " ").alias("head"))
 
 
-def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Document frequency and weight of every term of every repository."""
-    docs = cut(_indexed(spark, sf))
+def _terms(indexed: DataFrame) -> DataFrame:
+    docs = cut(indexed)
     frequencies = retrieval.document_frequencies(docs, "repo_id", F.col("tokens"))
     out = retrieval.term_stats(frequencies, retrieval.corpus_stats(docs, "repo_id", F.col("tokens")), "repo_id")
     return out.select("repo_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
-def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    docs = cut(_indexed(spark, sf))
+def _search(spark: SparkSession, sf: str, indexed: DataFrame) -> DataFrame:
+    docs = cut(indexed)
     queries = table(spark, sf, "repositories").select("repo_id", F.lit(1).alias("query_id"), F.array(*map(F.lit, ASKED)).alias("terms"))
     return retrieval.bm25(docs, queries, "repo_id", "chunk_id", F.col("tokens"), TOP).select("repo_id", "chunk_id", "score", "rank")
 
 
+def tokenize_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _token_heads(_indexed(spark, sf))
+
+
+def whole_tokenize_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _token_heads(_indexed(spark, sf, None))
+
+
+def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequency and weight of every term of every repository, over the first tokens of each chunk."""
+    return _terms(_indexed(spark, sf))
+
+
+def whole_bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequency and weight of every term of every repository."""
+    return _terms(_indexed(spark, sf, None))
+
+
+def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _search(spark, sf, _indexed(spark, sf))
+
+
+def whole_bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _search(spark, sf, _indexed(spark, sf, None))
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where("vec_id % 100 = 0")
 
@@ -53,22 +81,28 @@ def semantic_cache(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "vec_id", "score", (F.col("score") >= 0.5).alias("hit"))
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.lit(0).alias("corpus"), F.col("doc_id").alias("vec_id"), t.code_tokens(F.col("text")).alias("tokens"))
+def _documents(spark: SparkSession, sf: str, limit: int | None) -> DataFrame:
+    return table(spark, sf, "documents").select(F.lit(0).alias("corpus"), F.col("doc_id").alias("vec_id"), t.code_tokens(F.col("text"), limit).alias("tokens"))
 
 
-def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    docs = cut(_documents(spark, sf))
+def _hybrid(spark: SparkSession, sf: str, limit: int | None, terms: Column) -> DataFrame:
+    docs = cut(_documents(spark, sf, limit))
     vectors = retrieval.nearest(table(spark, sf, "embeddings"), _asked(spark, sf), "vec_id", "embedding", CANDIDATES, skip_self=False)
     asked = docs.join(_asked(spark, sf).select("vec_id"), "vec_id", "left_semi")
-    queries = asked.select(F.col("vec_id").alias("query_id"), "corpus", F.slice("tokens", 1, QUERY_TERMS).alias("terms"))
+    queries = asked.select(F.col("vec_id").alias("query_id"), "corpus", terms.alias("terms"))
     words = retrieval.bm25(docs, queries, "corpus", "vec_id", F.col("tokens"), CANDIDATES)
-    return retrieval.fuse(vectors, words, "vec_id", TOP)
+    fused = retrieval.fuse(vectors, words, "vec_id", TOP)
+    return fused.select("query_id", F.col("vec_id").alias("doc_id"), "vector_rank", "keyword_rank", "score", "rank")
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Vector and keyword search over the documents, fused."""
-    return _hybrid(spark, sf).select("query_id", F.col("vec_id").alias("doc_id"), "vector_rank", "keyword_rank", "score", "rank")
+    """Vector and keyword search over the documents, fused. Asked with the first tokens of each query document."""
+    return _hybrid(spark, sf, t.MAX_TOKENS, F.slice("tokens", 1, QUERY_TERMS))
+
+
+def whole_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Vector and keyword search over the documents, fused. Asked with every token of each query document."""
+    return _hybrid(spark, sf, None, F.col("tokens"))
 
 
 def retrieval_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +113,10 @@ def retrieval_quality(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.retrieval_metrics(judged, _asked(spark, sf).select(F.col("vec_id").alias("query_id")))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_chunks, bm25_terms, bm25_search, vector_search, semantic_cache, hybrid_search, retrieval_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (tokenize_chunks, bm25_terms, bm25_search, vector_search, semantic_cache, hybrid_search, retrieval_quality, whole_tokenize_chunks, whole_bm25_terms, whole_bm25_search, whole_hybrid_search)
+}
 
 
 def _tokens(text: str) -> str:

@@ -178,3 +178,22 @@ def test_hashed_vectors(spark):
     got = {r.id: r.vector for r in vectors.hashed_vectors(df, "id", "x", 16).collect()}
     assert got[1] == got[2] and sum(v * v for v in got[1]) == pytest.approx(1, abs=1e-5)
     assert got[3] == got[4] == [0.0] * 16
+
+
+def test_tokens_and_whole_queries_take_the_whole_text(spark, tmp_path):
+    from corvane.plans.retrieval import QUERIES
+
+    text = "filler " * 600 + "needle"
+    assert one(spark, text, t.code_tokens) == ["filler"] * 600 + ["needle"]
+    chunks = [("c1", "r", "one", "", text, 1), ("c2", "r", "two", "", "other words", 1), ("c3", "r", "three", "", "others", 1)]
+    spark.createDataFrame(chunks, "chunk_id string, repo_id string, name string, docstring string, content string, created_at long").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    assert ("needle", 1) in {(r.term, r.df) for r in QUERIES["whole_bm25_terms"](spark, str(tmp_path)).collect()}
+    assert {r.chunk_id: r.n_tokens for r in QUERIES["whole_tokenize_chunks"](spark, str(tmp_path)).collect()} == {"c1": 604, "c2": 5, "c3": 4}
+    spark.createDataFrame([("r",)], "repo_id string").write.parquet(f"{tmp_path}/repositories.parquet")
+    spark.createDataFrame([("c9", "r", "nine", "", "filler " * 600 + "restore", 1)], "chunk_id string, repo_id string, name string, docstring string, content string, created_at long").write.mode("append").parquet(f"{tmp_path}/code_chunks.parquet")
+    assert [r.chunk_id for r in QUERIES["whole_bm25_search"](spark, str(tmp_path)).collect()] == ["c9"]
+    # The document asked with and document 1 share only words far behind.
+    docs = [(100, "head " * 600 + "needle"), (1, "tail " * 600 + "needle"), (2, "nothing"), (3, "nothing"), (4, "nothing")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.doc_id for r in QUERIES["whole_hybrid_search"](spark, str(tmp_path)).where("keyword_rank is not null").collect()} == {100, 1}
