@@ -1,10 +1,8 @@
 """Source files that are not valid in the language of their extension.
 
-A file is cut into chunks. Each chunk becomes a map from lexer state to (state after it, bracket summary, first fault): what it means
-depends on where the file's comments and strings stand when it begins. These maps combine associatively, so the chunks of a large file are
-read wherever they lie and reduced by key; a file in one chunk needs no reduction. Inside a chunk the masked text (no comments, no string
-bodies) is parsed by local grammars: which tokens may stand side by side, what a keyword must be followed by, what a top-level declaration
-starts with. Python, JSON, TOML and YAML have grammars that need their whole text and are parsed whole when they fit in one chunk.
+A file is read whole, whatever its size: a lexer masks comments and string bodies, brackets are summed up, and the masked text is parsed by
+local grammars: which tokens may stand side by side, what a keyword must be followed by, what a top-level declaration starts with. Python,
+JSON, TOML and YAML are parsed by grammars of their own. Large files are spread over the tasks; each must fit in one.
 
 Null and empty contents, Markdown and unknown extensions never count. Files scanned again give one row. Blank contents are valid.
 """
@@ -17,16 +15,15 @@ import re
 import tomllib
 import warnings
 from collections.abc import Callable, Iterable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import flat_map
 from .yaml_lines import yaml_fault
 
-#: Characters of a chunk. Files up to this size are parsed whole; beyond, chunks are reduced.
+#: Files of more characters are spread over the tasks, as several may lie together in the table.
 CHUNK_CHARS = 1 << 20
 
 EXTENSIONS = {
@@ -41,19 +38,17 @@ _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7}) \S|^={7}\r?$", re.M)
 #: A masked string, and a masked regular expression.
 S = "\x01"
 
-_COMMON = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
+# No construct takes memory for each of its characters: they may be as long as the file.
+_COMMON = r"//[^\n]*|/\*[\s\S]*?\*/"
 _QUOTED = r'"(?:[^"\\\n]|\\[^\n]|\\\n)*"|\'(?:[^\'\\\n]|\\[^\n]|\\\n)*\''
-_TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*`"
+_TEMPLATE = r"`(?:[^`\\]++|\\[\s\S])*+`"
 _REGEX = r"(?<=[(,=:\[!&|?{};+\-*%~^>\n ])/(?![/*\s])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*(?=\s*[.,;)\]}\n]|\s*$)"
 _LEX = {
     "javascript": re.compile(f"{_COMMON}|{_QUOTED}|{_TEMPLATE}|{_REGEX}"),
     "typescript": re.compile(f"{_COMMON}|{_QUOTED}|{_TEMPLATE}|{_REGEX}"),
-    "java": re.compile(rf'{_COMMON}|"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_QUOTED}'),
+    "java": re.compile(rf'{_COMMON}|"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""|{_QUOTED}'),
     "go": re.compile(rf"{_COMMON}|{_QUOTED}|`[^`]*`"),
 }
-#: States in which a chunk may begin, with what ends them.
-STATES = {"code": None, "comment": re.compile(r"\*/"), "template": re.compile(r"(?<!\\)`"), "text": re.compile(r'"""')}
-_OPENS = {"/*": "comment", "`": "template", '"""': "text"}
 _LEFT = re.compile(r'/\*|"""|["\'`]')
 
 
@@ -278,9 +273,9 @@ _JAVA_WORDS = set(
 )
 
 
-def _go(masked: str, first: bool) -> str | None:
+def _go(masked: str) -> str | None:
     lines = [x for x in masked.split("\n") if x.strip()]
-    if first and lines and not re.match(r"package[ \t]+[A-Za-z_]\w*[ \t\r]*(?:;|$)", lines[0].strip()):
+    if lines and not re.match(r"package[ \t]+[A-Za-z_]\w*[ \t\r]*(?:;|$)", lines[0].strip()):
         return "no package clause"
     if m := _GO_FAULTS.search(masked):
         return f"misplaced {m.group().strip()[:20]!r}"
@@ -336,53 +331,33 @@ def _top_level_go(masked: str) -> bool:
     return True
 
 
-# --- chunks -------------------------------------------------------------------------------------------------------------------------
+# --- files --------------------------------------------------------------------------------------------------------------------------
 
 
-class Piece:
-    """What a chunk is, seen from one lexer state: the state after it, brackets left over, the first fault."""
-
-    def __init__(self, end: str, brackets: tuple[str, str] | None, fault: str | None):
-        self.end, self.brackets, self.fault = end, brackets, fault
-
-
-def read_chunk(text: str, language: str, state: str, first: bool, last: bool) -> Piece:
-    if state != "code":
-        m = STATES[state].search(text)
-        if not m:
-            return Piece(state, ("", ""), None)
-        text = S + text[m.end() :]
+def _read(text: str, language: str) -> str | None:
     masked = _LEX[language].sub(_mask, text)
-    end = "code"
-    if m := _LEFT.search(masked):
-        if last or m.group() in "\"'":
-            return Piece("code", ("", ""), "unterminated string or comment")
-        end, masked = _OPENS[m.group()], masked[: m.start()]
+    if _LEFT.search(masked):
+        return "unterminated string or comment"
     brackets = summary(masked)
     if brackets is None:
-        return Piece(end, None, "brackets don't match")
-    if not last:
-        # A statement cut by the chunk's end is no fault; what follows the last line end isn't judged.
-        masked = masked[: masked.rfind("\n") + 1]
-    if not first:
-        masked = masked[masked.find("\n") + 1 :]
-    if first and last and brackets != ("", ""):
-        return Piece(end, brackets, "brackets left open" if brackets[1] else "bracket too many")
-    return Piece(end, brackets, _grammar(masked, language, first, last))
-
-
-def _grammar(masked: str, language: str, first: bool, last: bool) -> str | None:
+        return "brackets don't match"
+    if brackets != ("", ""):
+        return "brackets left open" if brackets[1] else "bracket too many"
+    return _grammar(masked, language)
+
+
+def _grammar(masked: str, language: str) -> str | None:
     if "\r" in masked:
         masked = masked.replace("\r\n", "\n")
     if language == "go":
-        return _go(masked, first) or (None if not (first and last) or _top_level_go(masked.lstrip()) else "no declaration")
+        return _go(masked) or (None if _top_level_go(masked.lstrip()) else "no declaration")
     if language == "java":
         masked = _ANNOTATION.sub("", masked)
         if fault := _curly(masked, language):
             return fault
-        return None if not (first and last) or _top_level(masked, _JAVA_TOP) else "no declaration"
+        return None if _top_level(masked, _JAVA_TOP) else "no declaration"
     fault = _curly(masked, language)
-    if not fault and last and re.search(r"(?:[=+*/%&|^,.?:(\[{]|[-<]|\b(?:function|class|const|let|var|new|import|export|default|typeof|throw|else|extends|async\s+function\s+\w+|function\s+[\w$]+|class\s+[\w$]+|import\s+[\w${}*, ]+|from))\s*$", masked[-200:]):
+    if not fault and re.search(r"(?:[=+*/%&|^,.?:(\[{]|[-<]|\b(?:function|class|const|let|var|new|import|export|default|typeof|throw|else|extends|async\s+function\s+\w+|function\s+[\w$]+|class\s+[\w$]+|import\s+[\w${}*, ]+|from))\s*$", masked[-200:]):
         fault = "statement without end"
     return fault
 
@@ -415,7 +390,7 @@ def fault_of(text: str, language: str) -> str | None:
     if language in _LEX:
         if _CONFLICT.search(text) and not _inside_template(text, language):
             return "merge conflict"
-        return read_chunk(text.removeprefix("﻿"), language, "code", True, True).fault
+        return _read(text.removeprefix("﻿"), language)
     return _whole(text.removeprefix("﻿") if language != "json" else text, language)
 
 
@@ -437,9 +412,7 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", path_col: str = "re
     """id, language and fault of each file that isn't valid; files scanned again give one row."""
     kind = files.schema[id_col].dataType.simpleString()
     judged = with_language(files.where(F.col(content_col).isNotNull() & (F.length(content_col) > 0)).select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(content_col).alias("content")), "path").where("syntax_language is not null")
-    whole_only = [v for v in set(EXTENSIONS.values()) if v not in _LEX]
-    small = judged.where((F.length("content") <= chunk_chars) | F.col("syntax_language").isin(whole_only))
-    large = judged.where((F.length("content") > chunk_chars) & ~F.col("syntax_language").isin(whole_only))
+    small, large = judged.where(F.length("content") <= chunk_chars), judged.where(F.length("content") > chunk_chars)
 
     def make() -> Callable:
         def row(key, language, content) -> Iterable[tuple]:
@@ -449,42 +422,8 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", path_col: str = "re
         return row
 
     out = f"{id_col} {kind}, language string, fault string"
-    one = flat_map(small, ["id", "syntax_language", "content"], make, out)
-    return one.unionByName(_reduced(large, id_col, out, chunk_chars)).dropDuplicates([id_col])
-
-
-def _reduced(large: DataFrame, id_col: str, out: str, chunk_chars: int) -> DataFrame:
-    """Files of several chunks: maps from lexer state to summary by chunk, reduced in order by file."""
-    kind = large.schema["id"].dataType.simpleString()
-    n = F.ceil(F.length("content") / F.lit(chunk_chars)).cast("int")
-    chunks = large.dropDuplicates(["id"]).select("id", "syntax_language", F.col("content"), n.alias("n")).select(
-        "id", "syntax_language", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("content"), i * chunk_chars + 1, F.lit(chunk_chars)))).alias("i", "text")
-    )
-
-    def make() -> Callable:
-        def row(key, language, n, i, text) -> Iterable[tuple]:
-            out = []
-            for state in STATES if i else ["code"]:
-                p = read_chunk(text, language, state, i == 0, i == n - 1)
-                out.append((key, language, n, i, state, p.end, p.brackets is not None, *(p.brackets or ("", "")), p.fault))
-            return out
-
-        return row
-
-    maps = flat_map(chunks, ["id", "syntax_language", "n", "i", "text"], make, f"id {kind}, language string, n int, i int, state string, end string, sound boolean, shut string, open string, fault string")
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {(r.i, r.state): r for r in pdf.itertuples()}
-        state, brackets, fault = "code", ("", ""), None
-        for i in range(int(pdf.n.iloc[0])):
-            r = by[i, state]
-            fault = fault or r.fault
-            brackets = join_summaries(brackets, (r.shut, r.open) if r.sound else None)
-            state = r.end
-        fault = fault or ("brackets don't match" if brackets is None else "brackets left open" if brackets != ("", "") else "unterminated string or comment" if state != "code" else None)
-        return pd.DataFrame([(pdf.id.iloc[0], pdf.language.iloc[0], fault)] if fault else [], columns=[id_col, "language", "fault"])
-
-    return maps.groupBy("id").applyInPandas(reduce, out)
+    spread = [small, large.repartition("id")]
+    return reduce(DataFrame.unionByName, (flat_map(x, ["id", "syntax_language", "content"], make, out) for x in spread)).dropDuplicates([id_col])
 
 
 def invalid_rates(files: DataFrame, repo_col: str = "repo_id", id_col: str = "file_id", **columns: str) -> DataFrame:

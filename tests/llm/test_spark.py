@@ -79,6 +79,16 @@ def test_syntax_whole_and_in_chunks(spark):
     assert syntax.invalid_files(df.limit(0)).count() == 0
 
 
+def test_syntax_of_large_files_is_that_of_small_ones(spark):
+    line = 'f("a\'b, http://x"); // it\'s "left\n'
+    conflict = line * 20 + "<<<<<<< main\n" + line + "=======\n" + line + ">>>>>>> topic\n" + line * 20
+    java = "package a;\n" + "class A {\n  // it's\n  int f() {\n    return 1;\n  }\n}\n" * 20
+    texts = {"strings.js": line * 40, "conflict.js": conflict, "side.js": line * 20 + "foo bar\n" + line * 20, "good.java": java, "loose.java": java + "int x;\n" + java[11:]}
+    df = spark.createDataFrame([(k, "r", k, v, "", "", "") for k, v in texts.items()], FILES)
+    for size in (syntax.CHUNK_CHARS, *range(90, 98)):
+        assert {r.file_id: r.fault for r in syntax.invalid_files(df, chunk_chars=size).collect()} == {"conflict.js": "merge conflict", "side.js": "operands side by side", "loose.java": "no declaration"}
+
+
 def documents(spark, rows):
     return spark.createDataFrame([(i, x, "clash") for i, x in rows], "doc_id long, text string, id string")
 
