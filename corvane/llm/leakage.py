@@ -37,6 +37,10 @@ LEAST_SHARED = 2
 BLOCK_ITEMS = 20_000
 #: Words between two hits that may belong to one passage.
 MAX_GAP = 12
+#: Words around the hits that may belong to one passage: MIN_WORDS and the edits allowed in them.
+MARGIN = MIN_WORDS + 4
+#: Words in some MIN_WORDS neighbouring words of the item that any passage shares with the document, however its edits lie.
+LEAST_AGREE = 14
 #: What an edit costs against a word that agrees.
 EDIT_COST = 3.0
 
@@ -138,20 +142,54 @@ def _extend(doc: list[int], item: list[int], seeds: list[tuple[int, int]], speci
     best = None
     for g in groups:
         q0, q1 = max(0, min(q for _, q in g) - MAX_GAP), min(len(item), max(q for _, q in g) + K + MAX_GAP)
-        if q1 - q0 < MIN_WORDS:
-            continue
         p0, p1 = max(0, g[0][0] - MAX_GAP), min(len(doc), g[-1][0] + K + MAX_GAP)
-        if len(specific.intersection(doc[p0:p1], item[q0:q1])) < LEAST_SHARED:
-            continue
-        got = _align(doc[p0:p1], item[q0:q1], specific)
+        got = None
+        if q1 - q0 >= MIN_WORDS and len(specific.intersection(doc[p0:p1], item[q0:q1])) >= LEAST_SHARED:
+            got = _align(doc[p0:p1], item[q0:q1], specific)
+        if not got:
+            # Edits near the start, or a head without hits.
+            q0, q1 = max(0, min(q for _, q in g) - MARGIN), min(len(item), max(q for _, q in g) + K + MARGIN)
+            p0, p1 = max(0, g[0][0] - MARGIN), min(len(doc), g[-1][0] + K + MARGIN)
+            if len(specific.intersection(doc[p0:p1], item[q0:q1])) >= LEAST_SHARED and _may_agree(doc[p0:p1], item[q0:q1]):
+                got = _align(doc[p0:p1], item[q0:q1], specific, heads=True)
         if got and (best is None or got[2] > best[2]):
             best = (p0 + got[0], p0 + got[1], *got[2:])
     return best
 
 
-def _align(a: list[int], b: list[int], specific: set[int]) -> tuple[int, int, int, int, float] | None:
-    """Local alignment of words: +1 for one that agrees, -EDIT_COST for one changed, added or missing. Of all alignments that cover at
-    least MIN_WORDS words of b at the allowed rates, the one that covers most."""
+def _may_agree(a: list[int], b: list[int]) -> bool:
+    held = set(a)
+    sums = [0]
+    for w in b:
+        sums.append(sums[-1] + (w in held))
+    return any(y - x >= LEAST_AGREE for x, y in zip(sums, sums[MIN_WORDS:]))
+
+
+def _heads(a: list[int], b: list[int], specific: set[int]) -> list[tuple[int, int, int, int]]:
+    """(words of a, words of b, edits, specific words that agreed) of the passages that end where a and b end and begin with a word that
+    agrees, by edit distance; at most MARGIN words of b."""
+    a, b = a[: -MARGIN - 5 : -1], b[: -MARGIN - 1 : -1]
+    found = []
+    above = [(j, 0) for j in range(len(b) + 1)]  # edits, and less the specific words that agreed
+    for i, word in enumerate(a, 1):
+        row = [(i, 0)]
+        for j, w in enumerate(b, 1):
+            if word == w:
+                e, k = above[j - 1]
+                row.append((e, k - (w in specific)))
+                found.append((i, j, e, (w in specific) - k))
+            else:
+                e, k = min(above[j - 1], above[j], row[j - 1])
+                row.append((e + 1, k))
+        above = row
+    return found
+
+
+def _align(a: list[int], b: list[int], specific: set[int], heads: bool = False) -> tuple[int, int, int, int, float] | None:
+    """Local alignment of words: +1 for one that agrees, -EDIT_COST for one changed, added or missing. Of the alignments found that cover at
+    least MIN_WORDS words of b at the allowed rates, the one that covers most. An alignment begins anew where its score falls to 0; with
+    `heads` the words before are joined to it again as far as the rates allow."""
+    known: dict[tuple[int, int], list] = {}
     n = len(b)
     special = [w in specific for w in b]
     seen = [0]  # specific words of b before each place
@@ -180,6 +218,14 @@ def _align(a: list[int], b: list[int], specific: set[int]) -> tuple[int, int, in
             covered = j - from_b
             if same and covered >= MIN_WORDS and (best is None or covered > best[2]) and e <= MAX_EDITS * covered and k >= MIN_SPECIFIC * (seen[j] - seen[from_b]):
                 best = (from_a, i, covered, e, e / covered)
+            if same and heads:
+                at = from_a, from_b
+                if at not in known:
+                    known[at] = _heads(a[:from_a], b[:from_b], specific)
+                for x, y, more, agreed in known[at]:
+                    total = covered + y
+                    if total >= MIN_WORDS and (best is None or total > best[2]) and e + more <= MAX_EDITS * total and k + agreed >= MIN_SPECIFIC * (seen[j] - seen[from_b - y]):
+                        best = (from_a - x, i, total, e + more, (e + more) / total)
         above = row
     return best
 

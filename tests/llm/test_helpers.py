@@ -92,6 +92,17 @@ def test_every_long_enough_shared_span_is_found():
         assert i in [f[0] for f in items.leaked(doc)]
 
 
+@pytest.mark.parametrize("edits", [[2], [1], [2, 17], [3, 10, 16], [1, 2]])
+@pytest.mark.parametrize("start", [0, 15, 40])
+def test_leaks_with_early_edits(edits, start):
+    items = leakage.Items([(i, passage(i, 60)) for i in range(20)])
+    words = passage(5, 60).split()[start : start + leakage.MIN_WORDS]
+    for at in edits:
+        words[at] = "changed"
+    found = items.leaked(" ".join(["before"] * 9 + words + ["after"] * 9))
+    assert [(f[0], f[1], f[2], f[3], f[4]) for f in found] == [(5, 9, 28, 20, len(edits))]
+
+
 # --- encodings ---
 
 SAMPLES = ["Nach dem Neustart wird die Größe über 5 Knoten verteilt, aber schön.", "Où est créée la méthode déjà prête ?", "São necessários 360 passos até a função", "Proszę nie zapomnieć odświeżyć danych", "Пожалуйста, не забудьте проверить данные"]
