@@ -89,9 +89,24 @@ def _plain(text: str) -> str:
     return re.sub(r"[^\w]+", " ", text.lower()).strip()
 
 
+def _hardly_copied(q: str, a: str) -> bool:
+    """Whether more than the allowed share of the answer stands in no match of the question: then the automaton needn't be built."""
+    allowed = (1 - ANSWER_COPIED) * len(a)
+    bare = covered = 0
+    for i in range(len(a) - MIN_MATCH + 1):
+        if a[i : i + MIN_MATCH] in q:
+            covered = i + MIN_MATCH
+        elif i >= covered:
+            bare += 1
+            if bare > allowed:
+                return True
+    return False
+
+
 def copied(question: str, answer: str) -> bool:
+    """Whether the answer only repeats the question, however often."""
     q, a = _plain(question), _plain(answer)
-    if not q or not a or len(a) > 1.6 * len(q) + 20:
+    if not q or not a or _hardly_copied(q, a):
         return False
     theirs, mine = SuffixAutomaton(q).coverage(a, MIN_MATCH)
     return theirs >= ANSWER_COPIED * len(a) and mine >= QUESTION_COVERED * len(q)
@@ -113,29 +128,72 @@ def empty(answer: str | None) -> bool:
 
 # --- refusal ------------------------------------------------------------------------------------------------------------------------
 
-# What a refusal says, in lower case with plain quotes.
-_REFUSALS = (
-    "i can't help", "i cannot help", "i can't assist", "i cannot assist", "i can't answer", "i cannot answer", "i can't provide", "i cannot provide", "i can't respond", "i cannot respond", "i can't discuss", "i cannot discuss",
-    "i can't comply", "i cannot comply", "i can't do that", "i cannot do that", "i can't look into", "i cannot look into", "i can't share", "i cannot share", "i can't fulfill", "i cannot fulfill",
-    "i am unable to", "i'm unable to", "i am not able to", "i'm not able to", "i won't be able to", "i will not be able to", "i must decline", "i have to decline", "i decline to", "i won't answer", "i will not answer", "i won't help", "i refuse to",
-    "as an ai", "as a language model", "against my guidelines", "i'm not allowed", "i am not allowed", "i'm not permitted", "i am not permitted", "i don't have access to", "not something i can", "i'd rather not", "i would rather not", "unable to assist", "unable to help", "unable to answer", "can't be of help", "cannot be of help",
-    "leider kann ich", "ich kann diese frage", "ich kann dabei nicht", "ich kann dir dabei nicht", "ich kann ihnen dabei nicht", "kann ich nicht beantworten", "nicht beantworten", "ich darf", "ich bin nicht in der lage", "tut mir leid", "es ist mir nicht möglich", "nicht weiterhelfen",
-    "je suis désolé", "je ne peux pas", "je ne suis pas en mesure", "je regrette", "désolé", "je dois décliner", "il m'est impossible",
-    "lo siento", "no puedo ayudar", "no puedo responder", "no me es posible", "no estoy en condiciones", "no puedo contestar", "lamento", "no tengo permitido",
-    "desculpe", "não posso ajudar", "não posso responder", "não consigo", "não me é possível", "lamento", "sinto muito", "infelizmente não posso",
-    "к сожалению, я не", "я не могу", "я не вправе", "извините", "не могу помочь", "не могу ответить", "простите, но", "я не имею права",
-    "przykro mi", "nie mogę", "niestety nie", "nie jestem w stanie",
-    "i can't see my way", "outside what i can", "beyond what i can",
+# Word classes of the refusal automaton: who speaks, what denies, what may be done or is allowed, what is said or given, verbs that decline,
+# where a limit is drawn, what is lacking.
+SELF, DENY, ABLE, SAY, DECLINE, LIMIT, LACK, ALLOW = (1 << i for i in range(8))
+# Stems of the eight languages; a stem with a star matches every word that begins with it.
+_STEMS = {
+    SELF: "m'* estoy tengo puedo debo niego quiero prefiero estou tenho posso devo consigo prefiro sou jestem mam muszę sono ho devo могу вынужден i im i'm ive i'd i'll me my myself ich mir mich mein* je j j'ai me m moi mon mes mes yo mi mí me puedo podemos eu mim meu meus minha minhas me posso я мне меня мной мои мой моих мы ja mnie mi mój moje moich mną mogę io me mi mio miei posso",
+    DENY: "not no cannot can't cant won't wont don't isn't wouldn't couldn't unable never nothing without nicht kein* nie nichts ohne ne n pas aucun* rien sans no ningun* ningún nunca nada sin não nao nenhum* nunca nada sem не нет никак* нельзя невозможно nie żaden żadn* nic non nessun* niente impossible unmöglich imposible impossível niemożliw* impossibile",
+    ABLE: "can cannot can't cant could couldn't able unable will won't would wouldn't let lets may possible something kann könnte* darf möglich lage imstande lässt möchte werde peux puis pourrai* mesure possible impossible veux saurais puedo podré podría posible imposible condiciones capaz deja dejan quiero pienso posso poderei poderia consigo possível impossível condições quero могу можем смогу возможно невозможно состоянии буду стану хочу вправе право mogę możemy możliwe stanie będę chcę posso potrò possibile grado voglio position impossible",
+    ALLOW: "allow* permit* authori* licensed befugt berechtigt erlaub* gestatte* autorisiert zulässig darf autorisé* permis permise permet* permett* droit autoriz* permit* допуст* разреш* позвол* имею вправе права upoważnion* wolno uprawnion* pozwal* autorizzat* permess* concesso",
+    SAY: "help assist assistance answer* respond* response reply discuss* talk* comment* provide* share say tell speak address advise elaborate disclose reveal comply fulfill fulfil that this look hilf* helfen weiterhelfen behilflich antwort* beantwort* auskunft sag* sprech* besprech* äußer* mitteil* eingehen diskutier* kommentier* stellung unterstütz* dienen aid* répon* aider parler dire discuter commenter fournir donner partager renseign* communiquer traiter ayud* respond* contest* hablar decir comentar discutir proporcionar compartir tratar ofrecer dar ajud* respond* falar dizer comentar discutir fornecer partilhar compartilhar tratar informar помо* ответ* отвеч* говорить сказать обсужда* обсудить комментир* предостав* рассказ* дать сообщ* pomóc pomoc odpowied* odpowiada* mówić powiedzieć omawia* omówić komentować udziel* podać aiut* rispond* parlare dire discutere commentare fornire",
+    DECLINE: "decline refuse refusing declining pass ablehn* verweiger* lehne décliner refuser refuse décline rechaz* declin* negarme niego recus* declin* отказ* отклон* вынужден* odmaw* odmówić rifiut* declin*",
+    LIMIT: "outside beyond scope guidelines policy policies instruct* rules restricted off-limits außerhalb richtlinien vorgaben regeln anweisung* rahmen hors dehors cadre consignes règles directives instructions fuera alcance normas instrucciones directrices fora âmbito normas instruções diretrizes regras вне пределами рамк* правил* инструкц* poza zakres* zasad* wytyczn* instrukcj* fuori ambito regole istruzioni",
+    LACK: "enough context information access knowledge insight basis genug kontext informationen zugriff zugang einblick grundlage assez contexte informations accès suficiente* contexto información acceso informações acesso достаточно контекст* информаци* доступ* wystarczając* kontekst* informacji dostępu abbastanza contesto informazioni accesso",
+}
+# What makes a sentence refuse, as sets of classes that must all have been read.
+_REFUSING = (SELF | DENY | ABLE | SAY, SELF | DENY | ALLOW, SELF | DENY | LACK | SAY, SELF | DECLINE, SELF | LIMIT | ALLOW, SELF | LIMIT | ABLE, SELF | LIMIT | DENY)
+# Idioms that refuse though they lack one of the classes, in lower case with plain quotes.
+_IDIOMS = (
+    "as an ai", "as a language model", "i'd rather not", "i would rather not", "unable to assist", "unable to help", "unable to answer", "can't be of help", "cannot be of help", "i don't have access to", "not something i can", "i can't see my way",
+    "tut mir leid", "je suis désolé", "je regrette", "lo siento", "lamento", "desculpe", "sinto muito", "к сожалению, я не", "извините", "простите, но", "przykro mi", "niestety nie",
 )
 
 
+class RefusalAutomaton:
+    """A deterministic automaton over words: a state is the set of classes read so far, a refusing state holds one of the sets above.
+    Transitions are made when they are first taken; there are at most 2**8 states and as many kinds of words."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.stems: list[dict[str, int]] = [{} for _ in range(16)]  # by length
+        for kind, text in _STEMS.items():
+            for w in text.split():
+                table = self.stems[len(w) - 1] if w.endswith("*") else self.words
+                w = w.rstrip("*")
+                table[w] = table.get(w, 0) | kind
+        self.refusing = [any(state & need == need for need in _REFUSING) for state in range(1 << 8)]
+        self.idioms = ahocorasick.Automaton()
+        for phrase in _IDIOMS:
+            self.idioms.add_word(phrase, phrase)
+        self.idioms.make_automaton()
+        self.known: dict[str, int] = {}
+
+    def kind(self, word: str) -> int:
+        if (k := self.known.get(word)) is None:
+            k = self.words.get(word, 0)
+            for n in range(2, min(len(word), 15) + 1):
+                k |= self.stems[n].get(word[:n], 0)
+            if len(self.known) < 100_000:
+                self.known[word] = k
+        return k
+
+    def refuses(self, sentence: str) -> bool:
+        state = 0
+        for w in _REFUSAL_WORD.findall(sentence):
+            state |= self.kind(w)
+            if w.endswith("n't"):
+                state |= DENY
+        return self.refusing[state] or any(True for _ in self.idioms.iter(sentence))
+
+
+_REFUSAL_WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+
+
 @lru_cache(maxsize=1)
-def _refusals() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for phrase in _REFUSALS:
-        a.add_word(phrase, phrase)
-    a.make_automaton()
-    return a
+def _refusals() -> RefusalAutomaton:
+    return RefusalAutomaton()
 
 
 # After one of these a refusing sentence goes on to answer.
@@ -152,7 +210,7 @@ def refused(answer: str) -> bool:
         if not words:
             continue
         low = sentence.lower()
-        if any(True for _ in _refusals().iter(low)) and not _GOES_ON.search(re.sub(r"(?i)^\W*(?:i'm |i am )?(?:so |very )?sorry,? but ", "", re.sub(r"(?i)désolé,? mais|lo siento,? pero|desculpe,? mas|извините,? но|leid,? aber", "", low))):
+        if _refusals().refuses(low) and not _GOES_ON.search(re.sub(r"(?i)^\W*(?:i'm |i am )?(?:so |very )?sorry,? but ", "", re.sub(r"(?i)désolé,? mais|lo siento,? pero|desculpe,? mas|извините,? но|leid,? aber", "", low))):
             refusing += words
         elif not _OFFER.search(low) and not re.fullmatch(r"\W*(?:sorry|unfortunately|leider|désolé|perdón)\W*", low):
             rest += words
@@ -190,6 +248,13 @@ _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\"[^\"\n]*\"|\b\w*[_/\\]\w[\w/\\
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=50_000)
+def _votes(word: str) -> tuple[str, ...]:
+    """The languages a word speaks for: as a stopword, and by the letters in it."""
+    marked = [lang for lang, marks in _MARKS.items() if any(m in word for m in marks)]
+    return (*(lang for lang, stop in _STOPWORDS.items() if word in stop), *marked)
+
+
 def language_of(text: str) -> tuple[str, float] | None:
     """The language with most votes and its lead over the next one; None if there are too few votes."""
     bare = _CODE.sub(" ", text)
@@ -199,12 +264,10 @@ def language_of(text: str) -> tuple[str, float] | None:
     cyrillic = sum("Ѐ" <= w[0] <= "ӿ" for w in words)
     if cyrillic >= 2 and cyrillic >= 0.4 * len(words):
         return "ru", float(cyrillic)
-    votes: Counter = Counter()
-    for lang, stop in _STOPWORDS.items():
-        n = sum(w in stop for w in words)
-        if lang in _MARKS:
-            n += sum(any(m in w for m in _MARKS[lang]) for w in words)
-        votes[lang] = n
+    votes: Counter = Counter(dict.fromkeys(_STOPWORDS, 0))
+    for w in words:
+        for lang in _votes(w):
+            votes[lang] += 1
     (first, n), (_, second) = votes.most_common(2)
     if n < 2 or n == second:
         return None
@@ -216,8 +279,8 @@ def wrong_language(question: str, answer: str) -> bool:
     got = language_of(answer)
     if not got:
         return False
-    if asked:
-        return got[0] not in asked and got[1] >= 2 and False
+    if got[0] in asked:
+        return False
     want = language_of(question)
     return want is not None and want[0] != got[0] and got[1] >= 2 and want[1] >= 1
 
