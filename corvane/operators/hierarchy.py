@@ -1,9 +1,12 @@
 """Parent-child links to full hierarchies: components, cycles, roots, depths, paths and descendants.
 
 Links are joined by weighted disjoint-set forests: every node keeps an offset to its component's root, one more than its parent's.
-Forests are built in blocks of bounded size (a scope, or a salted part of a large scope), and the forests of one scope are merged by
-hooking each root to its smallest neighbour and jumping pointers. A link that closes a loop whose offsets don't add up marks its component;
-a component without such a mark has a potential and hence no cycle, so only marked components are searched for cycles, exactly.
+Forests are built in blocks of some thousand links of one scope, whatever its size, and merged by a tree: the forests of FAN_IN neighbouring
+blocks become one, and only nodes that other blocks know as well go up, with their offsets to the roots. Where the nodes that blocks share
+are too many for one task, roots hook to their smallest neighbour and jump pointers instead; the result is the same.
+
+A link that closes a loop whose offsets don't add up is a conflict. The steps of a cycle add up to its length and never to 0, so every cycle
+has a conflict: a component without one is free of cycles, and in the others cycles are looked for above the conflicts only.
 
 Nodes on a cycle are cut from their parents; paths are then put together by parent traversal that doubles its reach each round.
 
@@ -21,33 +24,72 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 
-#: Links of one block, the most that a single task takes into memory.
-BLOCK_LINKS = 200_000
+#: Links of one block, forests merged at once, and links between shared nodes that a merge takes into one task at most.
+BLOCK_LINKS, FAN_IN, MERGE_LINKS = 4_096, 8, 200_000
+#: Links of a component that is searched for cycles in one task; larger ones are searched by all tasks together.
+COMPONENT_LINKS = 100_000
 
 
-def components(links: DataFrame, scope: str = "scope", child: str = "child", parent: str = "parent", block_links: int = BLOCK_LINKS) -> DataFrame:
-    """scope, node, root (the smallest node of its component), off (offset to the root), loop (whether the component is marked)."""
-    ship(links.sparkSession)
-    edges = links.select(F.col(scope).alias("scope"), F.col(child).alias("u"), F.col(parent).alias("v"), F.lit(1).alias("w")).where("u is not null and v is not null").distinct()
-    edges = cut(edges)
+def _forests(edges: DataFrame, block_links: int) -> DataFrame:
+    """The forest of each block: scope, block, blocks, node, root, off, and the conflicts found (conflict: node and root are the link's ends)."""
     sizes = edges.groupBy("scope").count().select("scope", F.ceil(F.col("count") / block_links).cast("int").alias("blocks"))
-    salted = edges.join(sizes, "scope").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("u"), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    local = salted.groupBy("scope", "block").applyInPandas(_forest, f"scope {kinds['scope']}, block int, blocks int, node {kinds['u']}, root {kinds['u']}, off int, loop boolean")
-    local = cut(local)
-    whole = local.where("blocks = 1").select("scope", "node", "root", "off", "loop")
-    parts = local.where("blocks > 1").select("scope", "node", "root", "off", "loop")
+    salted = edges.join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    return _grouped_forests(salted)
+
+
+def _grouped_forests(links: DataFrame) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in links.schema}
+    return links.groupBy("scope", "block").applyInPandas(_forest, f"scope {kinds['scope']}, block int, blocks int, node {kinds['u']}, root {kinds['u']}, off int, conflict boolean")
+
+
+def placed(links: DataFrame, scope: str = "scope", child: str = "child", parent: str = "parent", block_links: int = BLOCK_LINKS, merge_links: int = MERGE_LINKS) -> tuple[DataFrame, DataFrame]:
+    """(scope, node, root, off) of every node, and (scope, at): a node of each conflict."""
+    ship(links.sparkSession)
+    edges = cut(links.select(F.col(scope).alias("scope"), F.col(child).alias("u"), F.col(parent).alias("v")).where("u is not null and v is not null").distinct().withColumn("w", F.lit(1)))
+    local = cut(_forests(edges, block_links))
+    conflicts = local.where("conflict").select("scope", F.col("node").alias("at"))
+    state = local.where("not conflict").select("scope", "block", "blocks", "node", "root", "off")
+    whole = state.where("blocks = 1").select("scope", "node", "root", "off")
+    parts = state.where("blocks > 1")
     if parts.isEmpty():
-        return whole
-    return whole.unionByName(_merged(parts))
+        return whole, conflicts
+    shared = parts.groupBy("scope", "node").agg(F.count("*").alias("n")).where("n > 1").select("scope", "node")
+    stars = cut(parts.join(shared, ["scope", "node"], "left_semi"))
+    large = stars.groupBy("scope").count().where(F.col("count") > merge_links).select("scope")
+    if not large.isEmpty():
+        hooked, more = _merged(parts.join(large, "scope", "left_semi"))
+        whole, conflicts = whole.unionByName(hooked), conflicts.unionByName(more)
+        parts, stars = parts.join(large, "scope", "left_anti"), stars.join(large, "scope", "left_anti")
+    while not parts.where("blocks > 1").isEmpty():
+        up = [F.floor(F.col("block") / FAN_IN).cast("int").alias("block"), F.ceil(F.col("blocks") / FAN_IN).cast("int").alias("blocks")]
+        links_up = stars.where("node <> root").select("scope", *up, F.col("node").alias("u"), F.col("root").alias("v"), F.col("off").alias("w"))
+        merged = cut(_grouped_forests(links_up))
+        conflicts = conflicts.unionByName(merged.where("conflict").select("scope", F.col("node").alias("at")))
+        step = merged.where("not conflict").select("scope", "block", F.col("node").alias("root"), F.col("root").alias("r2"), F.col("off").alias("w2"))
+
+        def moved(rows: DataFrame) -> DataFrame:
+            above = rows.select("scope", *up, "node", "root", "off").join(step, ["scope", "block", "root"], "left")
+            return above.select("scope", "block", "blocks", "node", F.coalesce("r2", "root").alias("root"), (F.col("off") + F.coalesce("w2", F.lit(0))).alias("off"))
+
+        parts, stars = cut(moved(parts)), moved(stars).distinct()
+    # A node of several blocks has one root; its offsets agree but in components with a conflict, where the least stands.
+    return whole.unionByName(parts.groupBy("scope", "node").agg(F.min("root").alias("root"), F.min("off").alias("off"))), conflicts
+
+
+def components(links: DataFrame, scope: str = "scope", child: str = "child", parent: str = "parent", block_links: int = BLOCK_LINKS, merge_links: int = MERGE_LINKS) -> DataFrame:
+    """scope, node, root (the smallest node of its component), off (offset to the root), loop (whether the component holds a conflict)."""
+    places, conflicts = placed(links, scope, child, parent, block_links, merge_links)
+    places = cut(places)
+    marked = conflicts.select("scope", F.col("at").alias("node")).distinct().join(places, ["scope", "node"]).select("scope", "root", F.lit(True).alias("m")).distinct()
+    return places.join(marked, ["scope", "root"], "left").select("scope", "node", "root", "off", F.coalesce("m", F.lit(False)).alias("loop"))
 
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weighted disjoint sets of one block."""
+    """Weighted disjoint sets of one block; the root of a set is its smallest node."""
     up: dict = {}
     off: dict = {}
     size: dict = defaultdict(lambda: 1)
-    marked: set = set()
+    conflicts: list = []
 
     def find(x):
         trail = []
@@ -66,36 +108,34 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
         gap = w - du + dv  # offset of a to b that this link asks for
         if a == b:
             if gap:
-                marked.add(a)
+                conflicts.append((u, v))
         elif size[a] <= size[b]:
             up[a], off[a] = b, gap
             size[b] += size[a]
-            if a in marked:
-                marked.add(b)
         else:
             up[b], off[b] = a, -gap
             size[a] += size[b]
-            if b in marked:
-                marked.add(a)
     roots = {x: find(x) for x in list(up)}
     least: dict = {}
     for x, r in roots.items():
         if r not in least or x < least[r]:
             least[r] = x
-    loops = {find(r) for r in marked}
+    head = pdf.scope.iloc[0], pdf.block.iloc[0], pdf.blocks.iloc[0]
     rows = []
     for x, r in roots.items():
         m = least[r]
         base = off.get(m, 0) if m != r else 0
-        rows.append((pdf.scope.iloc[0], pdf.block.iloc[0], pdf.blocks.iloc[0], x, m, (off.get(x, 0) if x != r else 0) - base, r in loops))
-    return pd.DataFrame(rows, columns=["scope", "block", "blocks", "node", "root", "off", "loop"])
+        rows.append((*head, x, m, (off.get(x, 0) if x != r else 0) - base, False))
+    rows += [(*head, u, v, 0, True) for u, v in conflicts]
+    return pd.DataFrame(rows, columns=["scope", "block", "blocks", "node", "root", "off", "conflict"])
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """Forests of several blocks of one scope into one: node ~ root are links again, between ever fewer roots."""
+def _merged(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forests of the blocks of a scope that shares too many nodes for one task, into one: node ~ root are links again, between ever fewer
+    roots. Gives the places and the conflicts."""
     links = parts.where("node <> root").select("scope", F.col("node").alias("u"), F.col("root").alias("v"), F.col("off").alias("w")).distinct()
     places = cut(parts.select("scope", "node").distinct().select("scope", "node", F.col("node").alias("root"), F.lit(0).alias("off")))
-    loops = cut(parts.where("loop").select("scope", F.col("root").alias("at")).distinct())
+    loops = parts.limit(0).select("scope", F.col("root").alias("at"))
     links = cut(links)
     while not links.isEmpty():
         both = links.unionByName(links.select("scope", F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("w")).alias("w")))
@@ -120,39 +160,54 @@ def _merged(parts: DataFrame) -> DataFrame:
         loops = loops.unionByName(moved.where("u = v and w <> 0").select("scope", F.col("u").alias("at")))
         # Two links between the same roots that ask for different offsets disagree as well; the next round finds it.
         links = moved.where("u <> v")
-    marked = loops.select("scope", F.col("at").alias("node")).distinct().join(places, ["scope", "node"]).select("scope", "root", F.lit(True).alias("m")).distinct()
-    return places.join(marked, ["scope", "root"], "left").select("scope", "node", "root", "off", F.coalesce("m", F.lit(False)).alias("loop"))
+    return places, loops
 
 
-def cycles(links: DataFrame, scope: str = "scope", child: str = "child", parent: str = "parent", block_links: int = BLOCK_LINKS) -> DataFrame:
+def cycles(links: DataFrame, scope: str = "scope", child: str = "child", parent: str = "parent", block_links: int = BLOCK_LINKS, merge_links: int = MERGE_LINKS, component_links: int = COMPONENT_LINKS) -> DataFrame:
     """scope, cycle_id (the smallest node of the cycle's strongly connected set) and node, for each node on a cycle."""
-    places = components(links, scope, child, parent, block_links)
+    places, conflicts = placed(links, scope, child, parent, block_links, merge_links)
+    places = cut(places.select("scope", "node", "root"))
     edges = links.select(F.col(scope).alias("scope"), F.col(child).alias("u"), F.col(parent).alias("v")).where("u is not null and v is not null").distinct()
-    suspects = places.where("loop").select("scope", F.col("node").alias("u"), "root")
+    # The conflicts of a component are its starts: a link of the block or merge that found it, or a root where forests disagreed.
+    starts = conflicts.select("scope", F.col("at").alias("node")).distinct().join(places, ["scope", "node"]).select("scope", "root", F.col("node").alias("u")).distinct()
+    suspects = places.join(starts.select("scope", "root").distinct(), ["scope", "root"], "left_semi").select("scope", F.col("node").alias("u"), "root")
     inside = cut(edges.join(suspects, ["scope", "u"]))
-    sizes = inside.groupBy("scope", "root").count()
-    small = inside.join(sizes.where(F.col("count") <= block_links).drop("count"), ["scope", "root"])
-    large = inside.join(sizes.where(F.col("count") > block_links).drop("count"), ["scope", "root"])
+    sizes = cut(inside.groupBy("scope", "root").count())
+    small, large = sizes.where(F.col("count") <= component_links).drop("count"), sizes.where(F.col("count") > component_links).drop("count")
     kinds = {f.name: f.dataType.simpleString() for f in inside.schema}
-    found = small.groupBy("scope", "root").applyInPandas(_strong, f"scope {kinds['scope']}, cycle_id {kinds['u']}, node {kinds['u']}")
-    if sizes.where(F.col("count") > block_links).isEmpty():
+    found = inside.join(small, ["scope", "root"], "left_semi").groupBy("scope", "root").applyInPandas(_strong, f"scope {kinds['scope']}, cycle_id {kinds['u']}, node {kinds['u']}")
+    if large.isEmpty():
         return found
-    return found.unionByName(_strong_large(large.select("scope", "u", "v")))
+    return found.unionByName(_strong_large(inside.join(large, ["scope", "root"], "left_semi").select("scope", "u", "v")))
 
 
 def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strongly connected sets of one component, without recursion."""
+    """The cycles of one component, read off its conflicts: nodes without a parent or a child are trimmed; the offsets of what is left are
+    taken anew, and the strongly connected sets above its conflicts are searched, without recursion."""
     out = defaultdict(list)
+    below: dict = defaultdict(int)
     for u, v in zip(pdf.u, pdf.v):
         out[u].append(v)
+        below[v] += 1
+    free = [x for x in out if not below[x]]
+    while free:  # a node without a child lies on no cycle
+        for v in out.pop(free.pop()):
+            below[v] -= 1
+            if not below[v] and v in out:
+                free.append(v)
+    block = pd.DataFrame([(u, v) for u, targets in out.items() for v in targets if v in out], columns=["u", "v"])
+    if block.empty:
+        return pd.DataFrame([], columns=["scope", "cycle_id", "node"])
+    forest = _forest(block.assign(scope=pdf.scope.iloc[0], block=0, blocks=1, w=1))
+    starts = list(dict.fromkeys(forest[forest.conflict].root))
     index: dict = {}
     low: dict = {}
     stack, on = [], set()
     rows = []
-    for start in list(out):
+    for start in starts:
         if start in index:
             continue
-        work = [(start, iter(out[start]))]
+        work = [(start, iter(out.get(start, ())))]
         index[start] = low[start] = len(index)
         stack.append(start)
         on.add(start)

@@ -46,12 +46,16 @@ def test_cycles_against_brute_force_in_one_block_and_in_many(spark):
     assert ("s9", "a", "a") in want
     # Blocks of three links force the merge of forests and the search in components no task may hold.
     assert found(cycles(df, block_links=3)) == want
+    assert found(cycles(df, block_links=3, merge_links=5)) == want
+    assert found(cycles(df, block_links=3, component_links=5)) == want
 
 
 def test_components_give_consistent_offsets(spark):
     df = spark.createDataFrame([("s", "b", "a"), ("s", "c", "a"), ("s", "d", "b"), ("s", "d", "c"), ("s", "x", "y"), ("s", "y", "z"), ("s", "x", "z")], LINKS)
-    for block in (100, 2):
-        rows = {r.node: r for r in components(df, block_links=block).select("node", "root", "off", "loop").distinct().collect()}
+    for block, merge in ((100, 100), (2, 100), (1, 100), (1, 2)):
+        every = components(df, block_links=block, merge_links=merge).select("node", "root", "off", "loop").collect()
+        rows = {r.node: r for r in every}
+        assert len(rows) == len(every)
         assert {rows[n].root for n in "abcd"} == {"a"} and {rows[n].root for n in "xyz"} == {"x"}
         assert [rows[n].off - rows["a"].off for n in "abcd"] == [0, 1, 1, 2]
         assert not rows["a"].loop and rows["x"].loop  # a diamond of equal arms has a potential, unequal arms don't
