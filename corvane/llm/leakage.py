@@ -1,14 +1,19 @@
 """Held-out evaluation passages inside a training corpus.
 
 Winnowing: of every WINDOW neighbouring k-word hashes the smallest is kept, on both sides, so any shared run of at least
-K + WINDOW - 1 words gives a common fingerprint; a passage of 20 words with one word in eight changed always holds such a run. Shared
-fingerprints are then extended: the hits of an item are chained along the document and the words between them aligned, and a passage
-counts if at least MIN_WORDS words of the item are covered at an edit rate up to MAX_EDITS, and if MIN_SPECIFIC of the specific words in
-it agree: a word in more than COMMON_SHARE of the items belongs to the style of the questions and proves nothing.
+K + WINDOW - 1 words gives a common fingerprint; a passage of 20 words with one word in eight changed always holds such a run. The
+fingerprints of both sides are tables and are joined on the hash. The hits of a document and an item are then extended: they are chained
+along the document and the words between them aligned, and a passage counts if at least MIN_WORDS words of the item are covered at an edit
+rate up to MAX_EDITS, and if MIN_SPECIFIC of the specific words in it agree: a word in more than COMMON_SHARE of all items belongs to the
+style of the questions and proves nothing.
 
-The evaluation items are the stated query set. They are taken in blocks of at most BLOCK_ITEMS, each sent to every executor, and every
-document is compared with all of them; neither documents nor their fingerprints leave the executors, and there is no shuffle but the one
-that removes repeated rows.
+A hash that more than HOT_OWNERS items share would meet each of its documents with all of them. It is joined by a longer run instead: of the
+fingerprint and the one after it, and if that is shared as often, of 4 or of RUNS[-1] fingerprints, however many items share those. So every
+span of items and document that agrees word by word and is long enough is still found; such runs are some 16 words long.
+
+The corpus is scanned once. A document's fingerprints leave their task only if a bitmap of FILTER_BITS bits says that some item may have
+them, and with them the words around them; whole texts are never shuffled. The bitmap is all that is sent to every executor, and its size
+doesn't depend on the data.
 
 Null and empty texts on either side leak nothing. Items shorter than MIN_WORDS words can't hold such a passage. Repeated rows count once.
 Texts are read whole.
@@ -18,23 +23,25 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable
-from functools import lru_cache, reduce
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import flat_map
+from ..session import cut
 
 K, WINDOW = 4, 2
+#: Fingerprints in a run, from the shortest on.
+RUNS = (1, 2, 4, 8)
+HOT_OWNERS = 16
+FILTER_BITS = 1 << 26
 MIN_WORDS, MAX_EDITS = 20, 0.2
 COMMON_SHARE, MIN_SPECIFIC = 0.25, 0.6
 #: Specific words that any passage of MIN_WORDS words must share before it is aligned.
 LEAST_SHARED = 2
-#: Items sent to the executors at once.
-BLOCK_ITEMS = 20_000
 #: Words between two hits that may belong to one passage.
 MAX_GAP = 12
 #: Words around the hits that may belong to one passage: MIN_WORDS and the edits allowed in them.
@@ -43,6 +50,8 @@ MARGIN = MIN_WORDS + 4
 LEAST_AGREE = 14
 #: What an edit costs against a word that agrees.
 EDIT_COST = 3.0
+#: Hashes of words that a Python worker keeps at most.
+CACHED_WORDS = 500_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
 _WORDS = re.compile(r"[^\W_]+")
@@ -57,12 +66,31 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+class WordIds(dict):
+    """Signed 64-bit hashes of words, computed once for each word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        n = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        self[word] = n = n - (1 << 64) if n >> 63 else n
+        return n
+
+    def of(self, text: str) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words_of(text)), np.int64)
+
+
+_IDS = WordIds()
+
+
 def _hashes(ids: np.ndarray) -> np.ndarray:
     """Of every K neighbouring word ids (unsigned 64-bit arithmetic, mixed so that the smallest is spread evenly)."""
     n = len(ids) - K + 1
-    h = np.zeros(n, np.uint64)
+    if n < 1:
+        return np.array([], np.uint64)
+    words, h = ids.astype(np.int64).view(np.uint64), np.zeros(n, np.uint64)
     for j in range(K):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
         h ^= h >> np.uint64(29)
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -75,57 +103,46 @@ def _winnow(h: np.ndarray) -> np.ndarray:
     return np.unique(w.argmin(axis=1) + np.arange(len(w)))
 
 
-class Items:
-    """The fingerprints of one block of evaluation items."""
+def fingerprints(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of RUNS the positions and the hashes (signed) of the runs of kept fingerprints that begin there."""
+    h = _hashes(ids)
+    at = _winnow(h)
+    h = h[at]
+    out = []
+    for length in RUNS:
+        n = len(h) - length + 1
+        if n < 1:
+            break
+        run = np.full(n, np.uint64(length), np.uint64)
+        for j in range(length):
+            run = (run ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+            run ^= run >> np.uint64(31)
+        out.append((at[:n], run.view(np.int64)))
+    return out
+
+
+def _segments(ids: np.ndarray, passes: Callable[[np.ndarray], np.ndarray]) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """Stretches of a document around the runs that pass: first word, word ids, positions and hashes of the runs."""
+    hits = []
+    for at, h in fingerprints(ids):
+        good = passes(h)
+        hits += zip(at[good].tolist(), h[good].tolist())
+    hits.sort()
+    groups: list[list[tuple[int, int]]] = []
+    for hit in hits:
+        if groups and hit[0] - groups[-1][-1][0] <= 2 * MARGIN + K:
+            groups[-1].append(hit)
+        else:
+            groups.append([hit])
+    out = []
+    for g in groups:
+        first, last = max(0, g[0][0] - MARGIN), min(len(ids), g[-1][0] + K + MARGIN)
+        if last - first >= LEAST_AGREE:
+            out.append((first, ids[first:last].tolist(), [p for p, _ in g], [h for _, h in g]))
+    return out
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
-        self.words: dict[int, list[int]] = {}
-        hashes, owners, df = [], [], Counter()
-        for key, text in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if len(ids) < MIN_WORDS:
-                continue
-            self.words[key] = ids
-            df.update(set(ids))
-            h = _hashes(np.array(ids, np.uint64))
-            at = _winnow(h)
-            hashes.append(h[at])
-            owners += [(key, int(p)) for p in at]
-        self.specific = {i for i, n in df.items() if n <= max(2, COMMON_SHARE * len(self.words))}
-        h = np.concatenate(hashes) if hashes else np.array([], np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.owners = h[order], [owners[i] for i in order]
-
-    def leaked(self, text: str) -> list[tuple[int, int, int, int, int, float]]:
-        """(item, first and last word in the document, words of the item covered, edits, edit rate) of every leaked item."""
-        get = self.vocabulary.get
-        doc = [get(w, 0) for w in words_of(text)]
-        if len(doc) < K or not len(self.hashes):
-            return []
-        ids = np.array(doc, np.uint64)
-        h = _hashes(ids)
-        unknown = np.convolve(ids == 0, np.ones(K, np.int64), "valid") > 0
-        # A hash with an unknown word matches nothing; as the largest it never hides one that may.
-        h[unknown] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        at = _winnow(h)
-        at = at[~unknown[at]]
-        left = np.searchsorted(self.hashes, h[at], "left")
-        right = np.searchsorted(self.hashes, h[at], "right")
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, a, b in zip(at.tolist(), left.tolist(), right.tolist()):
-            for i in range(a, b):
-                key, q = self.owners[i]
-                hits[key].append((p, q))
-        found = []
-        for key, seeds in hits.items():
-            best = _extend(doc, self.words[key], seeds, self.specific)
-            if best:
-                found.append((key, *best))
-        return found
-
-
-def _extend(doc: list[int], item: list[int], seeds: list[tuple[int, int]], specific: set[int]) -> tuple[int, int, int, int, float] | None:
+
+def _extend(doc: list[int], item: list[int], seeds: list[tuple[int, int]], common: frozenset[int]) -> tuple[int, int, int, int, float] | None:
     """The best passage through the hits of one item."""
     # Hits that a passage could join lie on near diagonals and near each other.
     seeds = sorted(set(seeds))
@@ -144,14 +161,14 @@ def _extend(doc: list[int], item: list[int], seeds: list[tuple[int, int]], speci
         q0, q1 = max(0, min(q for _, q in g) - MAX_GAP), min(len(item), max(q for _, q in g) + K + MAX_GAP)
         p0, p1 = max(0, g[0][0] - MAX_GAP), min(len(doc), g[-1][0] + K + MAX_GAP)
         got = None
-        if q1 - q0 >= MIN_WORDS and len(specific.intersection(doc[p0:p1], item[q0:q1])) >= LEAST_SHARED:
-            got = _align(doc[p0:p1], item[q0:q1], specific)
+        if q1 - q0 >= MIN_WORDS and len(set(doc[p0:p1]).intersection(item[q0:q1]) - common) >= LEAST_SHARED:
+            got = _align(doc[p0:p1], item[q0:q1], common)
         if not got:
             # Edits near the start, or a head without hits.
             q0, q1 = max(0, min(q for _, q in g) - MARGIN), min(len(item), max(q for _, q in g) + K + MARGIN)
             p0, p1 = max(0, g[0][0] - MARGIN), min(len(doc), g[-1][0] + K + MARGIN)
-            if len(specific.intersection(doc[p0:p1], item[q0:q1])) >= LEAST_SHARED and _may_agree(doc[p0:p1], item[q0:q1]):
-                got = _align(doc[p0:p1], item[q0:q1], specific, heads=True)
+            if len(set(doc[p0:p1]).intersection(item[q0:q1]) - common) >= LEAST_SHARED and _may_agree(doc[p0:p1], item[q0:q1]):
+                got = _align(doc[p0:p1], item[q0:q1], common, heads=True)
         if got and (best is None or got[2] > best[2]):
             best = (p0 + got[0], p0 + got[1], *got[2:])
     return best
@@ -165,7 +182,7 @@ def _may_agree(a: list[int], b: list[int]) -> bool:
     return any(y - x >= LEAST_AGREE for x, y in zip(sums, sums[MIN_WORDS:]))
 
 
-def _heads(a: list[int], b: list[int], specific: set[int]) -> list[tuple[int, int, int, int]]:
+def _heads(a: list[int], b: list[int], common: frozenset[int]) -> list[tuple[int, int, int, int]]:
     """(words of a, words of b, edits, specific words that agreed) of the passages that end where a and b end and begin with a word that
     agrees, by edit distance; at most MARGIN words of b."""
     a, b = a[: -MARGIN - 5 : -1], b[: -MARGIN - 1 : -1]
@@ -176,8 +193,8 @@ def _heads(a: list[int], b: list[int], specific: set[int]) -> list[tuple[int, in
         for j, w in enumerate(b, 1):
             if word == w:
                 e, k = above[j - 1]
-                row.append((e, k - (w in specific)))
-                found.append((i, j, e, (w in specific) - k))
+                row.append((e, k - (w not in common)))
+                found.append((i, j, e, (w not in common) - k))
             else:
                 e, k = min(above[j - 1], above[j], row[j - 1])
                 row.append((e + 1, k))
@@ -185,13 +202,13 @@ def _heads(a: list[int], b: list[int], specific: set[int]) -> list[tuple[int, in
     return found
 
 
-def _align(a: list[int], b: list[int], specific: set[int], heads: bool = False) -> tuple[int, int, int, int, float] | None:
+def _align(a: list[int], b: list[int], common: frozenset[int], heads: bool = False) -> tuple[int, int, int, int, float] | None:
     """Local alignment of words: +1 for one that agrees, -EDIT_COST for one changed, added or missing. Of the alignments found that cover at
     least MIN_WORDS words of b at the allowed rates, the one that covers most. An alignment begins anew where its score falls to 0; with
     `heads` the words before are joined to it again as far as the rates allow."""
     known: dict[tuple[int, int], list] = {}
     n = len(b)
-    special = [w in specific for w in b]
+    special = [w not in common for w in b]
     seen = [0]  # specific words of b before each place
     for x in special:
         seen.append(seen[-1] + x)
@@ -221,7 +238,7 @@ def _align(a: list[int], b: list[int], specific: set[int], heads: bool = False)
             if same and heads:
                 at = from_a, from_b
                 if at not in known:
-                    known[at] = _heads(a[:from_a], b[:from_b], specific)
+                    known[at] = _heads(a[:from_a], b[:from_b], common)
                 for x, y, more, agreed in known[at]:
                     total = covered + y
                     if total >= MIN_WORDS and (best is None or total > best[2]) and e + more <= MAX_EDITS * total and k + agreed >= MIN_SPECIFIC * (seen[j] - seen[from_b - y]):
@@ -230,31 +247,85 @@ def _align(a: list[int], b: list[int], specific: set[int], heads: bool = False)
     return best
 
 
-@lru_cache(maxsize=4)
-def _items(rows: tuple[tuple[int, str], ...]) -> Items:
-    return Items(list(rows))
 
+# --- Spark --------------------------------------------------------------------------------------------------------------------------
+
+
+def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item and ids of its words, of the items that are long enough."""
+    once = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("t")).where("item is not null and t is not null").groupBy("item").agg(F.max("t").alias("t"))
+    kind = items.schema[item_col].dataType.simpleString()
+
+    def make() -> Callable:
+        def row(item, text):
+            ids = _IDS.of(text)
+            return [(item, ids.tolist())] if len(ids) >= MIN_WORDS else []
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+        return row
+
+    return flat_map(once, ["item", "t"], make, f"item {kind}, words array<bigint>")
+
+
+def item_fingerprints(words: DataFrame, hot_owners: int) -> DataFrame:
+    """hash, item, pos: for each fingerprint of an item the shortest of its runs that few enough items share, or else the longest."""
+    kind = words.schema["item"].dataType.simpleString()
+
+    def make() -> Callable:
+        return lambda item, ids: [(item, p, n, h) for n, (at, hashes) in zip(RUNS, fingerprints(np.array(ids, np.int64))) for p, h in zip(at.tolist(), hashes.tolist())]
+
+    every = cut(flat_map(words, ["item", "words"], make, f"item {kind}, pos int, run int, hash bigint"))
+    owners = every.select("hash", "item").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
+    # A run too long to begin near the end of an item doesn't exist there; the longest that does then stands.
+    fit = F.when(F.col("owners") <= hot_owners, F.col("run")).otherwise(1_000 - F.col("run"))
+    return every.join(owners, "hash").groupBy("item", "pos").agg(F.min_by("hash", fit).alias("hash")).select("hash", "item", "pos")
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """One bit for each place that a hash of the items falls on; at most FILTER_BITS / 64 numbers reach the driver."""
+    places = prints.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("bit")).selectExpr("cast(bit div 64 as int) AS at", "shiftleft(1L, cast(bit % 64 AS int)) AS w")
+    rows = places.groupBy("at").agg(F.bit_or("w").alias("w")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["at"].to_numpy(np.int64)] = rows["w"].to_numpy(np.int64)
+    return bits.view(np.uint64)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", hot_owners: int = HOT_OWNERS) -> DataFrame:
     """One row for each document and item that leaked into it: ids, first_word and last_word in the document, covered words, edits, rate."""
-    spark = docs.sparkSession
-    queries = items.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")).where("k is not null and t is not null").dropDuplicates(["k"])
-    blocks: list[list[tuple]] = [[]]
-    for r in queries.toLocalIterator():
-        if len(blocks[-1]) >= BLOCK_ITEMS:
-            blocks.append([])
-        blocks[-1].append((r.k, r.t))
+    words = cut(item_words(items, item_col, item_text_col))
+    count = words.count()
+    # At most as many words as 1 / COMMON_SHARE items hold can stand in such a share of all items.
+    common = frozenset(r[0] for r in words.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") > max(2, COMMON_SHARE * count)).select("w").collect())
+    prints = cut(item_fingerprints(words, hot_owners))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(prints))
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, first_word int, last_word int, covered int, edits int, edit_rate double"
 
-    def one(block: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(tuple(sorted(block)))
+    def cutter() -> Callable:
+        bits, mask = sent.value, np.int64(FILTER_BITS - 1)
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            at = h & mask
+            return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
-        def make() -> Callable:
-            leaked = _items(sent.value).leaked
-            return lambda key, text: [(key, *x) for x in leaked(text)]
+        return lambda key, text: [(key, *x) for x in _segments(_IDS.of(text), passes)]
 
-        texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-        return flat_map(texts, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], make, schema)
+    texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
+    segments = flat_map(texts, [F.col(id_col).alias("doc"), F.col(text_col).alias("text")], cutter, f"doc {kinds[0]}, first int, ids array<bigint>, pos array<int>, hash array<bigint>")
+    segments = cut(segments.withColumn("row", F.monotonically_increasing_id()))
+    light = segments.select("row", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("row", F.col("x.pos").alias("p"), F.col("x.hash").alias("hash"))
+    met = light.join(prints.select("hash", "item", F.col("pos").alias("q")), "hash").groupBy("row", "item").agg(F.collect_set(F.struct("p", "q")).alias("seeds"))
+    pairs = met.join(segments.select("row", "doc", "first", "ids"), "row").join(words, "item")
 
-    return reduce(DataFrame.unionByName, map(one, blocks)).dropDuplicates([id_col, item_col])
+    def extender() -> Callable:
+        def row(doc, item, first, ids, seeds, item_ids):
+            best = _extend(ids, item_ids, [(s["p"] - first, s["q"]) for s in seeds], common)
+            return [(doc, item, first + best[0], first + best[1], *best[2:])] if best else []
+
+        return row
+
+    schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, first_word int, last_word int, covered int, edits int, edit_rate double"
+    # The rows are small and the alignment is not, so they are spread over all cores, whatever their bytes.
+    pairs = pairs.repartition(3 * docs.sparkSession.sparkContext.defaultParallelism, "row", "item")
+    found = flat_map(pairs, ["doc", "item", "first", "ids", "seeds", "words"], extender, schema)
+    return found.groupBy(id_col, item_col).agg(F.max(F.struct("covered", (-F.col("edits")).alias("e"), (-F.col("first_word")).alias("f"), "last_word", "edit_rate")).alias("x")).select(
+        id_col, item_col, (-F.col("x.f")).alias("first_word"), "x.last_word", "x.covered", (-F.col("x.e")).alias("edits"), "x.edit_rate"
+    )

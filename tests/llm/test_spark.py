@@ -106,16 +106,24 @@ def test_tokens(spark):
     assert got[1] == [31373, 995] and got[2] == [] and got[3] == [] and len(got[4]) > 1000 and len(got) == 4
 
 
-def test_leaks(spark, monkeypatch):
+def test_leaks(spark):
     items = [(i, " ".join(f"w{(i * 31 + j * j) % 97}x{i}" for j in range(40))) for i in range(25)] + [(90, None), (91, ""), (92, "too short"), (3, " ".join(f"w{(3 * 31 + j * j) % 97}x3" for j in range(40)))]
     eval_items = spark.createDataFrame([(i, x, "clash") for i, x in items], "item_id long, text string, doc_id string")
     docs = documents(spark, [(1, "before " + items[3][1] + " after"), (1, "before " + items[3][1] + " after"), (2, None), (3, ""), (4, "none of it"), (5, items[7][1] + " z" * 50_000 + " " + items[8][1])])
     want = {(1, 3), (5, 7), (5, 8)}
     assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, eval_items).collect()} == want
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 13)
-    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, eval_items).collect()} == want
+    # Hashes of more than one item are joined by longer runs, which no other item shares.
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, eval_items, hot_owners=0).collect()} == want
     assert leakage.leaked_items(docs, eval_items.limit(0)).count() == 0 and leakage.leaked_items(docs.limit(0), eval_items).count() == 0
 
 
+def test_leaks_of_many_items_and_of_items_that_share_their_words(spark):
+    style = " ".join(f"style{j}" for j in range(12))
+    items = spark.range(50_000).selectExpr("id AS item_id", f"concat('{style} ', array_join(transform(sequence(1, 28), j -> concat('w', pmod(xxhash64(id * 100 + j), 5000))), ' ')) AS text")
+    docs = items.where("item_id % 5000 = 7").selectExpr("item_id AS doc_id", "concat('before it ', text, ' after it') AS text").unionByName(spark.range(100_000, 100_200).selectExpr("id AS doc_id", f"'{style} and nothing else of it' AS text"))
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, items).collect()}
+    assert got == {(i, i) for i in range(7, 50_000, 5000)}
+
+
 def test_registered_names():
     assert {f"p{n}_found" for n in (2, 3, 4, 5, 6, 7, 9, 10)} | {"p8_ids"} <= set(queries.QUERIES)
