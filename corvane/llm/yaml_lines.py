@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 _QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'')
 _KEY = re.compile(r'(?:"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'|\?[ ]|[^\s"\'#&*!|>%@`\[\]{},\-?:][^#]*?|[\-?:][^\s#][^#]*?)[ ]*:(?=[ \t]|$)')
@@ -38,8 +39,10 @@ def _flow_depth(text: str) -> int | None:
     return len(stack)
 
 
-def yaml_fault(text: str) -> str | None:
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+def yaml_fault(text: str | Iterable[str]) -> str | None:
+    """The fault of a text, or of its parts in order, each of which but the last ends with a line end."""
+    parts = [text] if isinstance(text, str) else text
+    lines = (line for part in parts for line in part.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n"))
     stack: list[tuple[int, str]] = []  # indentation and kind (map, seq) of the open collections
     block: int | None = None  # indentation that a block scalar must exceed
     flow, flow_text, flow_indent = 0, "", 0

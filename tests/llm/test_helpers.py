@@ -1,13 +1,15 @@
 """The parts of the operators that run inside tasks."""
 
+import ast
 import json
 import random
+import tomllib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from corvane.llm import credentials, documented, encoding_repair, handwritten, leakage, pair_defects, splitting, syntax, tokenize
+from corvane.llm import credentials, documented, encoding_repair, handwritten, leakage, lexer_maps, pair_defects, splitting, syntax, tokenize
 from corvane.llm.gll import GLL
 from corvane.llm.yaml_lines import yaml_fault
 
@@ -255,13 +257,67 @@ def test_faults(language, text):
     assert syntax.fault_of(text, language)
 
 
+@pytest.mark.parametrize("language", VALID)
+def test_chunks_of_any_size_give_the_same_verdict(language):
+    r = random.Random(7)
+    text = VALID[language]
+    for _ in range(150):
+        a, b = sorted(r.randrange(len(text)) for _ in "ab")
+        damaged = text[:a] + r.choice(["", "(", ")", '"', "'", "`", "/*", '"""', "}", "{", ";", " = ", "\n", "\\\n", "'''", "# x\n"]) + text[b if r.random() < 0.2 else a :]
+        assert len({syntax.fault_of(damaged, language, size) is None for size in (1, 17, 64, 997, 1 << 20)}) == 1, damaged
+
+
+def test_deep_nesting_and_long_lines():
+    assert syntax.fault_of("[" * 100_000 + "]" * 100_000, "json") is None
+    assert syntax.fault_of("[" * 100_000 + "]" * 99_999, "json")
+    assert syntax.fault_of("[\n" + "1,\n" * 50_000 + "2]", "json", 64) is None
+    assert syntax.fault_of('{"a": 1,\n' + '"b": 2,\n' * 5_000 + "3}", "json", 64)
+    assert syntax.fault_of("x = [\n" + "    1,\n" * 20_000 + "]\n", "python", 997) is None
+
+
+PYTHON = """
+for a, b in x.items():
+    with f(a) as g, h:
+        y = [i for i in g if i] + {**a, 'k': b[1:, ...]}['k']
+    else_ = lambda q, *r, s=1: q if r else s
+try:
+    a.b: int = 3
+except (A, B) as e:
+    raise C from e
+finally:
+    del x[0]
+@d.e(1)
+async def g(a, /, b=2, *, c: int = 3, **k) -> int:
+    return await a
+"""
+PARSED = [("python", ast.parse, PYTHON), ("json", json.loads, '{"a": [1, -2.5e3, {"b": null}], "c": {}, "d": [true, "x"]}'), ("toml", tomllib.loads, 'a.b = 1\n[t]\nc = [1, 2,\n 3]\nd = {e = "f", g = 1.5}\n[[u]]\nh = 1979-05-27T07:32:00Z\n')]
+
+
+@pytest.mark.parametrize("language, parse, text", PARSED)
+def test_grammars_against_full_parsers(language, parse, text):
+    r = random.Random(11)
+    missed = 0
+    for _ in range(600):
+        a = r.randrange(1, len(text))
+        damaged = r.choice([text[:a], text[:a] + text[a + 1 :], text[:a] + r.choice("()[]{}:,=\n ;.") + text[a:]])
+        try:
+            parse(damaged)
+            good = True
+        except (SyntaxError, ValueError):
+            good = False
+        verdict = syntax.fault_of(damaged, language) is None
+        assert verdict or not good, damaged  # what a parser takes is never called invalid
+        missed += verdict and not good
+    assert missed <= 40
+
+
 def test_bracket_summaries_combine_associatively():
     r = random.Random(4)
     for _ in range(300):
         parts = ["".join(r.choice("()[]{}") for _ in range(r.randrange(6))) for _ in range(3)]
-        a, b, c = map(syntax.summary, parts)
-        left = syntax.join_summaries(syntax.join_summaries(a, b), c)
-        assert left == syntax.join_summaries(a, syntax.join_summaries(b, c)) == syntax.summary("".join(parts))
+        a, b, c = map(lexer_maps.summary, parts)
+        left = lexer_maps.join_summaries(lexer_maps.join_summaries(a, b), c)
+        assert left == lexer_maps.join_summaries(a, lexer_maps.join_summaries(b, c)) == lexer_maps.summary("".join(parts))
 
 
 def test_yaml_against_a_full_parser():

@@ -72,8 +72,8 @@ def test_syntax_whole_and_in_chunks(spark):
     good = "function f(a) {\n  return a;\n}\n/* a\n comment { */\nvar t = `x { ${1}`;\n" * 40
     rows = [("good", "r", "a.js", good), ("good", "r", "a.js", good), ("bad", "r", "b.js", good + "function g( {\n}\n"), ("open", "r", "c.js", good + "function g() {\n" + good), ("text", "r", "d.js", good + "var x = `open\n" + "y\n" * 300), ("py", "r", "e.py", "def f(:\n"), ("md", "r", "f.md", "((("), ("null", "r", "g.py", None), ("empty", "r", "h.json", ""), ("nopath", None, None, "(((")]
     df = spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], FILES)
-    for size in (syntax.CHUNK_CHARS, 97):
-        assert {r.file_id for r in syntax.invalid_files(df, chunk_chars=size).collect()} == {"bad", "open", "text", "py"}
+    for size, spread in ((syntax.CHUNK_CHARS, syntax.SPREAD_CHARS), (97, 1 << 20), (97, 10)):
+        assert {r.file_id for r in syntax.invalid_files(df, chunk_chars=size, spread_chars=spread).collect()} == {"bad", "open", "text", "py"}
     rates = {r.language: (r.files, r.invalid) for r in syntax.invalid_rates(df).where("repo_id = 'r'").collect()}
     assert rates == {"javascript": (4, 3), "python": (1, 1)}
     assert syntax.invalid_files(df.limit(0)).count() == 0
@@ -85,8 +85,14 @@ def test_syntax_of_large_files_is_that_of_small_ones(spark):
     java = "package a;\n" + "class A {\n  // it's\n  int f() {\n    return 1;\n  }\n}\n" * 20
     texts = {"strings.js": line * 40, "conflict.js": conflict, "side.js": line * 20 + "foo bar\n" + line * 20, "good.java": java, "loose.java": java + "int x;\n" + java[11:]}
     df = spark.createDataFrame([(k, "r", k, v, "", "", "") for k, v in texts.items()], FILES)
-    for size in (syntax.CHUNK_CHARS, *range(90, 98)):
-        assert {r.file_id: r.fault for r in syntax.invalid_files(df, chunk_chars=size).collect()} == {"conflict.js": "merge conflict", "side.js": "operands side by side", "loose.java": "no declaration"}
+    for size in (syntax.CHUNK_CHARS, 90, 91, 97):
+        assert {r.file_id: r.fault for r in syntax.invalid_files(df, chunk_chars=size, spread_chars=10).collect()} == {"conflict.js": "merge conflict", "side.js": "operands side by side", "loose.java": "no declaration"}
+
+
+def test_syntax_of_given_files_at_any_chunk_size(spark):
+    files = spark.read.parquet("/root/testdata/sf0.001/scanned_files.parquet")
+    each = [{(r.file_id, r.language) for r in syntax.invalid_files(files, chunk_chars=size, spread_chars=spread).collect()} for size, spread in ((64, 1000), (997, 1 << 20), (1 << 20, 1 << 20))]
+    assert each[0] and each[0] == each[1] == each[2]
 
 
 def documents(spark, rows):
