@@ -2,9 +2,13 @@
 
 One pass over the files reads what each says of itself (notices in comments, place in the tree), a hash of its text, and features of the
 text with every notice line taken out: compression ratio, token entropy, identifier lengths, comment density, line shapes. A random forest
-is trained on these features, labelled by the notices it can't see, on at most MAX_TRAINING rows; it judges every file and so finds the
-generated and minified files that carry no notice. An exact check follows for what it finds: the file must also be as uniform as tools
-write (line shapes, line lengths, literals). Copies of one text in three or more repositories are found by grouping hashes.
+with the classes hand-written, generated, minified and bulk data is trained on these features. It can see none of its labels: notices and
+banners are cut out of the text, the path is no feature, and nor is the share of the text that stands in literals, which labels bulk data.
+Files without a sign train as hand-written; as some of them are finds without a notice, a first forest puts aside those it doubts, and a second
+one is trained on the rest. It judges every file. At most MAX_TRAINING rows of each label are trained on, chosen by hash.
+
+Lock files, vendored directories and upstream banners are known by these alone. Copies of one text in three or more repositories are found by
+grouping hashes of whole texts.
 
 Null and empty contents are never found (nothing in them was written by a tool), except by their place or name as a lock file or a
 vendored file. Files scanned again give one row. size_bytes and line_count, wrong now and then, are measured anew from the content.
@@ -29,10 +33,13 @@ from ..session import cut
 
 #: Rows of each label the forest is trained on at most (chosen by hash, so the same at every run).
 MAX_TRAINING = 6_000
-#: Files without a sign train as hand-written only if fewer of their lines look alike; the others may be unlabelled finds.
-RELIABLE_SHAPE = 0.85
+#: Files without a sign train as hand-written only if the first forest gives them this probability of it.
+RELIABLE = 0.8
+#: A file is found if the forest gives it at least this probability of not being hand-written.
+THRESHOLD = 0.55
+CLASSES = ("hand-written", "generated", "minified", "bulk data")
 #: LEAF rows at least in a leaf, so that a tree cannot learn a single unlabelled file by heart.
-TREES, DEPTH, LEAF, SEED = 24, 7, 8, 7
+TREES, DEPTH, LEAF, SEED = 40, 8, 8, 7
 #: A text counts as a library copy in this many repositories, from this many lines.
 COPY_REPOS, COPY_LINES = 3, 10
 
@@ -61,7 +68,7 @@ _LOCK_TEXT = re.compile(r'^\s*(?:"lockfileVersion"|lockfileVersion|"_meta":\s*\{
 
 # --- features -----------------------------------------------------------------------------------------------------------------------
 
-FEATURES = ("compression", "token_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line", "top_shape", "distinct_shapes", "digit_share", "literal_share", "blank_share", "keyword_share")
+FEATURES = ("compression", "token_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line", "top_shape", "distinct_shapes", "digit_share", "blank_share", "keyword_share")
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
 _SHAPE = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_$][\w$]*|\d[\w.]*")
@@ -70,7 +77,8 @@ _LITERAL = re.compile(r"\"[^\"\n ]{40,}\"|'[^'\n ]{40,}'")
 _KEYWORDS = frozenset("if else for while return def func function class import from try except catch finally throw raise switch case break continue in not and or with as yield async await new null None nil".split())
 
 
-def features(text: str) -> list[float]:
+def features(text: str) -> tuple[list[float], float]:
+    """The features of a text, and the share of it in literals, which is none of them."""
     n = max(1, len(text))
     lines = text.split("\n")
     tokens = Counter(_TOKEN.findall(text))
@@ -92,7 +100,7 @@ def features(text: str) -> list[float]:
     shapes.pop("", None)
     count = max(1, sum(shapes.values()))
     raw = text.encode("utf-8", "replace")
-    return [
+    values = [
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
         math.log2(total) - entropy / total if total else 0.0,
         chars / max(1, words),
@@ -103,10 +111,10 @@ def features(text: str) -> list[float]:
         max(shapes.values(), default=0) / count,
         len(shapes) / count,
         sum(map(text.count, "0123456789")) / n,
-        (literal + sum(map(len, _LITERAL.findall(text)))) / n,
         max(0.0, 1 - count / len(lines)),
         keywords / max(1, words),
     ]
+    return values, (literal + sum(map(len, _LITERAL.findall(text)))) / n
 
 
 def evidence(path: str, text: str) -> tuple[list[str], str]:
@@ -122,7 +130,7 @@ def evidence(path: str, text: str) -> tuple[list[str], str]:
         found.append("minified by path")
     if not text:
         return found, text
-    if _LOCK_TEXT.search(text[:2000]):
+    if _LOCK_TEXT.search(text):
         found.append("lock file")
     if _SHORT_BANNER.match(text):
         found.append("library banner")
@@ -136,84 +144,98 @@ def evidence(path: str, text: str) -> tuple[list[str], str]:
             else:
                 keep.append(line)
         text = "\n".join(keep)
-    head, body = text[:1200].split("\n")[:14], None
-    said = 0
-    for i, line in enumerate(head):
+    # The comment a file begins with, read whole.
+    at = said = 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        line = text[at:end].rstrip("\n")
         if line.strip() and not _COMMENT_LINE.match(line):
             break
         said += bool(_UPSTREAM.search(line)) * 2 + bool(_LICENSED.search(line))
-        body = i
+        at = end
     if said >= 2:
         found.append("upstream banner")
-        text = "\n".join([*head[body + 1 :], text[len("\n".join(head)) :]]) if body is not None else text
+        text = text[at:]
     return list(dict.fromkeys(found)), text
 
 
-def uniform(text: str, f: list[float]) -> str | None:
-    """The exact check: as uniform as tools write."""
-    by = dict(zip(FEATURES, f))
-    longest = math.expm1(by["longest_line"])
-    if by["literal_share"] >= 0.6 and len(text) >= 500 and (by["top_shape"] >= 0.75 or text.strip().count("\n") < 5 and by["literal_share"] >= 0.9):
-        return "bulk data"
-    if longest >= 400 and by["line_length"] >= math.log1p(200) and by["keyword_share"] > 0 and by["short_identifiers"] >= 0.4:
-        return "minified"
-    if longest >= 1000 and by["literal_share"] < 0.3 and by["line_length"] >= math.log1p(300):
-        return "minified"
-    return None
+def listed(text: str, literal_share: float, top_shape: float) -> bool:
+    """The label of bulk data: nearly all of the text is literals in lines of one shape, or in few lines."""
+    return len(text) >= 500 and literal_share >= 0.6 and (top_shape >= 0.75 or literal_share >= 0.9 and text.strip().count("\n") < 5)
 
 
 def judged(files: DataFrame, id_col: str = "file_id", repo_col: str = "repo_id", path_col: str = "relative_path", content_col: str = "content") -> DataFrame:
-    """One row for each file: evidence, exact check, hash of the text, number of lines, features."""
+    """One row for each file: evidence, label of bulk data, hash of the text, features."""
 
     def make() -> Callable:
         def row(key, repo, path, content) -> Iterable[tuple]:
             text = (content or "").replace("\r\n", "\n").replace("\r", "\n")
             said, bare = evidence(path or "", text)
-            f = features(bare)
+            f, share = features(bare)
             whole = text.strip()
             lines = whole.count("\n") + 1 if whole else 0
             digest = hashlib.blake2b(whole.encode("utf-8", "replace"), digest_size=16).hexdigest() if lines >= COPY_LINES else None
-            return [(key, repo, path, said, uniform(bare, f) if bare.strip() else None, digest, bool(bare.strip()), f)]
+            return [(key, repo, path, said, listed(bare, share, f[FEATURES.index("top_shape")]), digest, bool(bare.strip()), f)]
 
         return row
 
     kinds = files.schema[id_col].dataType.simpleString(), files.schema[repo_col].dataType.simpleString()
     return flat_map(
         files.where(F.col(id_col).isNotNull()), [F.col(id_col).alias("id"), F.col(repo_col).alias("repo"), F.col(path_col).alias("path"), F.col(content_col).alias("content")], make,
-        f"id {kinds[0]}, repo {kinds[1]}, path string, said array<string>, checked string, digest string, has_text boolean, f array<double>",
+        f"id {kinds[0]}, repo {kinds[1]}, path string, said array<string>, listed boolean, digest string, has_text boolean, f array<double>",
     ).dropDuplicates(["id"])
 
 
-def _trained(rows: DataFrame):
-    """The forest, or None where one of the two labels is missing. Positive: a notice or a short banner; negative: no sign at all."""
-    code = rows.where("has_text and (path is null or not path rlike '\\\\.(json|ya?ml|toml|md|lock)$')")
-    labelled = code.select(
-        "id", "f", F.when(F.arrays_overlap("said", F.array(F.lit("notice"), F.lit("library banner"))), 1.0).when((F.size("said") == 0) & F.col("checked").isNull() & (F.col("f")[FEATURES.index("top_shape")] < RELIABLE_SHAPE), 0.0).alias("label")
-    ).where("label is not null")
-    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if len(counts) < 2:
+def _fit(rows: DataFrame):
+    """A forest of rows with v and label, each label weighing a tenth of the hand-written files at least."""
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if 0.0 not in counts or len(counts) < 2:
         return None
+    weight = F.lit(1.0)
+    for label, n in counts.items():
+        if label:
+            weight = F.when(F.col("label") == label, max(1.0, counts[0.0] / n / 10)).otherwise(weight)
+    forest = RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, seed=SEED, subsamplingRate=0.7)
+    return forest.fit(rows.withColumn("weight", weight))
+
+
+def trained(rows: DataFrame):
+    """The forest, or None where no file is labelled as found or none as hand-written."""
+    says = lambda *signs: F.arrays_overlap("said", F.array(*map(F.lit, signs)))
+    label = F.when(says("notice", "generated by path"), 1.0).when(says("library banner", "minified by path"), 2.0).when(F.col("listed"), 3.0).when(F.size("said") == 0, 0.0)
+    labelled = rows.where("has_text").select("id", "f", label.alias("label")).where("label is not null")
+    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.when(F.col("label") == 1.0, MAX_TRAINING / counts[1.0]).otherwise(MAX_TRAINING / counts[0.0])
-    sample = labelled.where(share < rate).withColumn("weight", F.when(F.col("label") == 1.0, min(MAX_TRAINING, counts[0.0]) / min(MAX_TRAINING, counts[1.0]) / 3).otherwise(1.0))
-    sample = sample.select(array_to_vector("f").alias("v"), "label", "weight").coalesce(4)
-    return RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, seed=SEED, subsamplingRate=0.7).fit(sample)
+    rate = F.lit(0.0)
+    for k, n in counts.items():
+        rate = F.when(F.col("label") == k, MAX_TRAINING / n).otherwise(rate)
+    # Rows in a fixed order in fixed partitions, so that the trees are the same at every run.
+    sample = cut(labelled.where(share < rate)).withColumn("v", array_to_vector("f")).repartition(4, "id").sortWithinPartitions("id").select("v", "label")
+    first = _fit(sample)
+    if first is None:
+        return None
+    sure = first.transform(sample).where((F.col("label") > 0) | (vector_to_array("probability")[0] >= RELIABLE)).select("v", "label")
+    return _fit(sure) or first
 
 
-def not_handwritten(files: DataFrame, id_col: str = "file_id", threshold: float = 0.75, **columns: str) -> DataFrame:
-    """id, reasons and the forest's probability of each file that wasn't written by hand."""
+def not_handwritten(files: DataFrame, id_col: str = "file_id", threshold: float = THRESHOLD, alone: bool = False, **columns: str) -> DataFrame:
+    """id, reasons and the forest's probability of each file that wasn't written by hand. alone: the forest's reasons only."""
     rows = cut(judged(files, id_col, **columns))
-    copies = rows.where("digest is not null").groupBy("digest").agg(F.approx_count_distinct("repo", 0.01).alias("near"), F.count("*").alias("n")).where(f"n >= {COPY_REPOS}")
-    # Exact: the few hashes with enough rows are counted by distinct repositories.
-    copied = rows.join(copies.select("digest"), "digest", "left_semi").select("digest", "repo").distinct().groupBy("digest").count().where(f"count >= {COPY_REPOS}").select("digest", F.lit(True).alias("copied"))
-    forest = _trained(rows)
+    copied = rows.where("digest is not null").select("digest", "repo").distinct().groupBy("digest").count().where(f"count >= {COPY_REPOS}").select(F.col("digest").alias("same"), F.lit(True).alias("copied"))
+    forest = trained(rows)
     if forest is None:
-        scored = rows.withColumn("p", F.lit(0.0))
+        scored = rows.withColumn("each", F.array(F.lit(1.0), *[F.lit(0.0)] * (len(CLASSES) - 1)))
     else:
-        scored = forest.transform(rows.withColumn("v", array_to_vector("f"))).withColumn("p", vector_to_array("probability")[1]).drop("v", "probability", "rawPrediction", "prediction")
-    code = ~F.coalesce(F.col("path"), F.lit("")).rlike(r"\.(json|ya?ml|toml|md)$")
-    top_shape, distinct, keywords = (F.col("f")[FEATURES.index(k)] for k in ("top_shape", "distinct_shapes", "keyword_share"))
-    by_forest = F.when(F.col("has_text") & code & (F.col("p") >= threshold), F.lit("written by a tool"))
-    joined = scored.join(copied, "digest", "left")
-    reasons = F.array_compact(F.concat("said", F.array(F.col("checked"), by_forest, F.when(F.col("copied"), F.lit("copied")))))
-    return joined.select(F.col("id").alias(id_col), reasons.alias("reasons"), "p", top_shape.alias("top_shape"), distinct.alias("distinct_shapes"), keywords.alias("keyword_share")).where(F.size("reasons") > 0)
+        scored = forest.transform(rows.withColumn("v", array_to_vector("f"))).withColumn("each", vector_to_array("probability")).drop("v", "probability", "rawPrediction", "prediction")
+        if forest.numClasses < len(CLASSES):
+            scored = scored.withColumn("each", F.concat("each", F.array(*[F.lit(0.0)] * (len(CLASSES) - forest.numClasses))))
+    path = F.coalesce("path", F.lit(""))
+    # Hand-written settings are as regular as what tools write; only bulk data is told apart from them. Markdown is never found.
+    p = F.when(~F.col("has_text") | path.rlike(r"\.md$"), 0.0).when(path.rlike(r"\.(json|ya?ml|toml)$"), F.col("each")[3]).otherwise(1 - F.col("each")[0])
+    best = F.when(path.rlike(r"\.(json|ya?ml|toml)$"), 3).otherwise(F.array_position(F.slice("each", 2, 3), F.array_max(F.slice("each", 2, 3))))
+    name = F.element_at(F.array(*(F.lit(f"{c} by its text") for c in CLASSES[1:])), best.cast("int"))
+    by_forest = F.when(p >= threshold, name)
+    # Files without a digest match nothing; their own ids keep them spread.
+    joined = scored.withColumn("p", p).withColumn("same", F.coalesce("digest", F.col("id").cast("string"), F.lit(""))).join(copied, "same", "left")
+    reasons = F.array_compact(F.array(by_forest)) if alone else F.array_compact(F.concat("said", F.array(by_forest, F.when(F.col("copied") & F.col("digest").isNotNull(), F.lit("copied")))))
+    return joined.select(F.col("id").alias(id_col), reasons.alias("reasons"), "p").where(F.size("reasons") > 0)

@@ -52,6 +52,12 @@ def p6_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("file_id", F.array_sort("reasons").alias("reasons"), F.round("p", 6).alias("probability"))
 
 
+def p6_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """What the forest finds by itself, whatever a file says of itself."""
+    found = handwritten.not_handwritten(table(spark, sf, "scanned_files"), alone=True)
+    return found.select("file_id", F.col("reasons")[0].alias("reason"), F.round("p", 6).alias("probability"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return syntax.invalid_files(table(spark, sf, "scanned_files")).select("file_id")
 
@@ -85,7 +91,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p6_reasons, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p10_found, p10_restored)
+    for f in (p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p6_reasons, p6_forest, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p10_found, p10_restored)
 }
 
 #: Only what SQL can say over whole tables.

@@ -385,6 +385,13 @@ def test_no_evidence(path, text):
 def test_notices_are_hidden_from_the_features():
     text = "\n".join(f"export const a{i} = {i};" for i in range(20))
     assert handwritten.evidence("a.js", "// Code generated by x. DO NOT EDIT.\n" + text)[1] == text
-    data = json.dumps([[i * 7919 % 10007, i * 104729 % 10007] for i in range(100)], indent=0)
-    assert handwritten.uniform(data.replace("\n", " ").replace("], [", "],\n["), handwritten.features(data.replace("\n", " ").replace("], [", "],\n["))) == "bulk data"
-    assert len(handwritten.features("")) == len(handwritten.FEATURES)
+    data = json.dumps([[i * 7919 % 10007, i * 104729 % 10007] for i in range(100)], indent=0).replace("\n", " ").replace("], [", "],\n[")
+    values, share = handwritten.features(data)
+    assert handwritten.listed(data, share, values[handwritten.FEATURES.index("top_shape")])
+    assert len(handwritten.features("")[0]) == len(handwritten.FEATURES)
+
+
+def test_banners_and_lock_signs_are_read_whole():
+    banner = "/*\n" + " * A long note about the authors of it.\n" * 60 + " * Vendored from upstream lib 1.2.3; do not patch locally.\n */\nlet a;\n"
+    assert handwritten.evidence("a/x.ts", banner) == (["upstream banner"], "let a;\n")
+    assert "lock file" in handwritten.evidence("a/x.yaml", "# note\n" * 1000 + "lockfileVersion: '6.0'\n")[0]
