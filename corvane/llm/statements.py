@@ -18,7 +18,6 @@ from .lexer_maps import S
 _KEYWORDS = frozenset(keyword.kwlist)
 _NAME = re.compile(rf"\b(?!(?:{'|'.join(keyword.kwlist)}|match|case|type|print)\b)[^\W\d]\w*")
 _NUMBER = re.compile(r"(?<![\w.])(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|(?:0(?:_?0)*|[1-9](?:_?\d)*))(?!\w)")
-_SPACE = re.compile(r"[ \t\f]+")
 _TOKEN = re.compile(rf"[^\W\d]\w*|\d[\w.]*|{S}|\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|->|:=|[-+*/%&|^@]=|[=!<>]=|[-+*/%&|^~@=<>.,:;()\[\]{{}}]|\S")
 _UNARY = frozenset("+ - ~ not await".split())
 _BINARY = frozenset("+ - * / // % ** @ & | ^ << >> < > <= >= == != and or in is".split())
@@ -29,8 +28,8 @@ NEED, HAVE, MAYBE = range(3)  # an operand must come, has come, may come
 
 
 def python_shapes(masked: str) -> str:
-    """Names and numbers as one sign each; keywords stay."""
-    return _SPACE.sub(" ", _NUMBER.sub("0", _NAME.sub("n", masked)))
+    """Names and numbers as one sign each; keywords and blanks stay."""
+    return _NUMBER.sub("0", _NAME.sub("n", masked))
 
 
 def _expression(tokens: list[str], params: bool = False, target: bool = False) -> str | None:

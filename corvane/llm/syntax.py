@@ -260,6 +260,7 @@ _TOPS = {"java": _JAVA_TOP, "go": re.compile(r"(?:package|import|func|type|var|c
 _PACKAGE = re.compile(r"\s*package[ \t]+[A-Za-z_]\w*[ \t]*(?:;|$)", re.M)
 _UNFINISHED = re.compile(r"(?:[=+*/%&|^,.?:(\[{]|[-<]|\b(?:function|class|const|let|var|new|import|export|default|typeof|throw|else|extends|async\s+function\s+\w+|function\s+[\w$]+|class\s+[\w$]+|import\s+[\w${}*, ]+|from))\s*$")
 _STEP = re.compile(r"[()\[\]{}]")
+_STEPS = {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}
 
 
 def _judged(text: str, language: str) -> str | None:
@@ -342,7 +343,7 @@ def _piece(text: str, language: str, state: int) -> Piece:
     if faults or brackets is None:
         return Piece(leaves, frozenset(faults), brackets, "", False)
     if language in ("python", "toml"):
-        return _by_lines(python_shapes_kept(m) if language == "python" else m, language, leaves, brackets)
+        return _by_lines(python_shapes(m) if language == "python" else m, language, leaves, brackets)
     ends = [x.end() for x in _ENDS[language].finditer(m)]
     if not ends:
         return Piece(leaves, frozenset(), brackets, m, False)
@@ -352,10 +353,6 @@ def _piece(text: str, language: str, state: int) -> Piece:
     return Piece(leaves, frozenset(faults), brackets, m[: ends[0]], True, _loose(between, language) if language in _TOPS else None, m[ends[-1] :])
 
 
-def python_shapes_kept(text: str) -> str:
-    return "\n".join(_indent(line) + python_shapes(line.lstrip()) for line in text.split("\n")) if text else text
-
-
 def _indent(line: str) -> str:
     return line[: len(line) - len(line.lstrip(" \t\f"))]
 
@@ -365,8 +362,8 @@ def _logical(text: str, depth: int) -> tuple[list[str], str]:
     out, start, at = [], 0, 0
     for line in text.splitlines(keepends=True) if "\x0b" not in text and "\x0c" not in text else re.findall(r"[^\n]*\n|[^\n]+", text):
         at += len(line)
-        for b in _STEP.findall(line):
-            depth += 1 if b in "([{" else -1
+        if found := _STEP.findall(line):
+            depth += sum(map(_STEPS.__getitem__, found))
         if depth == 0 and line.endswith("\n"):
             out.append(text[start:at])
             start = at
