@@ -1,9 +1,10 @@
 """Credentials in source code and configuration: where they stand, and the content with each of them redacted.
 
-One deterministic automaton (Aho-Corasick over token prefixes, key armor, connection-string signs and the names credentials go by) reads
-the text once, in overlapping windows when it is long; absolute spans found twice count once. Around each hit the grammars of the token
-formats, armor, connection strings, assignments, calls, headers, options and comments decide, and a value must look like a secret:
-placeholders, references to an environment or vault, patterns, public keys, checksums, ids and names of secrets don't count.
+Token formats, key armor and connection strings are one deterministic automaton: their grammars are joined and made deterministic as the text
+needs it, and it is entered where a trie of their first characters (Aho-Corasick) says that one may begin. The same trie knows the names that
+credentials go by; the lines with such a name are read by grammars of assignments, calls, headers, options and comments, and there a value
+must look like a secret: placeholders, references to an environment or vault, patterns, public keys, checksums, ids and names of secrets
+don't count. Long texts are scanned in overlapping windows; absolute spans found twice count once.
 
 Null and empty contents hold nothing. Rows that repeat a key with the same content give the same lines once. Redaction replaces only the
 characters of the secret, so quotes, lines and columns before it stay as they were; texts without a finding aren't changed.
@@ -29,38 +30,132 @@ PLACEHOLDER = "<redacted>"
 
 # --- the automaton ------------------------------------------------------------------------------------------------------------------
 
-# Prefixes of public token formats.
-_PREFIXES = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "whsec_", "eyj", "aiza", "lk-prod-", "npm_", "pypi-", "sg.", "ya29.", "hf_", "dop_v1_", "tok_", "key_live_", "key_prod_")
-# The names that credentials go by (matched without case and without signs between words).
-_NAMES = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "signingkey", "signing_key", "privatekey", "private_key", "credential", "auth", "_pass", "pass ", "pass:", "pass=", 'pass"', "pw ", "pw:", "pw=", "bearer ", "basic ", "encryption_key", "encryptionkey", "account_key", "accountkey", "sharedkey", "shared_key", "client_key", "webhook", "sentry", "jdbc", "dsn", "key is", "key:", "key ", "login", "export ")
-_CALLS = ("login(", "connect(", "configure(", "open(", "authenticate(", "signin(", "setdefault(")
-_OTHER = ("-----begin", "://", "\" + \"", "' + '")
+_DIGITS, _UPPER = frozenset("0123456789"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_ALNUM = _DIGITS | _UPPER | frozenset("abcdefghijklmnopqrstuvwxyz")
+_WORD, _DASHED, _BASE64 = _ALNUM | {"_"}, _ALNUM | {"_", "-"}, _ALNUM | frozenset("+/=")
+
+
+class _Not(frozenset):
+    """All characters but these and blanks."""
+
+    def __contains__(self, c: object) -> bool:
+        return not (frozenset.__contains__(self, c) or str(c).isspace())
+
+
+# Public token formats, as literals and runs (characters, least length, whether it may be longer).
+_MORE = True
+FORMATS: list[tuple[str, list]] = [
+    *(("token", [p, (_DIGITS | _UPPER, 16, False)]) for p in ("AKIA", "ASIA")),
+    *(("token", [f"gh{c}_", (_ALNUM, 30, _MORE)]) for c in "pousr"),
+    ("token", ["github_pat_", (_WORD, 40, _MORE)]),
+    ("token", ["glpat-", (_DASHED, 20, _MORE)]),
+    *(("token", [f"xox{c}-", (_DIGITS, 6, _MORE), "-", (_ALNUM | {"-"}, 12, _MORE)]) for c in "abprs"),
+    *(("token", [p, (_ALNUM, 16, _MORE)]) for p in ("sk_live_", "rk_live_", "lk-prod-", "key_live_", "key_prod_")),
+    ("token", ["whsec_", (_BASE64, 20, _MORE)]),
+    ("token", ["eyJ", (_DASHED, 8, _MORE), ".", (_DASHED, 8, _MORE), ".", (_DASHED, 8, _MORE)]),
+    ("token", ["AIza", (_DASHED, 30, _MORE)]),
+    *(("token", [p, (_ALNUM, 30, _MORE)]) for p in ("npm_", "hf_")),
+    ("token", ["pypi-", (_DASHED, 40, _MORE)]),
+    ("token", ["SG.", (_DASHED, 16, _MORE), ".", (_DASHED, 16, _MORE)]),
+    ("token", ["ya29.", (_DASHED, 20, _MORE)]),
+    ("token", ["dop_v1_", (_DIGITS | frozenset("abcdef"), 60, _MORE)]),
+    ("token", ["tok_", (_ALNUM, 20, _MORE)]),
+    # Up to three words may stand before the kind of the key.
+    *(("armor", ["-----BEGIN ", *[(_DIGITS | _UPPER, 1, _MORE), " "] * n, "PRIVATE KEY", block, "-----"]) for n in range(4) for block in ("", " BLOCK")),
+    ("connection", ["://", (_Not("/:@\"'`<>"), 0, _MORE), ":", (_Not("@/\"'`"), 1, _MORE), "@", (_ALNUM | {"["}, 1, False)]),
+]
+
+
+class Automaton:
+    """The formats as one deterministic automaton: a state is the set of places in the formats that the characters so far may have led to.
+    States and transitions are made when a text first needs them and kept."""
+
+    def __init__(self, formats: list[tuple[str, list]] = FORMATS):
+        self.edges: list[list[tuple[frozenset, int]]] = []
+        self.jumps: dict[int, int] = {}  # places that may be left without a character
+        self.ends: dict[int, str] = {}
+        starts = []
+        for kind, parts in formats:
+            at = self._place()
+            starts.append(at)
+            for part in parts:
+                for c in part if isinstance(part, str) else ():
+                    at = self._step(at, frozenset(c))
+                if not isinstance(part, str):
+                    chars, least, more = part
+                    for _ in range(least):
+                        at = self._step(at, chars)
+                    if more:
+                        self.edges[at].append((chars, at))
+            self.ends[at] = kind
+        self.sets: dict[frozenset[int], int] = {}
+        self.members: list[frozenset[int]] = []
+        self.next: list[dict[str, int]] = []
+        self.kind: list[str | None] = []
+        self.dead = self._state(frozenset())
+        self.start = self._state(frozenset(starts))
+
+    def _place(self) -> int:
+        self.edges.append([])
+        return len(self.edges) - 1
+
+    def _step(self, at: int, chars: frozenset) -> int:
+        new = self._place()
+        self.edges[at].append((chars, new))
+        return new
+
+    def _state(self, places: frozenset[int]) -> int:
+        if places not in self.sets:
+            self.sets[places] = len(self.members)
+            self.members.append(places)
+            self.next.append({})
+            self.kind.append(next((self.ends[p] for p in sorted(places) if p in self.ends), None))
+        return self.sets[places]
+
+    def match(self, text: str, at: int) -> tuple[int, str] | None:
+        """End and kind of the longest format that begins at a place of the text."""
+        state, found = self.start, None
+        for i in range(at, len(text)):
+            c = text[i]
+            to = self.next[state].get(c)
+            if to is None:
+                to = self._state(frozenset(t for p in self.members[state] for chars, t in self.edges[p] if c in chars))
+                if c < "\x80":
+                    self.next[state][c] = to
+            if to == self.dead:
+                break
+            state = to
+            if self.kind[state]:
+                found = i + 1, self.kind[state]
+        return found
+
+
+# The names that credentials go by; a sign may stand between their words.
+NAMES = ("pass", "pwd", "secret", "token", "api key", "access key", "signing key", "private key", "encryption key", "account key", "shared key", "client key", "credential", "auth", "bearer", "webhook", "sentry", "jdbc", "dsn")
+# What else a line of the other grammars holds: calls, options, headers, comments, joined literals.
+_MARKS = ("login", "connect(", "configure(", "open(", "signin(", "sign_in(", "setdefault(", " -p ", " -p=", "-key", "basic ", "digest ", "pw ", "pw:", "pw=", "key is", "key:", "key ", "key=", "key\"", "key'", '" + "', "' + '", '" .')
 
 
 @lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
+def trie() -> ahocorasick.Automaton:
+    """Where a format may begin (its length) and where a line is to be read (0), in lower case."""
     a = ahocorasick.Automaton()
-    for word in (*_PREFIXES, *_NAMES, *_CALLS, *_OTHER):
-        a.add_word(word, len(word))
+    for word in (*(n.replace(" ", sign) for n in NAMES for sign in (("", "_", "-", " ") if " " in n else ("",))), *_MARKS):
+        a.add_word(word, 0)
+    for _, parts in FORMATS:
+        a.add_word(parts[0].lower(), len(parts[0]))
     a.make_automaton()
     return a
 
 
 # --- grammars -----------------------------------------------------------------------------------------------------------------------
 
-_FORMATS = re.compile(
-    r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abprs]-[0-9]{6,}-[0-9A-Za-z-]{12,}|[sr]k_live_[A-Za-z0-9]{16,}|whsec_[A-Za-z0-9+/=]{20,}"
-    r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|AIza[\w-]{30,}|lk-prod-[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{40,}|SG\.[\w-]{16,}\.[\w-]{16,}|ya29\.[\w-]{20,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{60,}|tok_(?=\w*\d)[A-Za-z0-9]{20,}|key_(?:live|prod)_[A-Za-z0-9]{16,})"
-)
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_CONNECTION = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s@/\"'`]+)@[A-Za-z0-9\[]")
 
 _STRING = r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`"
 _QUOTED = re.compile(_STRING)
-_NAME = (
-    r"(?:[\w.-]*?)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|signing[_-]?key|private[_-]?key|encryption[_-]?key|account[_-]?key|shared[_-]?key|client[_-]?key|credentials?|auth(?:orization)?|bearer|webhook|sentry|jdbc|dsn)(?:[\w.-]*)"
-)
+_NAME = r"(?:[\w.-]*?)(?:" + "|".join(n.replace(" ", "[_-]?") for n in NAMES) + r")(?:[\w.-]*)"
 _ASSIGN = re.compile(rf"(?i)(?<![\w$])([\"']?)({_NAME})\1\s*(?::=|=>|=(?!=)|:(?!:))\s*|(?i:\.set|setdefault|putenv|setenv|setProperty|put)\(\s*[\"']({_NAME})[\"']\s*,\s*")
 _TYPED = re.compile(rf"(?i)(?<![\w$])({_NAME})\s*:\s*[\w\[\]|<> ]+?=\s*")
 _BARE = re.compile(r"[^\s\"'`,;#(){}\[\]][^\s\"'`,;(){}]*")
@@ -70,13 +165,17 @@ _SCHEME = re.compile(r"(?i)[\"' ](?:bearer|basic|token)\s+([A-Za-z0-9+/=_.~-]{16
 _OPTION = re.compile(r"(?i)(?<![\w-])(?:-p|--?(?:password|passwd|pass|pwd|token|auth|api-?key|secret|access-?key|client-?secret|credential))[ =]+([^\s\"'`<>;,)]{5,})")
 _COMMENT = re.compile(r"(?i)(?://|#|\*|--|<!--|/\*)[^\n]*?\b(?:password|passwd|pwd|pw|token|secret|api[ _-]?key|key|credentials?|login|passphrase)\b((?:[ \t]+[\w-]+){0,4}?)[ \t:=]+([^\s\"'`<>,;]{6,})")
 
+# Words of placeholders and references begin where no letter or digit stands before: random characters may spell them.
 _NO_SECRET = re.compile(
-    r"(?i)\*{3}|x{5,}|\.{3}|…|<|>|\$\{|\{\{|\}\}|%\(|\$\(|^\$|^%|your[-_ ]|change[-_ ]?me|set[-_ ]?me|replace|placeholder|example|dummy|fake|sample[-_]?(?:key|token)|paste|redacted|not[-_ ]?a[-_ ]?real|todo|fixme|^(?:none|null|nil|true|false|undefined|yes|no)$|process\.env|os\.environ|getenv|vault|secretsmanager|keyring"
+    r"(?i)\*{3}|x{5,}|\.{3}|…|<|>|\$\{|\{\{|\}\}|%\(|\$\(|^\$|^%|example(?:key)?$|^(?:none|null|nil|true|false|undefined|yes|no)$|process\.env|os\.environ|getenv|secretsmanager"
+    r"|(?<![A-Za-z0-9])(?:your[-_ ]|change[-_ ]?me|set[-_ ]?me|replace|placeholder|example|dummy|fake(?![A-Za-z0-9])|sample[-_]?(?:key|token)|paste|redacted|not[-_ ]?a[-_ ]?real|todo(?![A-Za-z0-9])|fixme|vault(?![A-Z0-9])|keyring)"
 )
+_NO_KEY = re.compile(r"\*{3}|x{5,}|X{5,}|\.{3}|…|<|>|\$\{|\{\{|(?i:(?<!\w)(?:your|paste|placeholder|example|redacted|replace)(?!\w))")
 _PATTERN = re.compile(r"\[[^\]]*\][+*?{]|\\[dwsSWDb]|\(\?|\.\*|\.\+|\(\w+(?:\|\w+)+\)|\^|\[[^\]]+-[^\]]+\]")
 # Names that say where or how a secret is kept, not what it is.
 _ABOUT = re.compile(r"(?i)(?:[_-](?:name|path|file|url|uri|ref|id|field|pattern|regex|header|kind|type|mode|limit|env|ttl|length|size|count|hash|digest|policy|label|prefix|format|endpoint)|(?:Name|Path|File|Field|Pattern|Regex|Header|Kind|Type|Env|Ttl|Id))$|public[_-]?key|\bauthor")
 _HEX = re.compile(r"[0-9a-fA-F]+")
+_BASE64_VALUE = re.compile(r"(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=\D*\d)[A-Za-z0-9+/]{30,}={1,2}")
 _SIGNS = re.compile(r"[^A-Za-z0-9]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
@@ -113,7 +212,7 @@ def secret_like(value: str, loose: bool = False) -> bool:
 
 class Scanner:
     def __init__(self):
-        self.automaton = automaton()
+        self.trie, self.automaton = trie(), Automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Absolute (start, end, kind) of each secret, in order and without overlaps."""
@@ -122,40 +221,51 @@ class Scanner:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found: set[tuple[int, int, str]] = set()
         for at in range(0, max(1, len(text)), WINDOW_CHARS - OVERLAP_CHARS):
-            last = -1
-            for end, _ in self.automaton.iter(low, at, min(len(text), at + WINDOW_CHARS)):
-                if end < last:
-                    continue  # its line has been read
-                start = text.rfind("\n", 0, end) + 1
-                last = text.find("\n", end)
-                last = len(text) if last < 0 else last
-                self._line(text, start, last, found)
+            read = -1
+            for end, length in self.trie.iter(low, at, min(len(text), at + WINDOW_CHARS)):
+                if length:
+                    self._format(text, end - length + 1, found)
+                elif end >= read:  # or else its line has been read
+                    start = text.rfind("\n", 0, end) + 1
+                    read = text.find("\n", end)
+                    read = len(text) if read < 0 else read
+                    self._line(text, start, read, found)
             if at + WINDOW_CHARS >= len(text):
                 break
         return _disjoint(found)
 
+    def _format(self, text: str, at: int, found: set) -> None:
+        """A token, key or connection string that begins here."""
+        if not (m := self.automaton.match(text, at)):
+            return
+        end, kind = m
+        if kind == "connection":
+            s = text.index(":", at + 3) + 1
+            v = text[s : text.index("@", s)]
+            if text[at - 1 : at].isalnum() and not _NO_SECRET.search(v) and len(v) >= 4 and not v.startswith(("$", "%", "{")) and v.lower() not in ("password", "pass", "passwd", "pwd", "secret"):
+                found.add((s, s + len(v), "connection string"))
+        elif kind == "armor":
+            stop = _ARMOR_END.search(text, end)
+            last = stop.start() if stop else self._armor_stop(text, end)
+            body = text[end:last]
+            if re.search(r"[A-Za-z0-9+/=]{16,}", body) and not _NO_KEY.search(body):
+                found.add((at, stop.end() if stop else last, "private key"))
+        elif not (at and text[at - 1] in _DASHED) and self._token(text[at:end]):
+            found.add((at, end, "token"))
+
+    def _token(self, v: str) -> bool:
+        return not _NO_SECRET.search(v) and not (v.startswith("tok_") and not any(map(str.isdigit, v)))
+
+    def _is_token(self, v: str) -> bool:
+        return (m := self.automaton.match(v, 0)) is not None and m == (len(v), "token") and self._token(v)
+
     def _line(self, text: str, start: int, end: int, found: set) -> None:
         line = text[start:end]
         add = lambda s, e, kind: found.add((start + s, start + e, kind))
-        if "-----" in line and (m := _ARMOR.search(line)):
-            stop = _ARMOR_END.search(text, start + m.end())
-            body = text[start + m.end() : stop.start() if stop else min(len(text), start + m.end() + 400)]
-            if not re.search(r"[A-Za-z0-9+/=]{16,}", body) or _NO_SECRET.search(body[:200]):
-                return  # armor around a placeholder
-            found.add((start + m.start(), stop.end() if stop else self._armor_stop(text, start + m.end()), "private key"))
-            return
-        for m in _FORMATS.finditer(line):
-            if not _NO_SECRET.search(m.group()):
-                add(m.start(), m.end(), "token")
         if '" + "' in line or "' + '" in line or '" .' in line:
             for m in _QUOTED.finditer(line):
                 first = next((x for x in m.groups() if x is not None), "")
                 self._joined(line, m.end(), first, "", add, m.end() - 1 - len(first), formats=True)
-        if "://" in line:
-            for m in _CONNECTION.finditer(line):
-                v = m.group(1)
-                if not _NO_SECRET.search(v) and len(v) >= 4 and not v.startswith(("$", "%", "{")) and v.lower() not in ("password", "pass", "passwd", "pwd", "secret"):
-                    add(m.start(1), m.end(1), "connection string")
         for m in _ASSIGN.finditer(line):
             self._value(line, m.end(), m.group(2) or m.group(3), add)
         if ":" in line and "=" in line:
@@ -178,7 +288,7 @@ class Scanner:
         if m := _COMMENT.search(line):
             for w in re.finditer(r"[^\s\"'`<>,;]{6,}", line[m.start(1) :]):
                 v = w.group().rstrip(".)")
-                if _HEX.fullmatch(v) and len(v) >= 32 and secret_like(v) or secret_like(v, loose=True) and _SIGNS.search(v.strip("_-.")) and re.search(r"\d", v) and not re.search(r"[()\[\]{}=]", v) and not re.fullmatch(r"[\w./-]+:\d+|[\w.-]+/[\w./-]+|\w+_\w+", v):
+                if _HEX.fullmatch(v) and len(v) >= 32 and secret_like(v) or secret_like(v, loose=True) and _SIGNS.search(v.strip("_-.")) and re.search(r"\d", v) and not re.search(r"[()\[\]{}=]", v.rstrip("=")) and not re.fullmatch(r"[\w./-]+:\d+|[\w.-]+/[\w./-]+|\w+_\w+", v) or _BASE64_VALUE.fullmatch(v) and secret_like(v, loose=True):
                     add(m.start(1) + w.start(), m.start(1) + w.start() + len(v), "comment")
 
     def _armor_stop(self, text: str, at: int) -> int:
@@ -205,7 +315,7 @@ class Scanner:
         m = _BARE.match(line, at)
         if m and line[m.end() :].strip() in ("", ",") or m and line[m.end() :].lstrip().startswith("#"):
             v = m.group()
-            if re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[\w$]+)+", v) and not _FORMATS.fullmatch(v) or _ABOUT.search(name):
+            if re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[\w$]+)+", v) and not self._is_token(v) or _ABOUT.search(name):
                 return
             if re.fullmatch(r"\w+", v):
                 # Perhaps the name of a variable: only hexadecimal or much disorder is a literal.
@@ -228,7 +338,7 @@ class Scanner:
             parts.append((m.start(k), m.end(k)))
             whole += m.group(k)
             end = m.end()
-        if not parts or not (_FORMATS.fullmatch(whole) or secret_like(whole, loose=formats) and (not formats or len(whole) >= 10 and "/" not in whole and _entropy(whole) >= 3.2)):
+        if not parts or not (self._is_token(whole) or secret_like(whole, loose=formats) and (not formats or len(whole) >= 10 and "/" not in whole and _entropy(whole) >= 3.2)):
             return False
         if start is not None:
             add(start, start + len(first), "assignment")
@@ -293,19 +403,22 @@ def credential_lines(df: DataFrame, id_col: str = "chunk_id", content_col: str =
     return flat_map(df.where(F.col(content_col).isNotNull() & (F.length(content_col) > 5)), [F.col(id_col).alias("id"), F.col(content_col).alias("content")], make, f"{id_col} {kind}, line_no int, kind string").dropDuplicates([id_col, "line_no"])
 
 
-def redacted(df: DataFrame, id_col: str = "chunk_id", content_col: str = "content") -> DataFrame:
-    """Every row's id with its content redacted, and the number of secrets; null contents stay null."""
+def redacted(df: DataFrame, id_col: str = "chunk_id", content_col: str = "content", time_col: str | None = "created_at", found_only: bool = False) -> DataFrame:
+    """Each id with its content redacted, and the number of secrets; null contents stay null. A rewritten row counts by its latest version (of
+    versions written at once, the largest). found_only leaves out ids without a secret, and only what is found is shuffled."""
 
     def make() -> Callable:
         spans = _scanner().spans
 
-        def row(key, text) -> Iterable[tuple]:
-            if not text:
-                return [(key, text, 0)]
-            found = spans(text)
-            return [(key, redact(text, found) if found else text, len(found))]
+        def row(key, at, text) -> Iterable[tuple]:
+            found = spans(text) if text else []
+            return [(key, at or "", None if found_only and not found else redact(text, found) if found else text, len(found))]
 
         return row
 
     kind = df.schema[id_col].dataType.simpleString()
-    return flat_map(df, [F.col(id_col).alias("id"), F.col(content_col).alias("content")], make, f"{id_col} {kind}, redacted string, secrets int")
+    at = F.col(time_col).cast("string") if time_col else F.lit("")
+    each = flat_map(df, [F.col(id_col).alias("id"), at.alias("at"), F.col(content_col).alias("content")], make, f"id {kind}, at string, redacted string, secrets int")
+    latest = each.groupBy("id").agg(F.max(F.struct("at", F.coalesce("redacted", F.lit("")).alias("order"), "redacted", "secrets")).alias("x"))
+    out = latest.select(F.col("id").alias(id_col), "x.redacted", "x.secrets")
+    return out.where("secrets > 0") if found_only else out

@@ -35,7 +35,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """The chunks that hold credentials, redacted."""
-    return credentials.redacted(table(spark, sf, "code_chunks")).where("secrets > 0")
+    return credentials.redacted(table(spark, sf, "code_chunks"), found_only=True)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

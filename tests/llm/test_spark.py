@@ -41,6 +41,9 @@ def test_credentials(spark):
     assert {(r.chunk_id, r.line_no) for r in credentials.credential_lines(df).collect()} == {("a", 2), ("d", 50_001)}
     red = {r.chunk_id: r for r in credentials.redacted(df).collect()}
     assert red["a"].redacted == 'x\ntoken = "<redacted>"' and red["b"].redacted is None and red["c"].redacted == ""
+    assert len(credentials.redacted(df).collect()) == 4 and {r.chunk_id for r in credentials.redacted(df, found_only=True).collect()} == {"a", "d"}
+    rewritten = chunks(spark, [("a", "x\n" + key, None, None, None, 1, "1"), ("a", "x", None, None, None, 1, "2")])
+    assert credentials.redacted(rewritten, found_only=True).count() == 0
     assert credentials.credential_lines(chunks(spark, [])).count() == 0
 
 
