@@ -1,19 +1,21 @@
 """Functions paired with their documentation.
 
-The head of each chunk is parsed by a generalised LL recogniser over an ambiguous grammar (comments, annotations, signature, docstring);
-where no unit begins at a token, that token is skipped, so functions are found in broken files as well. What the documentation says is
-reduced to sentences: directives, rulers, tags, placeholders and disabled code say nothing, nor do the words of the name. Descriptions that
-the corpus repeats for many names are templates: they are counted by hash over all rows and dropped.
-
-Null and empty contents, and chunks of other types, give no pair. Rewritten rows count once, by the latest created_at. Ties of
-created_at are broken by the text.
+A text is cut into tokens, and wherever a function may begin a generalised LL recogniser with an ambiguous grammar (comments, annotations,
+signature, docstring) reads its head; where none begins the token is skipped, so functions are found in broken files as well. The body is
+followed to its end by brackets or indentation, and functions within it are read too; a function whose body never ends is marked as broken.
+What the documentation says is reduced to sentences: directives, rulers, tags, placeholders and disabled code say nothing, nor do the words
+of the name. Descriptions that the corpus repeats for many names are templates: they are counted by hash over all rows and dropped.
+
+Null and empty contents, and chunks of other types, give no pair. Of rewritten rows the latest created_at counts, whether or not it is
+documented. Ties of created_at are broken by the name and the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,62 +56,164 @@ _PYTHON = GLL({
 })
 
 _CURLY_TOKEN = re.compile(
-    r"(?P<C>/\*.*?(?:\*/|\Z)|//[^\n]*)|(?P<B>\n[ \t\r]*\n\s*)|\s+|(?P<S>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)|(?P<A>@(?!interface\b)[A-Za-z_][\w.]*)|(?P<P>[()\[\]{}])|(?P<W>[\w$.]+)|(?P<O>:|[^\s\w])", re.S
+    r"(?P<C>/\*.*?(?:\*/|\Z)|//[^\n]*)|(?P<B>\n[ \t\r]*\n\s*)|\s+|(?P<S>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|(?<=[(,=:\[!&|?{};\n ])/(?![/*\s])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*(?=\s*[.,;)\]}\n]))|(?P<A>@(?!interface\b)[A-Za-z_][\w.]*)|(?P<P>[()\[\]{}])|(?P<W>[\w$.]+)|(?P<O>:|[^\s\w])", re.S
 )
 _PYTHON_TOKEN = re.compile(
     r"(?P<C>\#[^\n]*)|(?P<B>\n[ \t\r]*\n\s*)|\s+|\\\n|(?P<S>[rRuUbBfF]{0,2}(?:\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\.)*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))|(?P<A>@[A-Za-z_][\w.]*)|(?P<P>[()\[\]{}:])|(?P<W>[\w.]+)|(?P<O>->|[^\s\w])", re.S
 )
 
 
-def _tokens(text: str, python: bool) -> list[tuple[str, int, int]]:
-    """Tokens of the head: up to the body's bracket, or to the first token after the colon."""
+class Unit(NamedTuple):
+    """A function: its name, its documentation (start and end; equal if there is none), its end, whether the body is whole."""
+
+    name: str
+    start: int
+    doc: tuple[int, int]
+    end: int
+    whole: bool
+
+
+def _tokens(text: str, python: bool, head_only: bool) -> list[tuple[str, int, int]]:
+    """Kind, start and end of the tokens; head_only stops where the first body begins."""
+    found = ((k if k != "P" else m.group(), *m.span()) for m in (_PYTHON_TOKEN if python else _CURLY_TOKEN).finditer(text) if (k := m.lastgroup))
+    if not head_only:
+        return list(found)
     out: list[tuple[str, int, int]] = []
     depth, closed, colon = 0, False, False
-    for m in (_PYTHON_TOKEN if python else _CURLY_TOKEN).finditer(text):
-        kind = m.lastgroup
-        if kind is None:
-            continue
-        s, e = m.span()
-        if kind == "P":
-            kind = m.group()
-            if kind in "([" or kind == "{" and (depth or not closed):
-                depth += 1
-            elif kind in ")]}":
-                depth -= 1
-                closed = closed or kind == ")" and depth == 0
-            elif kind == "{":
-                out.append((kind, s, e))
-                break
-        out.append((kind, s, e))
+    for token in found:
+        kind = token[0]
+        out.append(token)
         if colon and kind not in "CBS":
             break
-        if python and kind == ":" and depth == 0 and closed:
-            colon = True
-        if len(out) > 4000:
+        if kind in "([" or kind == "{" and (depth or not closed):
+            depth += 1
+        elif kind in ")]}":
+            depth -= 1
+            closed = closed or kind == ")" and depth == 0
+        elif kind == "{":
             break
+        elif python and kind == ":" and depth == 0 and closed:
+            colon = True
     return out
 
 
-def extract(text: str, python: bool) -> tuple[str, int, int] | None:
-    """(documentation, start and end of it in the text) of the first function in the text."""
-    tokens = _tokens(text, python)
+def _head(tokens: list[tuple[str, int, int]], at: int, python: bool) -> int:
+    """Place after the head that begins at a token: after the body's bracket, or after the strings that follow the colon. 0 if what begins
+    here ends before any parameters do."""
+    depth, closed, colon, n = 0, False, False, len(tokens)
+    for i in range(at, n):
+        kind = tokens[i][0]
+        if colon and kind not in "CBS":
+            return i
+        if kind in "([" or kind == "{" and (depth or not closed):
+            depth += 1
+        elif kind in ")]}":
+            depth -= 1
+            if depth < 0:
+                return 0
+            closed = closed or kind == ")" and depth == 0
+        elif kind == "{":
+            return i + 1
+        elif python and kind == ":" and depth == 0:
+            if not closed:
+                return 0
+            colon = True
+    return n
+
+
+# Words before brackets that begin a statement, not a function.
+_CONTROL = frozenset("if for while switch catch return else do try throw new await yield typeof delete in of case assert with elif except print lambda and or not select go defer synchronized super this".split())
+
+
+def _name(text: str, tokens: list[tuple[str, int, int]]) -> str:
+    """The name before the parameters; for a method of Go the one after its receiver."""
+    words: list[str] = []
+    depth = 0
+    for kind, s, e in tokens:
+        if kind == "(" and depth == 0 and words and words != ["func"]:
+            break
+        depth += (kind in ("(", "[", "{")) - (kind in (")", "]", "}"))
+        if kind == "W" and depth == 0:
+            words.append(text[s:e])
+    return words[-1] if words else ""
+
+
+def _body_end(text: str, tokens: list[tuple[str, int, int]], at: int, indent: int, python: bool) -> tuple[int, bool]:
+    """Token after the body, and whether it ends as it should."""
+    depth = 0 if python else 1
+    some = False
+    for i in range(at, len(tokens)):
+        kind, s, _ = tokens[i]
+        if python and depth == 0 and kind not in "BC":
+            line = text.rfind("\n", 0, s) + 1
+            if not text[line:s].strip() and s - line <= indent:
+                return i, some
+            some = True
+        if kind in ("(", "[", "{"):
+            depth += 1
+        elif kind in (")", "]", "}"):
+            depth -= 1
+            if depth < 0:
+                return i, False
+            if not python and depth == 0:
+                return i + 1, True
+    return len(tokens), python and some and depth == 0
+
+
+def units(text: str, python: bool, first_only: bool = False) -> Iterator[Unit]:
+    """The functions of a text in order, those within others too. first_only stops after the first head and doesn't follow its body."""
+    tokens = _tokens(text, python, first_only)
     kinds = [t[0] for t in tokens]
     parser = _PYTHON if python else _CURLY
-    for at in range(len(tokens)):
-        if python and kinds[at] not in "WA" or not python and kinds[at] not in "CWA":
+    at, n = 0, len(tokens)
+    fresh = True  # whether a statement may begin here
+    while at < n:
+        kind = kinds[at]
+        if not fresh and not first_only or kind not in ("WA" if python else "CWA"):
+            fresh = kind in ("{", "}") or kind == "O" and text[tokens[at][1]] == ";" or kind in "BCS" or python
+            at += 1
             continue
-        ends, docs = parser.spans(kinds, "Unit", at, "Doc")
-        if not ends:
-            continue  # recovery: no unit begins here
+        if python and not first_only and kind == "W" and text[tokens[at][1] : tokens[at][2]] not in ("def", "async"):
+            at += 1
+            continue
+        stop = _head(tokens, at, python)
+        ends, docs = parser.spans(kinds[at:stop], "Unit", 0, "Doc") if stop else (set(), set())
+        name = _name(text, [t for t in tokens[at:stop] if t[0] != "A"]) if ends else ""
+        opens = next((text[s:e] for k, s, e in tokens[at:stop] if k == "W"), "")
+        if not ends or not first_only and (name in _CONTROL or opens in _CONTROL):
+            fresh = False if not python else True
+            at += 1
+            continue
+        end = at + max(ends)
+        docs = {d for d in docs if at + d[1] <= end} if python else {d for d in docs if d[0] == 0}
+        doc = (tokens[at][1],) * 2
+        if docs:
+            first, last = max(docs, key=lambda d: (d[1], -d[0]))
+            doc = tokens[at + first][1], tokens[at + last - 1][2]
+        start = tokens[at][1]
+        if first_only:
+            yield Unit(name, start, doc, tokens[end - 1][2], False)
+            return
+        body = next((i for i in range(at, end) if kinds[i] == ":" and python), end - 1) + 1 if python else end
         if python:
-            docs = {d for d in docs if d[1] <= max(ends)}
-        else:
-            docs = {d for d in docs if d[0] == at}
-        if not docs:
-            return None
-        first, last = max(docs, key=lambda d: (d[1], -d[0]))
-        s, e = tokens[first][1], tokens[last - 1][2]
-        return text[s:e], s, e
+            # The colon of the head is the last one outside brackets.
+            depth = 0
+            for i in range(at, end):
+                depth += (kinds[i] in ("(", "[", "{")) - (kinds[i] in (")", "]", "}"))
+                if kinds[i] == ":" and depth == 0:
+                    body = i + 1
+        stop, whole = _body_end(text, tokens, body, start - (text.rfind("\n", 0, start) + 1), python)
+        while stop > end and kinds[stop - 1] in "BC":
+            stop -= 1  # blank lines and comments after the body
+        yield Unit(name, start, doc, tokens[stop - 1][2], whole)
+        at, fresh = end, True
+
+
+def extract(text: str, python: bool) -> tuple[str, int, int] | None:
+    """(documentation, start and end of it in the text) of the first function in the text; None if it has none."""
+    for unit in units(text, python, first_only=True):
+        s, e = unit.doc
+        return (text[s:e], s, e) if e > s else None
     return None
 
 
@@ -208,29 +312,35 @@ def _python(language: str | None, text: str) -> bool:
 
 
 def parsed_pairs(chunks: DataFrame, texts: bool, id_col: str, content_col: str, language_col: str, name_col: str, type_col: str, time_col: str | None) -> DataFrame:
-    """Each documented function: id, name, hash of the description and, if asked for, code and description."""
+    """The latest version of each function: id, name, and, if it is documented, hash of the description and, if asked for, code and description."""
 
     def make() -> Callable:
         def row(key, at, name, language, content) -> Iterable[tuple]:
             python = _python(language, content)
-            # Cheap look first: no sign of a comment or string at the head, no parse.
             found = extract(content, python)
-            if not found:
-                return []
-            description = prose(found[0], python)
+            description = prose(found[0], python) if found else ""
             if not description or not says_more(description, name):
-                return []
+                return [(key, at or "", name or "", None, None, None)]
             code = (content[: found[1]] + content[found[2] :]) if texts else None
-            return [(key, at, name or "", template_key(description, name), code, description if texts else None)]
+            return [(key, at or "", name or "", template_key(description, name), code, description if texts else None)]
 
         return row
 
-    head = r"(?s)^\s*(?:/[/*]|@)|:[ \t\r]*(?:#[^\n]*)?\n\s*(?:#[^\n]*\n\s*)*[rRuUbBfF]{0,2}[\"']|:[ \t]*[rRuUbBfF]{0,2}[\"']"
-    rows = chunks.where(F.col(type_col).isin(*FUNCTION_TYPES) & F.col(content_col).isNotNull() & F.col(content_col).rlike(head))
+    rows = chunks.where(F.col(type_col).isin(*FUNCTION_TYPES) & F.col(content_col).isNotNull())
     kind = chunks.schema[id_col].dataType.simpleString()
     at = F.col(time_col).cast("string") if time_col else F.lit("")
     columns = [F.col(id_col).alias("id"), at.alias("at"), F.col(name_col).alias("name"), F.col(language_col).alias("language"), F.col(content_col).alias("content")]
-    return flat_map(rows, columns, make, f"id {kind}, at string, name string, template string, code string, description string")
+    every = flat_map(rows, columns, make, f"id {kind}, at string, name string, template string, code string, description string")
+    return every.groupBy("id").agg(F.max(F.struct("at", "name", "template", "code", "description")).alias("x")).select("id", "x.name", "x.template", "x.code", "x.description")
+
+
+def without_templates(pairs: DataFrame) -> DataFrame:
+    """Pairs whose description isn't one that the corpus repeats for many names."""
+    per_template = pairs.select("template", "name").distinct().groupBy("template").agg(F.count("*").alias("k"))
+    total = per_template.agg(F.sum("k")).first()[0] or 0
+    # At most 1 / TEMPLATE_SHARE templates can hold such a share of all, so this side has a bound.
+    templates = per_template.where(F.col("k") >= max(TEMPLATE_NAMES, total * TEMPLATE_SHARE)).select("template")
+    return pairs.join(F.broadcast(templates), "template", "left_anti")
 
 
 def documented_functions(
@@ -238,12 +348,40 @@ def documented_functions(
 ) -> DataFrame:
     """Pairs of code (without its documentation) and description; texts=False leaves both out and gives the ids."""
     # The parse is the costly part; its result is written once and read for the counts and for the pairs.
-    pairs = cut(parsed_pairs(chunks, texts, id_col, content_col, language_col, name_col, type_col, time_col))
-    per_template = pairs.select("template", "name").distinct().groupBy("template").agg(F.count("*").alias("k"))
-    total = per_template.agg(F.sum("k")).first()[0] or 0
-    # At most 1 / TEMPLATE_SHARE templates can hold such a share of all, so this side has a bound.
-    templates = per_template.where(F.col("k") >= max(TEMPLATE_NAMES, total * TEMPLATE_SHARE)).select("template")
-    kept = pairs.join(F.broadcast(templates), "template", "left_anti")
-    latest = kept.groupBy("id").agg(F.max(F.struct("at", "name", "code", "description")).alias("x"))
-    out = latest.select(F.col("id").alias(id_col), F.col("x.name").alias("name"), F.col("x.code").alias("code"), F.col("x.description").alias("description"))
+    pairs = cut(parsed_pairs(chunks, texts, id_col, content_col, language_col, name_col, type_col, time_col).where("template is not null"))
+    out = without_templates(pairs).select(F.col("id").alias(id_col), "name", "code", "description")
     return out if texts else out.select(id_col)
+
+
+SOURCES = ("python", "javascript", "typescript", "java", "go")
+
+
+def file_functions(files: DataFrame, id_col: str = "file_id", content_col: str = "content", language_col: str = "language", time_col: str | None = "scanned_at") -> DataFrame:
+    """Every documented function of whole files, broken ones too: id, number of the function, name, lines, whether its body is whole, code and
+    description. Null contents and other languages give none. Of files scanned again the latest counts."""
+
+    def make() -> Callable:
+        def row(key, at, language, content) -> Iterable[tuple]:
+            python, out = language == "python", []
+            line, place = 1, 0
+            for unit in units(content, python):
+                s, e = unit.doc
+                description = prose(content[s:e], python) if e > s else ""
+                if not description or not says_more(description, unit.name):
+                    continue
+                line += content.count("\n", place, unit.start)
+                place = unit.start
+                code = content[unit.start : s] + content[e : unit.end]
+                out.append((unit.name, line, line + content.count("\n", unit.start, unit.end), unit.whole, template_key(description, unit.name), code, description))
+            return [(key, at or "", out)]
+
+        return row
+
+    kind = files.schema[id_col].dataType.simpleString()
+    at = F.col(time_col).cast("string") if time_col else F.lit("")
+    rows = files.where(F.col(id_col).isNotNull() & F.col(language_col).isin(*SOURCES) & F.col(content_col).isNotNull())
+    item = "struct<name:string,start_line:int,end_line:int,whole:boolean,template:string,code:string,description:string>"
+    each = flat_map(rows, [F.col(id_col).alias("id"), at.alias("at"), F.col(language_col).alias("language"), F.col(content_col).alias("content")], make, f"id {kind}, at string, found array<{item}>")
+    latest = each.groupBy("id").agg(F.max(F.struct("at", "found")).alias("x"))
+    pairs = cut(latest.select("id", F.posexplode("x.found").alias("n", "f")).select("id", "n", "f.*"))
+    return without_templates(pairs).select(F.col("id").alias(id_col), "n", "name", "start_line", "end_line", "whole", "code", "description")

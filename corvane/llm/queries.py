@@ -29,6 +29,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return documented.documented_functions(table(spark, sf, "code_chunks"), texts=False)
 
 
+def p3_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every documented function of the whole source files, with its lines."""
+    found = documented.file_functions(table(spark, sf, "scanned_files"))
+    return found.select("file_id", "n", "name", "start_line", "end_line", "whole", F.md5("code").alias("code"), F.length("description").alias("n_chars"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.credential_lines(table(spark, sf, "code_chunks")).select("chunk_id", "line_no")
 
@@ -91,7 +97,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_redacted, p5_found, p6_found, p6_reasons, p6_forest, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p10_found, p10_restored)
+    for f in (p2_found, p2_pieces, p3_found, p3_pairs, p3_files, p4_found, p4_redacted, p5_found, p6_found, p6_reasons, p6_forest, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p10_found, p10_restored)
 }
 
 #: Only what SQL can say over whole tables.

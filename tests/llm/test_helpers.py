@@ -380,6 +380,18 @@ def test_extraction_from_broken_files():
     assert documented.extract(go, False)[0] == "// F keeps it.\n// And more."
 
 
+def test_all_functions_of_broken_files():
+    python = 'broken( = [\n\nclass A:\n    @deco(1)\n    def f(self, a=(1, 2)):\n        """Keeps the oldest entry of each group."""\n        def g():\n            return [1]\n        return g\n\ndef h(x):\n    """Drops it."""\n    return (\n'
+    # The bracket left open above hides nothing.
+    assert [(u.name, python[u.doc[0] : u.doc[1]][:9], u.whole) for u in documented.units(python, True)] == [("f", '"""Keeps ', True), ("g", "", True), ("h", '"""Drops ', False)]
+    java = "class A {\n  /** Keeps the oldest entry. */\n  @Override\n  public List<String> f(String a) throws X {\n    if (a) { g(); }\n    for (int i = 0; i < 3; i++) { }\n  }\n  // Drops the newest.\n  void g() {\n    return;\n"
+    assert [(u.name, java[u.doc[0] : u.doc[1]], u.whole) for u in documented.units(java, False)] == [("f", "/** Keeps the oldest entry. */", True), ("g", "// Drops the newest.", False)]
+    go = "package a\n\n// F keeps it.\nfunc (s *Server) F(a []string) ([]string, error) {\n\tif x := f(a); x {\n\t}\n\treturn nil\n}\n\nfunc g() {\n}\n"
+    assert [(u.name, u.whole) for u in documented.units(go, False)] == [("F", True), ("g", True)]
+    long = "def f(" + ", ".join(f"a{i}=(1, 2)" for i in range(2000)) + '):\n    """Keeps the oldest entry."""\n    return 1\n'
+    assert documented.extract(long, True)[0] == '"""Keeps the oldest entry."""'
+
+
 def test_recogniser_with_left_recursion_and_ambiguity():
     g = GLL({"S": [("S", "S"), ("a",), ()]})
     assert g.spans("aaa", "S", 0, "S")[0] == {0, 1, 2, 3}

@@ -27,6 +27,7 @@ def test_documented_functions_and_templates(spark):
     code = 'def f{0}(x):\n    """{1}"""\n    return x\n'
     rows = [(f"t{i}", code.format(i, "Please consult our manual pages."), "python", f"name{i}", "function", 1, "1") for i in range(30)]
     rows += [("good", code.format("a", "Keeps the oldest entry of every group."), "python", "fa", "function", 1, "1"), ("good", code.format("a", "Keeps the newest entry of every group."), "python", "fa", "function", 1, "2")]
+    rows += [("later", code.format("c", "Keeps the oldest entry of every group."), "python", "fc", "function", 1, "1"), ("later", "def c(x):\n    return x\n", "python", "fc", "function", 1, "2")]
     rows += [("class", code.format("b", "Keeps the oldest entry."), "python", "b", "class", 1, "1"), ("null", None, None, None, "function", None, None), ("blank", "", "go", "", "method", 0, None), ("long", "/** Keeps the very last entries only. */\nfunction g() {\n" + LONG + "}", None, None, "function", 1, None)]
     got = {r.chunk_id: r for r in documented.documented_functions(chunks(spark, rows)).collect()}
     assert set(got) == {"good", "long"}
@@ -34,6 +35,14 @@ def test_documented_functions_and_templates(spark):
     assert documented.documented_functions(chunks(spark, []), texts=False).count() == 0
 
 
+def test_documented_functions_of_files(spark):
+    text = 'def f(x):\n    """Keeps the oldest entry of every group."""\n    return x\n\n\ndef g(x):\n    return (\n'
+    rows = [("a", text, "python", "1"), ("a", text, "python", "1"), ("b", text, "python", "1"), ("b", "x = 1\n", "python", "2"), ("c", None, "python", None), ("d", "", "go", None), ("e", text, None, None), (None, text, "python", "1")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "file_id string, content string, language string, scanned_at string, id string, n string")
+    assert [(r.file_id, r.n, r.name, r.start_line, r.end_line, r.whole) for r in documented.file_functions(df).collect()] == [("a", 0, "f", 1, 3, True)]
+    assert documented.file_functions(df.limit(0)).count() == 0
+
+
 def test_credentials(spark):
     key = 'token = "ghp_' + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8" + '"'
     rows = [("a", "x\n" + key, None, None, None, 1, "1"), ("a", "x\n" + key, None, None, None, 1, "2"), ("b", None, None, None, None, None, None), ("c", "", None, None, None, None, None), ("d", LONG + key, None, None, None, 1, None)]
