@@ -22,7 +22,6 @@ from ..functions.batches import flat_map
 MULTIBYTE_PAGES = ("cp1252", "cp1250", "cp1251", "iso8859_2", "mac_roman", "cp437", "cp850")
 #: (read as, was): single-byte pages taken for one another.
 SINGLE_BYTE_PAIRS = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "iso8859_2"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"))
-MAX_LAYERS = 4
 
 # The byte-structure automaton: well-formed multibyte sequences of UTF-8, as ranges of bytes.
 _SEQUENCES = (
@@ -94,7 +93,7 @@ class Repairer:
     def multibyte(self, text: str) -> tuple[str, list[str], int]:
         """The text with all wrongly decoded multibyte spans restored, the pages found, the number of spans."""
         used, n = [], 0
-        for _ in range(MAX_LAYERS):
+        while True:  # each layer makes the text shorter
             best: tuple[tuple[int, int], str, list] | None = None
             for page in self.pages:
                 spans = page.spans(text)

@@ -77,6 +77,12 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, sf, "documents"))
 
 
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest and length of each document's text, decoded from its token ids."""
+    text = tokenize.decode_ids(p8_ids(spark, sf))
+    return text.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_passages(spark, sf).select("doc_id", "item_id")
 
@@ -97,8 +103,11 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_pairs, p3_files, p4_found, p4_redacted, p5_found, p6_found, p6_reasons, p6_forest, p7_found, p7_rates, p8_ids, p9_found, p9_passages, p10_found, p10_restored)
+    for f in (p2_found, p2_pieces, p3_found, p3_pairs, p3_files, p4_found, p4_redacted, p5_found, p6_found, p6_reasons, p6_forest, p7_found, p7_rates, p8_ids, p8_decoded, p9_found, p9_passages, p10_found, p10_restored)
 }
 
 #: Only what SQL can say over whole tables.
-ORACLES = {"p2_found": "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 2000"}
+ORACLES = {
+    "p2_found": "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 2000",
+    "p8_decoded": "SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, ''))::INT AS n_chars FROM documents",
+}

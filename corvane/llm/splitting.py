@@ -1,11 +1,11 @@
 """Oversized items cut into pieces at natural boundaries, each overlapping the one before.
 
-The text is cut by a hierarchy of separators (section, paragraph, line, sentence, word, character): a part that is still larger than the
+The text is cut by a hierarchy of separators (section, declaration within it, paragraph, line, sentence, word, character): a part that is still larger than the
 limit is cut by the next separator. The parts are packed greedily up to the limit; the next piece begins with the trailing parts of the one
 before, up to the overlap. Pieces without their overlap put together give the text again, character by character.
 
 Only items over the limit give pieces. Null and empty contents give none. Rewritten rows count once, by the latest created_at (then the
-longer, then the larger text). Lines are 1-based in the file; where start_line is null or 0 the pieces' lines are null. A limit counts code
+longer, then the larger text), so an item whose latest version is short gives none. Lines are 1-based in the file; where start_line is null or 0 the pieces' lines are null. A limit counts code
 points, line ends included; a CRLF is never cut.
 """
 
@@ -22,7 +22,13 @@ from ..functions.batches import flat_map
 LIMIT, OVERLAP = 2_000, 200
 
 #: Separators from the widest to the narrowest; a part ends where the match begins, or after it for those that close a part.
-_BEFORE = re.compile(r"\n(?=(?:#{1,6} |(?:@[\w.]+[^\n]*\n)*(?:export |public |private |protected |static |async |abstract |final )*(?:class|interface|enum|struct|def|func|function|fn|impl|type|module|namespace) ))")
+_DECLARED = r"(?:@[\w.]+[^\n]*\n[ \t]*)*(?:export |default |public |private |protected |static |async |abstract |final |override |readonly )*"
+_KINDS = r"(?:class|interface|enum|struct|def|func|function|fn|impl|type|module|namespace) "
+_BEFORE = (
+    re.compile(rf"\n(?=#{{1,6}} |{_DECLARED}{_KINDS})"),
+    # Declarations within others: methods by keyword or by a name, brackets and a brace.
+    re.compile(rf"\n(?=[ \t]+{_DECLARED}(?:{_KINDS}|(?!(?:if|for|while|switch|catch|return|else|do|try|with)\b)[\w$<>\[\], ]*[\w$]\([^\n;]*\)[^\n;(){{}}]*\{{[ \t\r]*\n))"),
+)
 _AFTER = (
     re.compile(r"\n[ \t\r]*\n(?!\s*\n)"),
     re.compile(r"\n"),
@@ -35,7 +41,7 @@ def _cut(text: str, start: int, end: int, level: int, limit: int) -> list[tuple[
     """Parts of text[start:end] up to the limit; a part keeps the separator that closes it."""
     if end - start <= limit:
         return [(start, end)]
-    if level > len(_AFTER):
+    if level == len(_BEFORE) + len(_AFTER):
         out, at = [], start
         while at < end:
             stop = min(end, at + limit)
@@ -44,10 +50,10 @@ def _cut(text: str, start: int, end: int, level: int, limit: int) -> list[tuple[
             out.append((at, stop))
             at = stop
         return out
-    if level == 0:
-        cuts = [m.start() + 1 for m in _BEFORE.finditer(text, start, end)]
+    if level < len(_BEFORE):
+        cuts = [m.start() + 1 for m in _BEFORE[level].finditer(text, start, end)]
     else:
-        cuts = [m.end() for m in _AFTER[level - 1].finditer(text, start, end)]
+        cuts = [m.end() for m in _AFTER[level - len(_BEFORE)].finditer(text, start, end)]
     bounds = [start, *(c for c in cuts if start < c < end), end]
     out = []
     for a, b in zip(bounds, bounds[1:]):
@@ -101,11 +107,13 @@ def oversized_pieces(
 ) -> DataFrame:
     """One row for each piece of each oversized item: id, piece number from 0, character offsets, overlap, lines, text."""
     pieces("", limit, overlap)
-    large = df.where(F.length(content_col) > limit)  # the JVM drops everything else before any shuffle
     kind = df.schema[id_col].dataType.simpleString()
-    order = F.struct(F.col(time_col).cast("string") if time_col else F.lit(""), F.length(content_col), F.col(content_col))
+    # Short texts take part in finding the latest version, but not with their characters.
+    large = F.when(F.length(content_col) > limit, F.col(content_col))
+    order = F.struct(F.col(time_col).cast("string") if time_col else F.lit(""), F.length(content_col), large)
     start = F.col(start_col).cast("int") if start_col else F.lit(None).cast("int")
-    latest = large.groupBy(F.col(id_col).alias("id")).agg(F.max_by(F.struct(F.col(content_col).alias("content"), start.alias("line")), order).alias("x")).select("id", "x.content", "x.line")
+    known = df.where(F.col(content_col).isNotNull())
+    latest = known.groupBy(F.col(id_col).alias("id")).agg(F.max_by(F.struct(large.alias("content"), start.alias("line")), order).alias("x")).select("id", "x.content", "x.line").where("content is not null")
 
     def make() -> Callable:
         def row(key, content, line) -> Iterable[tuple]:

@@ -175,3 +175,19 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = df.schema[id_col].dataType.simpleString()
     return flat_map(df, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], make, f"{id_col} {kind}, ids array<int>").dropDuplicates([id_col])
+
+
+def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """id and text of every list of ids; a null list gives a null text."""
+    with open(path or vocabulary_path(), "rb") as f:
+        data = f.read()
+    if len(data) > MAX_FILE_BYTES:
+        raise ValueError("the vocabulary file is larger than may be broadcast")
+    sent = df.sparkSession.sparkContext.broadcast(data)
+
+    def make() -> Callable:
+        decode = encoder_of(sent.value).decode
+        return lambda key, ids: [(key, None if ids is None else decode(ids))]
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return flat_map(df, [F.col(id_col).alias("id"), F.col(ids_col).alias("ids")], make, f"{id_col} {kind}, text string")

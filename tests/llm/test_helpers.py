@@ -38,6 +38,13 @@ def test_pieces_cut_at_natural_places():
         splitting.pieces("x", 5, 5)
 
 
+def test_pieces_of_a_class_begin_with_its_methods():
+    python = "class A:\n" + "".join(f"    def f{i}(self):\n        a = {i}\n\n        return a\n\n" for i in range(30))
+    java = "class A {\n" + "".join(f"    public int f{i}(int a) {{\n        if (a > {i}) {{\n            a--;\n        }}\n\n        return a;\n    }}\n\n" for i in range(30)) + "}\n"
+    for text, head in ((python, "    def "), (java, "    public ")):
+        assert all(text[s + o :].startswith(head) for s, _, o in splitting.pieces(text, 300, 0)[1:-1])
+
+
 def test_one_endless_word_is_cut_by_characters():
     assert [e - s for s, e, _ in splitting.pieces("x" * 25, 10, 0)] == [10, 10, 5]
 
@@ -156,6 +163,10 @@ def test_single_byte_pages_double_faults_and_lost_bytes():
     assert repair(("Теперь проверка хранится на узлах").encode("koi8_r").decode("cp1251"))[0] == "Теперь проверка хранится на узлах"
     twice = SAMPLES[1].encode("utf-8").decode("cp1252").encode("utf-8").decode("cp1252")
     assert repair(twice)[0] == SAMPLES[1]
+    deep = SAMPLES[1]
+    for _ in range(7):
+        deep = deep.encode("utf-8").decode("latin-1")
+    assert repair(deep)[0] == SAMPLES[1]
     assert repair("Gr\ufffd\ufffdenangabe")[3] and repair("caf\ufffd")[3]
 
 
