@@ -50,10 +50,12 @@ def call_edges(chunks: DataFrame) -> DataFrame:
     called = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))
     sites = functions.select(F.col("chunk_id").alias("src"), "repo_id", "file_id", F.explode(called).alias("name")).where(F.length("name") >= 2)
     targets = functions.select("repo_id", "file_id", "name", F.col("chunk_id").alias("dst")).where("name is not null")
-    # One join by repository and name; the file decides afterwards, so a second join isn't needed.
-    met = sites.join(targets.withColumnRenamed("file_id", "target_file"), ["repo_id", "name"]).where("src <> dst").withColumn("near", F.col("file_id") == F.col("target_file"))
-    ranked = met.withColumn("any_near", F.max("near").over(Window.partitionBy("src", "name")))
-    return ranked.where("near = any_near").select("src", "dst", F.lit("CALLS").alias("rel_type"), "repo_id").distinct()
+    # Files first: only names that no function of the caller's file has (other than itself) look for one in the repository.
+    near = sites.join(targets.select("file_id", "name", "dst"), ["file_id", "name"]).where("src <> dst").select("src", "dst", "repo_id", "name")
+    left = sites.join(near.select("src", "name").distinct(), ["src", "name"], "left_anti")
+    far = left.join(targets.select("repo_id", "name", "dst"), ["repo_id", "name"]).where("src <> dst")
+    every = near.select("src", "dst", "repo_id").unionByName(far.select("src", "dst", "repo_id")).distinct()
+    return every.select("src", "dst", F.lit("CALLS").alias("rel_type"), "repo_id")
 
 
 def inheritance_edges(classes: DataFrame, refs: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import flat_map
 from ..session import cut, ship
 
 #: Links of one block, forests merged at once, and links between shared nodes that a merge takes into one task at most.
@@ -322,3 +323,69 @@ def all_descendants(links: DataFrame, scope: str = "scope", child: str = "child"
         front = cut(met.join(pairs, ["scope", "ancestor", "descendant"], "left_anti"))
         pairs, reach = pairs.unionByName(front), 2 * reach
     return pairs
+
+
+def linearised(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """scope, node, depth_first and c3 of every node. nodes: scope, node; links: scope, child, parent, position. A node's links and those of
+    all its ancestors come together in its own row, so rows are spread whatever the size of a scope.
+
+    depth_first: the node, then each base in the order of its position with all above it, each node where it comes first; a node already being
+    visited is passed over. c3: the merge of the bases' linearisations and the bases themselves; null if they contradict each other or lie on
+    a cycle. A base named at several positions counts at its first; of classes of one name the smaller comes first."""
+    once = links.groupBy("scope", "child", "parent").agg(F.min("position").alias("position"))
+    above = all_descendants(links).select("scope", F.col("descendant").alias("node"), F.col("ancestor").alias("child"))
+    every = nodes.select("scope", "node").where("node is not null").distinct()
+    own = cut(above.unionByName(every.select("scope", "node", F.col("node").alias("child"))))
+    gathered = own.join(once, ["scope", "child"]).groupBy("scope", "node").agg(F.array_sort(F.collect_list(F.struct("child", "position", "parent"))).alias("links"))
+    kinds = {f.name: f.dataType.simpleString() for f in every.schema}
+
+    def make():
+        def row(scope, node, found):
+            bases: dict = defaultdict(list)
+            for x in found or ():
+                bases[x["child"]].append(x["parent"])
+            return [(scope, node, _depth_first(node, bases), _c3(node, bases))]
+
+        return row
+
+    return flat_map(every.join(gathered, ["scope", "node"], "left"), ["scope", "node", "links"], make, f"scope {kinds['scope']}, node {kinds['node']}, depth_first array<{kinds['node']}>, c3 array<{kinds['node']}>")
+
+
+def _depth_first(node, bases: dict) -> list:
+    seen, todo = {}, [node]
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen[x] = None
+            todo += reversed(bases.get(x, ()))
+    return list(seen)
+
+
+def _c3(node, bases: dict) -> list | None:
+    done: dict = {}
+    todo, open_ = [node], set()
+    while todo:
+        x = todo[-1]
+        waiting = [b for b in bases.get(x, ()) if b not in done]
+        if waiting:
+            if x in open_ and any(b in open_ for b in waiting):
+                return None
+            open_.add(x)
+            todo.append(waiting[0])
+            continue
+        todo.pop()
+        if x in done:
+            continue
+        rows = [list(done[b] or ()) for b in bases.get(x, ())] + [list(bases.get(x, ()))]
+        out: list | None = [x]
+        if x in bases.get(x, ()) or any(done[b] is None for b in bases.get(x, ())):
+            out = None
+        while out is not None and any(rows):
+            head = next((r[0] for r in rows if r and not any(r[0] in q[1:] for q in rows)), None)
+            if head is None:
+                out = None
+                break
+            out.append(head)
+            rows = [[y for y in r if y != head] for r in rows]
+        done[x] = out
+    return done[node]

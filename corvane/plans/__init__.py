@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
 #: Modules with QUERIES and ORACLES, in the order they are registered.
-CATALOGUES = ["hierarchy", "retrieval", "graph", "relations", "sources", "context"]
+CATALOGUES = ["hierarchy", "retrieval", "graph", "relations", "sources", "context", "graph_lookups", "lookups"]

@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import chunkers, lenses, packing, retrieval, vectors
 from ..operators import code_graph as g
 from ..session import cut, table
-from .graph import _DEGREES, _calls, _functions, _inherits
+from .graph import _ALL_ABOVE, _DEGREES, _above, _calls, _functions
 
 PREVIEW_CHARS, BLOCK_BUDGET = 300, 400
 
@@ -33,10 +33,9 @@ def busiest_neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
 
 def inheritance_reach(spark: SparkSession, sf: str) -> DataFrame:
     """Number of classes above and below each class, direct ones apart."""
-    edges = _inherits(spark, sf).where("rel_type <> 'MIXES_IN'")
-    up = g.reach(edges.select(F.col("src").alias("id")).distinct(), edges, 10).where("depth > 0")
-    above = up.groupBy(F.col("start").alias("class_id")).agg(F.count("*").alias("ancestors"))
-    below = up.groupBy(F.col("id").alias("class_id")).agg(F.count("*").alias("descendants"), F.count_if(F.col("depth") == 1).alias("direct"))
+    pairs = cut(_above(spark, sf))
+    above = pairs.groupBy(F.col("descendant").alias("class_id")).agg(F.count("*").alias("ancestors"))
+    below = pairs.groupBy(F.col("ancestor").alias("class_id")).agg(F.count("*").alias("descendants"), F.count_if(F.col("steps") == 1).alias("direct"))
     return above.join(below, "class_id", "full").select("class_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ancestors", "descendants", "direct")))
 
 
@@ -80,8 +79,7 @@ SELECT DISTINCT n.file_id AS src, p.file_id AS dst, n.module FROM n JOIN py p ON
 centre AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY repo_id ORDER BY degree DESC, id DESC) AS rn FROM degrees WHERE degree > 0) WHERE rn = 1),
 walk AS (SELECT id AS start, id, 0 AS depth FROM centre UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN both_ways e ON e.src = w.id WHERE w.depth < 2)
 SELECT src, dst FROM calls WHERE src IN (SELECT id FROM walk) AND dst IN (SELECT id FROM walk)""",
-    "inheritance_reach": f"""WITH RECURSIVE {_UPS}, walk AS (SELECT DISTINCT src AS start, src AS id, 0 AS depth FROM ups UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN ups e ON e.src = w.id WHERE w.depth < 10),
-least AS (SELECT start, id, min(depth) AS depth FROM walk GROUP BY 1, 2), up AS (SELECT * FROM least WHERE depth > 0),
+    "inheritance_reach": f"""WITH RECURSIVE {_UPS}, {_ALL_ABOVE}, up AS (SELECT start, id, min(depth) AS depth FROM above GROUP BY 1, 2),
 a AS (SELECT start AS class_id, count(*) AS ancestors FROM up GROUP BY 1), d AS (SELECT id AS class_id, count(*) AS descendants, count(*) FILTER (depth = 1) AS direct FROM up GROUP BY 1)
 SELECT class_id, coalesce(ancestors, 0) AS ancestors, coalesce(descendants, 0) AS descendants, coalesce(direct, 0) AS direct FROM a FULL JOIN d USING (class_id)""",
     "content_previews": rf"""WITH {_C}, p AS (SELECT chunk_id, content, CASE WHEN length(content) <= 300 THEN content ELSE coalesce(nullif(regexp_extract(substring(content, 1, 300), '(?s)^(.*)\n', 1), ''), substring(content, 1, 300)) END AS preview FROM chunks)

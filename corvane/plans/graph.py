@@ -100,10 +100,15 @@ def inheritance_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _inherits(spark, sf).select("src", "dst", "rel_type")
 
 
-def class_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    """Each class with every class up to ten steps above it, whether by inheriting or implementing."""
+def _above(spark: SparkSession, sf: str) -> DataFrame:
+    """scope, ancestor, descendant and least steps over inheriting and implementing, whatever the depth."""
     up = _inherits(spark, sf).where("rel_type <> 'MIXES_IN'")
-    return g.reach(up.select(F.col("src").alias("id")).distinct(), up, 10).where("depth > 0").select(F.col("start").alias("class_id"), F.col("id").alias("ancestor_id"), "depth")
+    return hierarchy.all_descendants(up, "repo_id", "src", "dst")
+
+
+def class_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each class with every class above it, whether by inheriting or implementing. Classes of a cycle are above each other, none above itself."""
+    return _above(spark, sf).select(F.col("descendant").alias("class_id"), F.col("ancestor").alias("ancestor_id"), F.col("steps").alias("depth"))
 
 
 def class_family(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,6 +145,9 @@ def _levels(edges: str, start: str, depth: int) -> str:
     return f"walk AS (SELECT id AS start, id, 0 AS depth FROM {start} UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.id WHERE w.depth < {depth}), least AS (SELECT start, id, min(depth)::INT AS depth FROM walk GROUP BY 1, 2)"
 
 
+# All ways up, in no more steps than the largest repository has classes.
+_ALL_ABOVE = """most AS (SELECT max(n) AS n FROM (SELECT count(DISTINCT chunk_id) AS n FROM class_hierarchy GROUP BY repo_id)),
+above AS (SELECT src AS start, dst AS id, 1 AS depth FROM ups WHERE src <> dst UNION SELECT a.start, u.dst, a.depth + 1 FROM above a JOIN ups u ON u.src = a.id, most WHERE u.dst <> a.start AND a.depth < most.n)"""
 ORACLES = {
     "graph_node_counts": f"""WITH {_C}, {_F} SELECT repo_id, label, count(*) AS n FROM (SELECT repo_id, 'Repo' AS label FROM repositories UNION ALL SELECT repo_id, 'File' FROM files
 UNION ALL SELECT repo_id, CASE WHEN chunk_type IN {_FN} THEN 'Function' ELSE 'Class' END FROM chunks WHERE chunk_type IN {_FN} OR chunk_type = 'class') GROUP BY ALL""",
@@ -164,7 +172,7 @@ SELECT repo_id, id, hop, round(0.3 * pow(0.8, hop) + 0.4 * degree / md, 6) AS im
     "call_components": f"""WITH RECURSIVE {_CALLS}, both_ways AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls), spread AS (SELECT id, id AS here FROM fns UNION SELECT s.id, b.dst FROM spread s JOIN both_ways b ON b.src = s.here),
 roots AS (SELECT id, min(here) AS root FROM spread GROUP BY 1) SELECT f.repo_id, count(DISTINCT root) AS components FROM fns f JOIN roots USING (id) GROUP BY 1""",
     "inheritance_edges": f"WITH {_INH} SELECT src, dst, rel_type FROM inh",
-    "class_ancestors": f"WITH RECURSIVE {_INH}, ups AS (SELECT src, dst FROM inh WHERE rel_type <> 'MIXES_IN'), starts AS (SELECT DISTINCT src AS id FROM ups), {_levels('ups', 'starts', 10)} SELECT start AS class_id, id AS ancestor_id, depth FROM least WHERE depth > 0",
+    "class_ancestors": f"WITH RECURSIVE {_INH}, ups AS (SELECT DISTINCT src, dst FROM inh WHERE rel_type <> 'MIXES_IN'), {_ALL_ABOVE} SELECT start AS class_id, id AS ancestor_id, min(depth)::INT AS depth FROM above GROUP BY 1, 2",
     "class_family": f"""WITH {lenses.SQL["classes"]}, {_INH}, e AS (SELECT DISTINCT src, dst FROM inh),
 p AS (SELECT src AS chunk_id, array_to_string(list_sort(list_distinct(list(c.class_name))), ',') AS parents FROM e JOIN classes c ON c.chunk_id = e.dst GROUP BY 1),
 k AS (SELECT dst AS chunk_id, array_to_string(list_sort(list_distinct(list(c.class_name))), ',') AS children FROM e JOIN classes c ON c.chunk_id = e.src GROUP BY 1)

@@ -37,10 +37,11 @@ def upserted_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def known_bases(spark: SparkSession, sf: str) -> DataFrame:
-    """References between classes whose ends are both stored."""
-    classes = table(spark, sf, "class_hierarchy").select(F.col("class_name").alias("id"))
-    edges = table(spark, sf, "base_class_refs").join(table(spark, sf, "class_hierarchy").select("chunk_id", "class_name").distinct(), "chunk_id").select(F.col("class_name").alias("src"), F.col("name").alias("dst"), F.lit("INHERITS_FROM").alias("rel_type"))
-    return store.merge_edges(edges, classes)
+    """References between classes of one repository whose ends are both stored."""
+    c = table(spark, sf, "class_hierarchy").select("chunk_id", "repo_id", "class_name").distinct()
+    named = lambda name: F.concat_ws("/", "repo_id", name)
+    edges = table(spark, sf, "base_class_refs").select("chunk_id", "name").join(c, "chunk_id").select(named("class_name").alias("src"), named("name").alias("dst"), F.lit("INHERITS_FROM").alias("rel_type"))
+    return store.merge_edges(edges, c.select(named("class_name").alias("id")))
 
 
 def stream_daily_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +74,7 @@ SELECT * FROM ({_DECLARED}) WHERE name <> ''""",
     "path_languages": f"""WITH {_F}, p AS (SELECT file_id, language, string_split(relative_path, '/') AS parts FROM files)
 SELECT file_id, CASE WHEN parts[-1] NOT IN {tuple(source_files.SKIPPED_FILES)} THEN {_LANG.format("lower(regexp_extract(parts[-1], '\\.([^.]+)$', 1))")} END AS by_path, list_has_any(parts[1:len(parts) - 1], {source_files.SKIPPED_DIRS}) AS skipped, language FROM p""",
     "upserted_chunks": "SELECT chunk_id, max(created_at) AS created_at FROM code_chunks GROUP BY 1",
-    "known_bases": "SELECT DISTINCT c.class_name AS src, r.name AS dst, 'INHERITS_FROM' AS rel_type FROM base_class_refs r JOIN class_hierarchy c USING (chunk_id) WHERE r.name IN (SELECT class_name FROM class_hierarchy)",
+    "known_bases": "SELECT DISTINCT c.repo_id || '/' || c.class_name AS src, c.repo_id || '/' || r.name AS dst, 'INHERITS_FROM' AS rel_type FROM base_class_refs r JOIN class_hierarchy c USING (chunk_id) WHERE EXISTS (SELECT 1 FROM class_hierarchy k WHERE k.repo_id = c.repo_id AND k.class_name = r.name)",
     "stream_daily_usage": "SELECT strftime(asked_at, '%Y-%m-%d') AS day, provider_used AS provider, count(*) AS requests, sum(coalesce(estimated_tokens, 0))::BIGINT AS tokens FROM (SELECT DISTINCT request_id, provider_used, asked_at, estimated_tokens FROM ask_pairs) WHERE provider_used IS NOT NULL AND asked_at IS NOT NULL GROUP BY 1, 2",
     "stream_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
     "stream_requests": "SELECT DISTINCT request_id, repo_id, cached FROM ask_pairs WHERE asked_at IS NOT NULL",
