@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tokens of a text that the SQL of the search queries counts.
+#: Tokens that the capped indexes take of a text.
 MAX_TOKENS = 512
 # Characters per token by file extension, and for other text.
 CHARS_PER_TOKEN = {"py": 3.5, "js": 3.8, "ts": 3.8, "go": 3.8, "java": 3.8, "rs": 3.8, "cpp": 3.8, "c": 3.8, "rb": 3.8, "php": 3.8}

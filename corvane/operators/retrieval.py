@@ -10,18 +10,21 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 # The usual parameters of Okapi BM25 and the least score that counts.
 K1, B, EPSILON, LEAST_SCORE = 1.5, 0.75, 0.25, 0.01
 # Rank constant and weights of the fusion.
 RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 60, 0.7, 0.3
-#: Query vectors sent to the executors at once.
-BLOCK_QUERIES = 2_000
+#: Numbers of the query vectors that one scan of the corpus is asked with; more queries take further scans.
+SCAN_NUMBERS = 8_000_000
+#: Rows an index is fitted on at most, rows of a block of a cell, rounds of fitting.
+INDEX_SAMPLE, CELL_ROWS, INDEX_ROUNDS = 20_000, 50_000, 12
 
 
 def document_frequencies(docs: DataFrame, scope: str, tokens: Column) -> DataFrame:
@@ -41,15 +44,15 @@ def term_stats(df: DataFrame, stats: DataFrame, scope: str) -> DataFrame:
     return raw.join(mean, scope).select(scope, "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, scope: str, key: str, tokens: Column, top: int, min_score: float = LEAST_SCORE) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, scope: str, key: str, tokens: Column, top: int, min_score: float = LEAST_SCORE, keep: Column | None = None) -> DataFrame:
     """query_id, scope, key, score, rank: the best documents for each query. queries: query_id, scope and terms (array<string>); a repeated
-    term counts as often. docs is read three times, so let it be a written table or a checkpoint. Only postings of asked terms are shuffled and meet the queries; hot scopes are spread by term."""
-    base = docs.select(scope, key, tokens.alias("tokens"))
+    term counts as often. keep: which documents may be found; the others still count in the statistics of the corpus. docs is read three times, so let it be a written table or a checkpoint. Only postings of asked terms are shuffled and meet the queries; hot scopes are spread by term."""
+    base = docs.select(scope, key, tokens.alias("tokens"), (F.lit(True) if keep is None else keep).alias("keep"))
     stats = corpus_stats(base, scope, F.col("tokens"))
     asked = queries.select("query_id", scope, F.explode("terms").alias("term")).groupBy("query_id", scope, "term").agg(F.count("*").alias("times"))
     terms = asked.select(scope, "term").distinct()
     weights = term_stats(document_frequencies(base, scope, F.col("tokens")), stats, scope).join(terms, [scope, "term"], "left_semi")
-    posts = base.select(scope, key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, [scope, "term"], "left_semi").groupBy(scope, key, "dl", "term").agg(F.count("*").alias("tf"))
+    posts = base.where("keep").select(scope, key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, [scope, "term"], "left_semi").groupBy(scope, key, "dl", "term").agg(F.count("*").alias("tf"))
     scored = (
         posts.join(weights, [scope, "term"])
         .join(stats, scope)
@@ -61,50 +64,163 @@ def bm25(docs: DataFrame, queries: DataFrame, scope: str, key: str, tokens: Colu
     return ranked.where(F.col("rank") <= top)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, top: int, min_score: float = -1.0, skip_self: bool = True) -> DataFrame:
-    """query_id, key, score, rank by cosine. The queries go out in blocks; each partition keeps its best rows of each query, and only those
-    are shuffled. Exact. Null or zero vectors are never found."""
+def _best(ids: list, scores: np.ndarray, keys: np.ndarray, top: int, min_score: float, skip_self: bool) -> tuple[list, list, list]:
+    """The best keys of each query (a row of scores) by score, then key: positions of queries, keys, scores."""
+    order = np.argsort(keys, kind="stable")
+    keys, scores = keys[order], scores[:, order]
+    k = min(scores.shape[1], top + skip_self)
+    # The k-th best score of each row; whatever is at least as good is looked at, so ties are kept.
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    out: tuple[list, list, list] = ([], [], [])
+    rows, cols = np.nonzero(scores >= np.maximum(least, min_score)[:, None])
+    for i, js in zip(*_runs(rows, cols)):
+        best = js[np.argsort(-scores[i, js], kind="stable")]
+        taken = [j for j in best[: k + 1] if not (skip_self and keys[j] == ids[i])][:top]
+        out[0].extend([i] * len(taken))
+        out[1].extend(keys[taken].tolist())
+        out[2].extend(scores[i, taken].tolist())
+    return out
+
+
+def _runs(rows: np.ndarray, cols: np.ndarray) -> tuple[list, list]:
+    """The columns of each row, from sorted pairs."""
+    if not len(rows):
+        return [], []
+    cuts = np.flatnonzero(np.diff(rows)) + 1
+    return [int(r[0]) for r in np.split(rows, cuts)], np.split(cols, cuts)
+
+
+def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norms = np.linalg.norm(m, axis=1)
+    return m / np.maximum(norms, 1e-300)[:, None], norms == 0
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, top: int, min_score: float = -1.0, skip_self: bool = True, label: str | None = None) -> DataFrame:
+    """query_id, key, score, rank by cosine. Exact: the stated queries meet every row. They go out in blocks of bounded size, a scan for each;
+    each task keeps the best rows of each query over all it reads, and only those are shuffled. label: a column whose value must be the
+    query's own. Null or zero vectors are never found."""
     ship(corpus.sparkSession)
+    spark = corpus.sparkSession
     kind = corpus.schema[key].dataType.simpleString()
-    blocks: list[list] = [[]]
-    for r in queries.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null").dropDuplicates(["k"]).toLocalIterator():
-        if len(blocks[-1]) >= BLOCK_QUERIES:
-            blocks.append([])
-        blocks[-1].append((r.k, r.v))
+    group = F.col(label) if label else F.lit(0)
 
     def one(block: list) -> DataFrame:
-        sent = corpus.sparkSession.sparkContext.broadcast(([k for k, _ in block], np.array([v for _, v in block], np.float64).reshape(len(block), -1)))
+        sent = spark.sparkContext.broadcast(([r.k for r in block], np.array([r.v for r in block], np.float64).reshape(len(block), -1), np.array([r.g for r in block], object)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            ids, q, groups = sent.value
+            if not ids:
+                return
+            q, _ = _unit(q)
+            held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.array([], np.int64), np.array([], object), np.array([]))
+            types = None
             for batch in batches:
+                types = batch.schema.field(0).type
                 keys = np.array(batch.column(0).to_pylist(), object)
-                if not len(keys) or not len(ids):
+                if not len(keys):
                     continue
-                m = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                norms = np.linalg.norm(m, axis=1)
-                scores = np.round(q @ (m / np.maximum(norms, 1e-300)[:, None]).T, 6)
-                scores[:, norms == 0] = -np.inf
-                out: tuple[list, list, list] = ([], [], [])
-                order = np.argsort(keys, kind="stable")
-                for i, query in enumerate(ids):
-                    row = scores[i][order]
-                    best = order[np.argsort(-row, kind="stable")[: top + 1]]
-                    for j in best:
-                        if scores[i][j] >= min_score and not (skip_self and keys[j] == query):
-                            out[0].append(query)
-                            out[1].append(keys[j])
-                            out[2].append(float(scores[i][j]))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], names=["query_id", key, "score"])
-
-        return corpus.select(key, vector).where(F.col(vector).isNotNull() & F.col(key).isNotNull()).mapInArrow(run, f"query_id {kind}, {key} {kind}, score double")
-
-    found = reduce(DataFrame.unionByName, map(one, blocks))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
+                m, zero = _unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+                scores = np.round(q @ m.T, 6)
+                scores[:, zero] = -np.inf
+                if label:
+                    scores[groups[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -np.inf
+                new = _best(ids, scores, keys, top, min_score, skip_self)
+                held = tuple(np.concatenate([a, np.array(b, a.dtype)]) for a, b in zip(held, new))
+                # Of each query the best so far stay: by score, then key.
+                order = np.lexsort((np.unique(held[1], return_inverse=True)[1], -held[2], held[0]))
+                held = tuple(a[order] for a in held)
+                place = np.arange(len(held[0])) - np.searchsorted(held[0], held[0], "left")
+                held = tuple(a[place < top] for a in held)
+            if len(held[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in held[0]], types), pa.array(held[1].tolist(), types), pa.array(held[2], pa.float64())], names=["query_id", key, "score"])
+
+        rows = corpus.select(key, vector, group.alias("g")).where(F.col(vector).isNotNull() & F.col(key).isNotNull())
+        return rows.mapInArrow(run, f"query_id {kind}, {key} {kind}, score double")
+
+    found, block = [], []
+    for r in queries.select(F.col(key).alias("k"), F.col(vector).alias("v"), group.alias("g")).where("k is not null and v is not null").dropDuplicates(["k"]).toLocalIterator():
+        if block and (len(block) + 1) * len(r.v) > SCAN_NUMBERS:
+            found.append(one(block))
+            block = []
+        block.append(r)
+    found.append(one(block))
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= top)
 
 
+class CellIndex:
+    """An inverted file of vectors: centres fitted on a bounded sample, every row in the cell of its nearest centre."""
+
+    def __init__(self, rows: DataFrame, centres: np.ndarray, key: str):
+        self.rows, self.centres, self.key = rows, centres, key
+
+    def search(self, queries: DataFrame, vector: str, top: int, probes: int, skip_self: bool = True) -> DataFrame:
+        """query_id, key, score, rank among the rows of the `probes` nearest cells of each query. Queries and rows meet by cell; a cell of more
+        than CELL_ROWS rows is cut into blocks that the queries visit one by one, so no group is unbounded by a hot cell."""
+        key, kind = self.key, self.rows.schema[self.key].dataType.simpleString()
+        asked = _celled(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("v")), "query_id", self.centres, probes)
+        sizes = self.rows.groupBy("cell", "block").count().select(F.col("cell").alias("c"), F.col("block").alias("b"))
+        asked = asked.join(sizes, F.col("cell") == F.col("c")).select("query_id", "v", "c", "b")
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty or right.empty:
+                return pd.DataFrame({"query_id": [], key: [], "score": []})
+            m, zero = _unit(np.stack(right.v.to_numpy()).astype(np.float64))
+            keys, ids, out = right[key].to_numpy(object), left.query_id.tolist(), []
+            for at in range(0, len(ids), 500):
+                q, _ = _unit(np.stack(left.v.to_numpy()[at : at + 500]).astype(np.float64))
+                scores = np.round(q @ m.T, 6)
+                scores[:, zero] = -np.inf
+                i, k, s = _best(ids[at : at + 500], scores, keys, top, -1.0, skip_self)
+                out.append(pd.DataFrame({"query_id": [ids[at + x] for x in i], key: k, "score": s}))
+            return pd.concat(out)
+
+        met = asked.groupBy("c", "b").cogroup(self.rows.groupBy("cell", "block")).applyInPandas(meet, f"query_id {kind}, {key} {kind}, score double")
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
+        return ranked.where(F.col("rank") <= top)
+
+
+def _celled(rows: DataFrame, key: str, centres: np.ndarray, cells: int) -> DataFrame:
+    """key, v and cell: a row for each of the nearest cells of a vector."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, _ = _unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+            best = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :cells]
+            at = np.repeat(np.arange(batch.num_rows), best.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(best.ravel().astype(np.int32))], names=[key, "v", "cell"])
+
+    wide = rows.where(F.col(key).isNotNull() & F.col("v").isNotNull()).select(key, F.col("v").cast("array<double>").alias("v"))
+    return wide.mapInArrow(run, f"{key} {kind}, v array<double>, cell int")
+
+
+def cell_index(corpus: DataFrame, key: str, vector: str, cells: int) -> CellIndex:
+    """Fits the centres by spherical k-means on at most INDEX_SAMPLE rows, chosen by hash, and puts every row into its cell."""
+    ship(corpus.sparkSession)
+    rows = corpus.select(key, F.col(vector).alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
+    n = rows.count()
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = np.array([r.v for r in rows.where(share < min(1.0, 0.9 * INDEX_SAMPLE / max(1, n))).orderBy(key).select("v").limit(INDEX_SAMPLE).collect()], np.float64)
+    if not len(sample):
+        sample = np.zeros((1, 1))
+    m, _ = _unit(sample)
+    centres = m[:: max(1, len(m) // cells)][:cells]
+    for _ in range(INDEX_ROUNDS):
+        near = np.argmax(m @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, m)
+        moved, empty = _unit(sums)
+        centres = np.where(empty[:, None], centres, moved)
+    placed = _celled(rows, key, centres, 1)
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))
+    return CellIndex(cut(placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")), centres, key)
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, key: str, top: int, k: int = RRF_K, vector_weight: float = VECTOR_WEIGHT, keyword_weight: float = KEYWORD_WEIGHT) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists for each query_id; weights are normalised, a missing side adds nothing."""
     total = vector_weight + keyword_weight
@@ -139,3 +255,16 @@ def retrieval_metrics(ranked: DataFrame, queries: DataFrame, k: int = 10) -> Dat
         F.round(F.coalesce(F.col("h5") / 5, F.lit(0.0)), 6).alias("p5"),
         F.round(F.coalesce(F.col("hits") / k, F.lit(0.0)), 6).alias("pk"),
     )
+
+
+def mean_metrics(per_query: DataFrame) -> DataFrame:
+    """One row: queries, queries with a relevant result, means of the metrics (0 where there is no query)."""
+    means = ("reciprocal_rank", "ndcg", "p1", "p5", "pk")
+    return per_query.agg(F.count("*").alias("queries"), F.count_if(F.col("first_rank") > 0).alias("answered"), *(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"mean_{c}") for c in means))
+
+
+def first_seen(results: DataFrame, key: str, scope: str, order: list[str], top: int) -> DataFrame:
+    """Results of several queries of a scope as one list: each key where it comes first, in the order of the lists."""
+    first = results.groupBy(scope, key).agg(F.min(F.struct(*order)).alias("o"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(scope).orderBy("o", key)))
+    return placed.where(F.col("place") <= top).select(scope, key, "o.*", "place")

@@ -60,7 +60,7 @@ def source_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def hashed_search(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest documents by hashed vectors, asked with every document whose id is divisible by 100."""
-    v = cut(vectors.hashed_vectors(table(spark, sf, "documents").dropDuplicates(["doc_id"]), "doc_id", "text"))
+    v = cut(vectors.hashed_vectors(table(spark, sf, "documents").select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id", "text"))
     return retrieval.nearest(v, v.where("doc_id % 100 = 0"), "doc_id", "vector", 5).select("query_id", "doc_id", "score", "rank")
 
 
@@ -89,3 +89,9 @@ w AS (SELECT *, sum(tokens) OVER (PARTITION BY file_id ORDER BY s, chunk_id ROWS
 k AS (SELECT file_id, place, '[Source ' || place || '] ' || coalesce(file_path, '') || CASE WHEN start_line > 0 AND start_line <= end_line THEN ' lines ' || start_line || '-' || end_line ELSE '' END || chr(10) || coalesce(content, '') AS block FROM w WHERE used <= {BLOCK_BUDGET} OR place = 1),
 j AS (SELECT file_id, count(*) AS sources, string_agg(block, chr(10) || chr(10) ORDER BY place) AS t FROM k GROUP BY 1) SELECT file_id, sources::INT AS sources, length(t)::INT AS n_chars, md5(t) AS digest FROM j""",
 }
+_HEX = "('0x' || md5(w)[{}:{}])::UBIGINT"
+ORACLES["hashed_search"] = f"""WITH w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{vectors.TOKEN}')) AS w FROM documents) GROUP BY 1, 2),
+p AS (SELECT doc_id, {_HEX.format(1, 8)} % 64 AS place, sum(CASE WHEN {_HEX.format(9, 9)} % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (0.5::DOUBLE + {_HEX.format(10, 11)} / 255.0::DOUBLE) * n) AS x FROM w GROUP BY 1, 2),
+u AS (SELECT doc_id, place, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM p),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.x * d.x), 6) AS score FROM u q JOIN u d ON d.place = q.place AND d.doc_id <> q.doc_id WHERE q.doc_id % 100 = 0 GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 5"""

@@ -104,7 +104,7 @@ def history_window(spark: SparkSession, sf: str) -> DataFrame:
 def session_latency_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Exponentially weighted latency after each request of a session."""
     r = lenses.requests(spark, sf, "session_id", "asked_at", "total_latency_ms").where("session_id is not null and total_latency_ms is not null")
-    return packing.running_mean(r, "session_id", [F.col("asked_at"), F.col("request_id")], "total_latency_ms", 0.1).select("session_id", "request_id", F.round("mean", 6).alias("mean"))
+    return packing.running_mean(r, "session_id", ["asked_at", "request_id"], "total_latency_ms", 0.1).select("session_id", "request_id", F.round("mean", 6).alias("mean"))
 
 
 def security_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,24 +132,20 @@ def task_types(spark: SparkSession, sf: str) -> DataFrame:
 
 def latency_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Interpolated percentiles, mean and deviation of the latency of each provider and model."""
-    v = F.col("total_latency_ms")
-    r = lenses.requests(spark, sf, "provider_used", "model_used", "total_latency_ms", "cached")
-    return r.groupBy("provider_used", "model_used").agg(
-        F.count("*").alias("n"),
-        *(F.round(F.percentile(v, p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)),
-        F.round(F.avg(v), 6).alias("mean"),
-        F.round(F.stddev_pop(v), 6).alias("deviation"),
-        F.count_if("cached").alias("hits"),
-        F.round(F.count_if("cached") / F.count("*"), 6).alias("hit_rate"),
+    v, by = F.col("total_latency_ms"), ["provider_used", "model_used"]
+    r = lenses.requests(spark, sf, *by, "total_latency_ms", "cached")
+    shares = packing.exact_percentiles(r, by, "total_latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    rest = r.groupBy(F.to_json(F.struct(*by)).alias("g"), *by).agg(
+        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("deviation"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_if("cached").alias("hits"), F.round(F.count_if("cached") / F.count("*"), 6).alias("hit_rate")
     )
+    out = rest.join(shares.drop(*by), "g", "left")
+    return out.select(*by, "n", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")), "mean", "deviation", "least", "most", "hits", "hit_rate")
 
 
 def latency_lower(spark: SparkSession, sf: str) -> DataFrame:
     """The value at the lower index of the 95th percentile, by provider."""
-    r = lenses.requests(spark, sf, "provider_used", "total_latency_ms").where("total_latency_ms is not null")
-    sizes = r.groupBy("provider_used").agg(F.floor((F.count("*") - 1) * 0.95).alias("at"))
-    placed = r.withColumn("i", F.row_number().over(Window.partitionBy("provider_used").orderBy("total_latency_ms", "request_id")) - 1)
-    return placed.join(sizes, F.col("i").eqNullSafe(F.col("at")) & placed.provider_used.eqNullSafe(sizes.provider_used)).select(placed.provider_used, F.round("total_latency_ms", 6).alias("p95"))
+    r = lenses.requests(spark, sf, "provider_used", "total_latency_ms")
+    return packing.exact_percentiles(r, ["provider_used"], "total_latency_ms", {"p95": 0.95}, interpolate=False).select("provider_used", F.round("p95", 6).alias("p95"))
 
 
 def daily_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +224,7 @@ nullif(regexp_extract(t, '\\bin\\s+([A-Za-z_][A-Za-z0-9_]*)\\b', 1), '') AS func
     + " ".join(f"WHEN regexp_matches(lower(coalesce(question, '')), '{w}') THEN '{k}'" for k, w in _WORDS.items())
     + " ELSE 'code_qa' END AS task, count(*) AS n FROM requests GROUP BY 1",
     "latency_stats": f"""WITH {_R} SELECT provider_used, model_used, count(*) AS n, round(quantile_cont(total_latency_ms, 0.5), 6) AS p50, round(quantile_cont(total_latency_ms, 0.95), 6) AS p95, round(quantile_cont(total_latency_ms, 0.99), 6) AS p99,
-round(avg(total_latency_ms), 6) AS mean, round(stddev_pop(total_latency_ms), 6) AS deviation, count(*) FILTER (cached) AS hits, round(count(*) FILTER (cached) / count(*), 6) AS hit_rate FROM requests GROUP BY 1, 2""",
+round(avg(total_latency_ms), 6) AS mean, round(stddev_pop(total_latency_ms), 6) AS deviation, min(total_latency_ms) AS least, max(total_latency_ms) AS most, count(*) FILTER (cached) AS hits, round(count(*) FILTER (cached) / count(*), 6) AS hit_rate FROM requests GROUP BY 1, 2""",
     "latency_lower": f"""WITH {_R}, r AS (SELECT provider_used, total_latency_ms AS v, row_number() OVER (PARTITION BY provider_used ORDER BY total_latency_ms, request_id) - 1 AS i, floor((count(*) OVER (PARTITION BY provider_used) - 1) * 0.95) AS k FROM requests WHERE total_latency_ms IS NOT NULL)
 SELECT provider_used, round(v, 6) AS p95 FROM r WHERE i = k""",
     "daily_usage": f"WITH {_R} SELECT strftime(asked_at, '%Y-%m-%d') AS day, provider_used AS provider, count(*) AS requests, sum(coalesce(estimated_tokens, 0))::BIGINT AS tokens FROM requests WHERE provider_used IS NOT NULL GROUP BY 1, 2",

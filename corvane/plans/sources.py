@@ -45,11 +45,11 @@ def known_bases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_daily_usage(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run(jobs.daily_usage(jobs.stream_table(spark, sf, "ask_pairs")), "complete")
+    return jobs.daily_usage(jobs.run(jobs.first_requests(jobs.stream_table(spark, sf, "ask_pairs")).drop("at"), "append"))
 
 
 def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run(jobs.event_counts(jobs.stream_table(spark, sf, "events")), "complete")
+    return jobs.run(jobs.event_counts(jobs.stream_table(spark, sf, "events")), "update", ["day", "event_type"])
 
 
 def stream_requests(spark: SparkSession, sf: str) -> DataFrame:

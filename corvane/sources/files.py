@@ -34,5 +34,5 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= MAX_BYTES)
     relative = F.regexp_replace(F.expr("substring(path, locate('/', path))"), "^/+" + base.strip("/").replace(".", "\\.") + "/", "")
     named = found.withColumn("relative_path", relative).withColumn("language", language(F.col("relative_path"))).where(F.col("language").isNotNull() & ~in_skipped_dir(F.col("relative_path")))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return named.select("relative_path", "language", F.col("length").cast("int").alias("size_bytes"), (F.size(F.split(text, "\n"))).alias("line_count"), text.alias("content"))

@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from corvane.operators import class_links
-from corvane.operators.hierarchy import all_descendants, components, cycles, descendants, paths
+from corvane.operators.hierarchy import all_descendants, components, cycles, descendants, linearised, paths
 
 LINKS = "scope string, child string, parent string"
 
@@ -121,3 +121,24 @@ def test_registered_descendants_take_bases_of_all_positions(spark, tmp_path):
     spark.createDataFrame(refs, "chunk_id string, repo_id string, name string, position int").write.parquet(f"{tmp_path}/base_class_refs.parquet")
     rows = {(r.ancestor, r.descendant, r.steps) for r in QUERIES["p1_all_descendants"](spark, str(tmp_path)).collect()}
     assert rows == {("a", "c", 1), ("b", "c", 1), ("c", "d", 1), ("a", "d", 2), ("b", "d", 2)}
+
+
+def test_resolution_orders_are_those_of_python(spark):
+    r = random.Random(6)
+    classes, links = {}, []
+    for i in range(40):
+        bases = r.sample(sorted(classes), min(len(classes), r.randrange(4)))
+        try:
+            classes[f"n{i:02}"] = type(f"n{i:02}", tuple(classes[b] for b in bases), {})
+        except TypeError:
+            continue  # no linearisation
+        links += [("s", f"n{i:02}", b, p) for p, b in enumerate(bases)]
+    bad = [("t", "x", "a", 0), ("t", "x", "b", 1), ("t", "y", "b", 0), ("t", "y", "a", 1), ("t", "z", "x", 0), ("t", "z", "y", 1), ("t", "c", "d", 0), ("t", "d", "c", 0)]
+    nodes = [("s", n) for n in classes] + [("t", n) for n in "xyzabcd"] + [("s", None)]
+    got = {(x.scope, x.node): x for x in linearised(spark.createDataFrame(nodes, "scope string, node string"), spark.createDataFrame(links + bad, "scope string, child string, parent string, position int")).collect()}
+    assert len(got) == len(nodes) - 1
+    for n, c in classes.items():
+        assert got["s", n].c3 == [k.__name__ for k in c.__mro__[:-1]]
+    # A diamond whose arms name their bases in different orders has no linearisation, nor has a cycle; the depth-first order always exists.
+    assert got["t", "z"].c3 is None and got["t", "z"].depth_first == ["z", "x", "a", "b", "y"]
+    assert got["t", "c"].c3 is None and got["t", "c"].depth_first == ["c", "d"] and got["t", "a"].c3 == ["a"]

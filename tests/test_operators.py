@@ -159,16 +159,47 @@ def test_scan(spark, tmp_path):
     for name, text in {"a.py": "x\ny\n", "pkg/b.TS": "z", "node_modules/c.js": "z", "yarn.lock": "z", "d.bin": "z", "big.py": "x" * (1 << 20) + "x"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    got = {r.relative_path: (r.language, r.line_count) for r in source_files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": ("python", 3), "pkg/b.TS": ("typescript", 1)}
-
-
-def test_streams_drop_repeats(spark, tmp_path):
-    rows = [("r1", "p", 5, "2025-01-01 10:00:00"), ("r1", "p", 5, "2025-01-01 10:00:00"), ("r2", "p", None, "2025-01-01 23:00:00"), ("r3", None, 1, "2025-01-02 01:00:00")]
-    df = spark.createDataFrame(rows, "request_id string, provider_used string, estimated_tokens int, at string").withColumn("asked_at", F.col("at").cast("timestamp_ntz")).drop("at")
-    df.write.parquet(str(tmp_path / "ask_pairs.parquet"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "ask_pairs.parquet"))
-    assert [tuple(r) for r in jobs.run(jobs.daily_usage(stream), "complete").collect()] == [("2025-01-01", "p", 2, 5)]
+    (tmp_path / "latin.go").write_bytes(b"// caf\xe9 \xff\xfe\nx")
+    rows = source_files.scan(spark, str(tmp_path)).collect()
+    got = {r.relative_path: (r.language, r.line_count) for r in rows}
+    assert got == {"a.py": ("python", 3), "pkg/b.TS": ("typescript", 1), "latin.go": ("go", 2)}
+    assert next(r.content for r in rows if r.relative_path == "latin.go").startswith("// caf\ufffd")
+
+
+def test_streams_give_each_row_once_over_late_files_and_restarts(spark, tmp_path):
+    first = [("r1", "p", 5, "2025-03-01 10:00:00"), ("r1", "p", 5, "2025-03-01 10:00:00"), ("r2", "p", None, "2025-03-01 23:00:00"), ("r3", None, 1, "2025-03-02 01:00:00")]
+    second = [("r4", "p", 7, "2025-04-20 09:00:00"), ("r2", "p", None, "2025-03-01 23:00:00")]
+    third = [("r5", "p", 1, "2025-03-01 08:00:00"), ("r4", "p", 7, "2025-04-20 09:00:00"), ("r6", "q", 2, None)]  # seven weeks late
+    folder, name = str(tmp_path / "log"), f"t{tmp_path.name}"
+
+    def write(rows):
+        df = spark.createDataFrame(rows, "request_id string, provider_used string, estimated_tokens int, at string").withColumn("asked_at", F.col("at").cast("timestamp_ntz")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(folder)
+        return df.schema
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return jobs.run(jobs.first_requests(stream).drop("at"), "append", name=name)
+
+    schema = write(first)
+    write(second)
+    assert sorted(r.request_id for r in run().collect()) == ["r1", "r2", "r3", "r4"]
+    assert sorted(r.request_id for r in run().collect()) == ["r1", "r2", "r3", "r4"]  # a restart without new files
+    write(third)
+    seen = run()
+    assert sorted(r.request_id for r in seen.collect()) == ["r1", "r2", "r3", "r4", "r5"]
+    assert {tuple(r) for r in jobs.daily_usage(seen).collect()} == {("2025-03-01", "p", 3, 6), ("2025-04-20", "p", 1, 7)}
+
+
+def test_a_window_that_grows_in_a_later_batch_is_counted_once(spark, tmp_path):
+    folder, name = str(tmp_path / "events"), f"e{tmp_path.name}"
+    rows = lambda *x: spark.createDataFrame([(k, v, t) for k, v, t in x], "event_type string, value double, t string").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    schema = rows(("a", 1.0, "2025-01-01 10:00:00")).schema
+    for r in ((("a", 1.0, "2025-01-01 10:00:00"), ("b", 2.0, "2025-01-01 11:00:00")), (("a", 3.0, "2025-01-01 12:00:00"),)):
+        rows(*r).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        got = {tuple(x) for x in jobs.run(jobs.event_counts(stream), "update", ["day", "event_type"], name=name).collect()}
+    assert got == {("2025-01-01", "a", 2, 2.0), ("2025-01-01", "b", 1, 2.0)}
 
 
 def test_hashed_vectors(spark):
@@ -180,20 +211,83 @@ def test_hashed_vectors(spark):
     assert got[3] == got[4] == [0.0] * 16
 
 
-def test_tokens_and_whole_queries_take_the_whole_text(spark, tmp_path):
+@pytest.mark.parametrize("interpolate", [True, False])
+def test_exact_percentiles_against_numpy(spark, interpolate):
+    rng = np.random.default_rng(3)
+    groups = {"even": rng.normal(size=501).round(2).tolist(), "skewed": [1.0] * 400 + (10 ** rng.uniform(0, 9, 37)).tolist(), None: [5.0], "equal": [2.0] * 9}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("even", None), ("null", None)], "g string, v double").repartition(5)
+    got = {r.g: (r.a, r.b) for r in packing.exact_percentiles(df.withColumnRenamed("g", "group"), ["group"], "v", {"a": 0.5, "b": 0.95}, interpolate).withColumn("g", F.col("group")).collect()}
+    for g, vs in groups.items():
+        want = [np.percentile(vs, p, method="linear" if interpolate else "lower") for p in (50, 95)]
+        assert got[g] == pytest.approx(tuple(want))
+    assert set(got) == set(groups)
+
+
+def test_running_means_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", i, float(v)) for i, v in enumerate(rng.normal(size=700))] + [("one", 0, 5.0), ("two", 1, 2.0), ("two", 2, 4.0)]
+    got = {(r.g, r.i): r.mean for r in packing.running_mean(spark.createDataFrame(rows, "g string, i int, v double").repartition(7), "g", ["i"], "v", 0.1).collect()}
+    mean = None
+    for g, i, v in rows[:700]:
+        mean = v if mean is None else 0.1 * v + 0.9 * mean
+        assert got[g, i] == pytest.approx(mean)
+    assert got["one", 0] == 5.0 and got["two", 2] == pytest.approx(0.1 * 4 + 0.9 * 2) and len(got) == len(rows)
+
+
+def test_packing_refuses_groups_without_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_ITEMS", 2)
+    df = spark.createDataFrame([("g", str(i), 1, 1) for i in range(3)], "g string, k string, p int, c int")
+    with pytest.raises(Exception, match="too many items"):
+        packing.greedy_pack(df, "g", "k", "p", "c", 10).collect()
+
+
+def test_index_recall_against_brute_force(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = vectors.where("vec_id % 10 = 0")
+    pairs = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    want = pairs(retrieval.nearest(vectors, asked, "vec_id", "embedding", 10))
+    index = retrieval.cell_index(vectors, "vec_id", "embedding", 16)
+    assert index.rows.count() == vectors.count()
+    got = pairs(index.search(asked, "embedding", 10, 12))
+    assert len(got & want) / len(want) >= 0.9
+    assert pairs(index.search(asked, "embedding", 10, 16)) == want  # all cells
+
+
+def test_hot_cells_are_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELL_ROWS", 7)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)] + [(99, None), (98, [0.0] * 4)], "id long, v array<double>")
+    pairs = lambda d: {(r.query_id, r.id, r["rank"]) for r in d.collect()}
+    index = retrieval.cell_index(df, "id", "v", 2)
+    assert index.rows.select("cell", "block").distinct().count() > 5
+    assert pairs(index.search(df.where("id % 20 = 0"), "v", 5, 2)) == pairs(retrieval.nearest(df, df.where("id % 20 = 0"), "id", "v", 5))
+
+
+def test_nearest_of_one_label_and_many_scans(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 3) for i in range(90)], "id long, v array<double>, label int").repartition(4)
+    asked = df.where("id % 10 = 0")
+    pairs = lambda d: {(r.query_id, r.id, r["rank"]) for r in d.collect()}
+    want = pairs(retrieval.nearest(df, asked, "id", "v", 3, label="label"))
+    assert all(q % 3 == k % 3 for q, k, _ in want) and len(want) == 27
+    monkeypatch.setattr(retrieval, "SCAN_NUMBERS", 8)
+    assert pairs(retrieval.nearest(df, asked, "id", "v", 3, label="label")) == want
+
+
+def test_searches_take_the_whole_text(spark, tmp_path):
     from corvane.plans.retrieval import QUERIES
 
     text = "filler " * 600 + "needle"
     assert one(spark, text, t.code_tokens) == ["filler"] * 600 + ["needle"]
     chunks = [("c1", "r", "one", "", text, 1), ("c2", "r", "two", "", "other words", 1), ("c3", "r", "three", "", "others", 1)]
     spark.createDataFrame(chunks, "chunk_id string, repo_id string, name string, docstring string, content string, created_at long").write.parquet(f"{tmp_path}/code_chunks.parquet")
-    assert ("needle", 1) in {(r.term, r.df) for r in QUERIES["whole_bm25_terms"](spark, str(tmp_path)).collect()}
-    assert {r.chunk_id: r.n_tokens for r in QUERIES["whole_tokenize_chunks"](spark, str(tmp_path)).collect()} == {"c1": 604, "c2": 5, "c3": 4}
+    assert ("needle", 1) in {(r.term, r.df) for r in QUERIES["bm25_terms"](spark, str(tmp_path)).collect()}
+    assert {r.chunk_id: r.n_tokens for r in QUERIES["tokenize_chunks"](spark, str(tmp_path)).collect()} == {"c1": 604, "c2": 5, "c3": 4}
     spark.createDataFrame([("r",)], "repo_id string").write.parquet(f"{tmp_path}/repositories.parquet")
     spark.createDataFrame([("c9", "r", "nine", "", "filler " * 600 + "restore", 1)], "chunk_id string, repo_id string, name string, docstring string, content string, created_at long").write.mode("append").parquet(f"{tmp_path}/code_chunks.parquet")
-    assert [r.chunk_id for r in QUERIES["whole_bm25_search"](spark, str(tmp_path)).collect()] == ["c9"]
+    assert [r.chunk_id for r in QUERIES["bm25_search"](spark, str(tmp_path)).collect()] == ["c9"]
     # The document asked with and document 1 share only words far behind.
     docs = [(100, "head " * 600 + "needle"), (1, "tail " * 600 + "needle"), (2, "nothing"), (3, "nothing"), (4, "nothing")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert {r.doc_id for r in QUERIES["whole_hybrid_search"](spark, str(tmp_path)).where("keyword_rank is not null").collect()} == {100, 1}
+    assert {r.doc_id for r in QUERIES["hybrid_search"](spark, str(tmp_path)).where("keyword_rank is not null").collect()} == {100, 1}
