@@ -71,14 +71,19 @@ def fixed_blocks(text: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+# How a report names an exception, a place (in two ways) and a function.
+EXCEPTION = r"\b([A-Za-z_][A-Za-z0-9_]*(?:Error|Exception))\b"
+PLACE = r"(?:at\s+)?([A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]+)[:\s]+(\d+)"
+PLACE_IN_WORDS = r"\(([A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]+)\s+line\s+(\d+)\)"
+IN_FUNCTION = r"\bin\s+([A-Za-z_][A-Za-z0-9_]*)\b"
+
+
 def error_signal(text: Column) -> dict[str, Column]:
     """Exception, file, line and function that a report names; null where it names none."""
-    place = r"(?:at\s+)?([A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]+)[:\s]+(\d+)"
-    worded = r"\(([A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]+)\s+line\s+(\d+)\)"
     pick = lambda p, g: filled(F.regexp_extract(text, p, g))
     return {
-        "exception_type": pick(r"\b([A-Za-z_][A-Za-z0-9_]*(?:Error|Exception))\b", 1),
-        "file_path": F.replace(F.coalesce(pick(place, 1), pick(worded, 1)), F.lit("\\"), F.lit("/")),
-        "line_number": F.coalesce(pick(place, 2), pick(worded, 2)).try_cast("int"),
-        "function_name": pick(r"\bin\s+([A-Za-z_][A-Za-z0-9_]*)\b", 1),
+        "exception_type": pick(EXCEPTION, 1),
+        "file_path": F.replace(F.coalesce(pick(PLACE, 1), pick(PLACE_IN_WORDS, 1)), F.lit("\\"), F.lit("/")),
+        "line_number": F.coalesce(pick(PLACE, 2), pick(PLACE_IN_WORDS, 2)).try_cast("int"),
+        "function_name": pick(IN_FUNCTION, 1),
     }

@@ -1,21 +1,21 @@
-"""Symbols of source files: a syntax-tree walk for Python, line patterns for the other languages.
+"""Symbols of source files, from their lines; all in the JVM and without a shuffle, so broken files give their symbols as well.
 
-A Python file that doesn't parse gives no symbols. Functions within functions count as functions; methods are those directly in a class.
-Null and blank contents give none. Files scanned again count once (the caller's lens).
+Functions within functions count as functions; methods are those whose nearest line of less indentation that declares something declares a
+class. Null and blank contents give none. Files scanned again count once (the caller's lens).
 """
 
 from __future__ import annotations
 
-import ast
-import warnings
-from collections.abc import Callable, Iterable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import flat_map
-
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.BoolOp, ast.comprehension, ast.Assert, ast.match_case)
+# A line of Python that declares something: async, kind, name. What a branch is written with, and a call.
+PYTHON_DECLARES = r"^[ \t]*(async[ \t]+)?(def|class)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
+PYTHON_BRANCH = r"\b(?:if|elif|for|while|except|case|and|or|assert)\b"
+PYTHON_CALL = r"([A-Za-z_][A-Za-z0-9_]*)\("
+# Lines whose indentation ends no block: blank ones, comments, closing brackets.
+PYTHON_LOOSE = r"^[ \t\r]*(?:$|[#)\]}])"
+NO_INDENT = 9_999
 
 #: Declarations in lines of the brace languages: kind and pattern, whose group is the name.
 DECLARATIONS = [
@@ -27,44 +27,35 @@ DECLARATIONS = [
 ]
 
 
-def _walk(tree: ast.Module) -> Iterable[tuple]:
-    direct = {id(f): c.name for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for f in c.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef)}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.ClassDef):
-            yield node, "class", None
-        elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            kind = ("async_" if isinstance(node, ast.AsyncFunctionDef) else "") + ("method" if id(node) in direct else "function")
-            yield node, kind, direct.get(id(node))
-
-
-def _name(node: ast.expr) -> str | None:
-    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+def _indent(line: Column) -> Column:
+    return F.length(F.regexp_extract(line, r"^[ \t]*", 0))
 
 
 def python_symbols(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
-    """key, kind, name, parent, lines, documentation's length, decorators, bases, called names and cyclomatic complexity of each symbol."""
-
-    def make() -> Callable:
-        def row(k, text) -> Iterable[tuple]:
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    tree = ast.parse(text)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                return []
-            out = []
-            for node, kind, parent in _walk(tree):
-                calls = sorted({n for c in ast.walk(node) if isinstance(c, ast.Call) and (n := _name(c.func))})
-                bases = [ast.unparse(b) for b in node.bases] if kind == "class" else []
-                complexity = 1 + sum(len(c.values) - 1 if isinstance(c, ast.BoolOp) else 1 for c in ast.walk(node) if isinstance(c, _BRANCHES))
-                out.append((k, kind, node.name, parent, node.lineno, node.end_lineno, len(ast.get_docstring(node) or ""), [ast.unparse(d) for d in node.decorator_list], bases, calls, complexity))
-            return out
-
-        return row
-
-    kind = files.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, kind string, name string, parent string, start_line int, end_line int, doc_chars int, decorators array<string>, bases array<string>, calls array<string>, complexity int"
-    return flat_map(files.where(F.trim(content) != ""), [key, content], make, schema)
+    """key, kind, name, parent, first and last line, documentation (whether the line below opens one), bases as written, called names and
+    branches (plus one) of each symbol. A block ends before the next line of no more indentation."""
+    lines = F.split(F.col(content), "\r?\n")
+    declared = F.filter(
+        F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("i"), _indent(x).alias("indent"), F.regexp_extract(x, PYTHON_DECLARES, 1).alias("a"), F.regexp_extract(x, PYTHON_DECLARES, 2).alias("kind"), F.regexp_extract(x, PYTHON_DECLARES, 3).alias("name"))),
+        lambda d: d["name"] != "",
+    )
+    indents = F.transform(F.col("lines"), lambda x: F.when(x.rlike(PYTHON_LOOSE), NO_INDENT).otherwise(_indent(x)))
+    each = files.where(F.trim(content) != "").select(key, lines.alias("lines")).select(key, "lines", indents.alias("indents"), declared.alias("ds"))
+    each = each.select(key, "lines", "indents", "ds", F.explode("ds").alias("d"))
+    i, indent = F.col("d.i"), F.col("d.indent")
+    stop = F.array_position(F.transform(F.slice("indents", i + 2, F.size("indents")), lambda x: x <= indent), True)
+    last = F.when(stop > 0, i + stop).otherwise(F.size("lines"))
+    text = F.regexp_replace(F.array_join(F.slice("lines", i + 1, (last - i).cast("int")), "\n"), r"\s+$", "")
+    parent = F.try_element_at(F.filter("ds", lambda d: (d["i"] < i) & (d["indent"] < indent)), F.lit(-1))
+    each = each.select(key, "d", text.alias("text"), parent.alias("p"), F.coalesce(F.try_element_at("lines", i + 2), F.lit("")).alias("below"))
+    function = F.when(F.col("p.kind") == "class", "method").otherwise("function")
+    body = F.regexp_replace("text", r"^[^\n]*", "")
+    return each.select(
+        key, F.when(F.col("d.kind") == "class", "class").otherwise(F.concat(F.when(F.col("d.a") != "", "async_").otherwise(""), function)).alias("kind"), F.col("d.name").alias("name"), F.when(F.col("p.kind") == "class", F.col("p.name")).alias("parent"),
+        (F.col("d.i") + 1).alias("start_line"), (F.col("d.i") + F.size(F.split("text", "\n"))).alias("end_line"), F.col("below").rlike("^[ \t]*[rRuU]?(?:\"\"\"|''')").alias("documented"),
+        F.trim(F.regexp_extract("text", r"^[ \t]*class[ \t]+[A-Za-z0-9_]+[ \t]*\(([^()]*)\)", 1)).alias("bases"), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(PYTHON_CALL), F.lit(1)))), ",").alias("calls"),
+        (F.regexp_count("text", F.lit(PYTHON_BRANCH)) + 1).alias("branches"),
+    )
 
 
 def python_imports(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:

@@ -65,7 +65,18 @@ QUERIES = {f.__name__: f for f in (python_symbols, python_imports, declared_symb
 _F = lenses.SQL["files"]
 _LANG = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in source_files.LANGUAGES.items()) + " END"
 _DECLARED = " UNION ALL ".join(f"SELECT file_id, '{k}' AS kind, regexp_extract(t, '{p}', 1) AS name, i::INT AS line FROM l" for k, p in chunkers.DECLARATIONS)
+_D = chunkers.PYTHON_DECLARES
 ORACLES = {
+    "python_symbols": rf"""WITH {_F}, f AS (SELECT file_id, string_split_regex(content, '\r?\n') AS lines FROM files WHERE language = 'python' AND trim(content) <> ''),
+g AS (SELECT file_id, lines, list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '{chunkers.PYTHON_LOOSE}') THEN {chunkers.NO_INDENT} ELSE length(regexp_extract(x, '^[ \t]*')) END) AS indents FROM f),
+l AS (SELECT file_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM f),
+d AS (SELECT file_id, i, length(regexp_extract(x, '^[ \t]*')) AS indent, regexp_extract(x, '{_D}', 1) AS a, regexp_extract(x, '{_D}', 2) AS kind, regexp_extract(x, '{_D}', 3) AS name FROM l WHERE regexp_matches(x, '{_D}')),
+p AS (SELECT d.file_id, d.i, arg_max(q.kind, q.i) AS pkind, arg_max(q.name, q.i) AS pname FROM d JOIN d q ON q.file_id = d.file_id AND q.i < d.i AND q.indent < d.indent GROUP BY 1, 2),
+t AS (SELECT d.*, g.lines, coalesce(nullif(list_position(list_transform(g.indents[d.i + 1 :], lambda x: x <= d.indent), true), 0), len(g.lines) - d.i + 1) AS n FROM d JOIN g ON g.file_id = d.file_id),
+b AS (SELECT t.*, regexp_replace(array_to_string(lines[i : i + n - 1], chr(10)), '\s+$', '') AS text FROM t)
+SELECT b.file_id, CASE WHEN b.kind = 'class' THEN 'class' ELSE CASE WHEN a <> '' THEN 'async_' ELSE '' END || CASE WHEN pkind = 'class' THEN 'method' ELSE 'function' END END AS kind, b.name, CASE WHEN pkind = 'class' THEN pname END AS parent, b.i::INT AS start_line,
+(b.i - 1 + len(string_split(text, chr(10))))::INT AS end_line, regexp_matches(coalesce(lines[b.i + 1], ''), '^[ \t]*[rRuU]?(?:"""+"\"\"\"|'''''')')"+rf""" AS documented, trim(regexp_extract(text, '^[ \t]*class[ \t]+[A-Za-z0-9_]+[ \t]*\(([^()]*)\)', 1)) AS bases,
+array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '^[^\n]*', ''), '{chunkers.PYTHON_CALL}', 1))), ',') AS calls, (len(regexp_extract_all(text, '{chunkers.PYTHON_BRANCH}')) + 1)::INT AS branches FROM b LEFT JOIN p ON p.file_id = b.file_id AND p.i = b.i""",
     "python_imports": rf"""WITH {_F}, l AS (SELECT file_id, unnest(string_split_regex(content, '\r?\n')) AS t FROM files WHERE language = 'python' AND contains(content, 'import')),
 m AS (SELECT file_id, regexp_replace(trim(unnest(string_split(regexp_extract(t, '^\s*import\s+([\w., ]+?)\s*(?:#.*)?$', 1), ','))), '\s+as\s+\w+$', '') AS module FROM l UNION ALL SELECT file_id, regexp_extract(t, '^\s*from\s+([\w.]+)\s+import\b', 1) FROM l)
 SELECT DISTINCT file_id, module FROM m WHERE module <> ''""",

@@ -138,9 +138,12 @@ def outer():
 
 def test_python_symbols(spark):
     df = spark.createDataFrame([("f", SAMPLE), ("bad", "def broken(:\n"), ("null", None), ("blank", " ")], "file_id string, content string")
-    rows = {(r.kind, r.name): r for r in chunkers.python_symbols(df).collect()}
+    rows = {(r.kind, r.name): r for r in chunkers.python_symbols(df).where("file_id = 'f'").collect()}
     assert set(rows) == {("class", "Dog"), ("method", "bark"), ("async_method", "run"), ("function", "outer"), ("function", "inner")}
-    assert rows["class", "Dog"].bases == ["Animal", "FetchMixin"] and rows["method", "bark"].parent == "Dog" and rows["method", "bark"].calls == ["loud"] and rows["method", "bark"].complexity == 3
+    assert rows["class", "Dog"].bases == "Animal, FetchMixin" and rows["class", "Dog"].documented and rows["method", "bark"].parent == "Dog" and rows["method", "bark"].calls == "loud" and rows["method", "bark"].branches == 3
+    assert (rows["class", "Dog"].start_line, rows["class", "Dog"].end_line, rows["method", "bark"].end_line, rows["function", "inner"].end_line) == (3, 9, 8, 12)
+    # A file that doesn't parse gives its symbols, null and blank ones give none.
+    assert [(r.file_id, r.name) for r in chunkers.python_symbols(df).where("file_id <> 'f'").collect()] == [("bad", "broken")]
     assert {r.module for r in chunkers.python_imports(df).collect()} == {"os", ".pkg"}
 
 
