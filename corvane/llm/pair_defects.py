@@ -201,20 +201,29 @@ _GOES_ON = re.compile(r"(?i)\b(?:but|yet|however|still)\b(?! i (?:can'?t|cannot|
 _OFFER = re.compile(r"(?i)\b(?:anything else|something else|another question|rephrase|contact|happy to help|let me know|please ask|please try|noch etwas|autre chose|algo más|outra coisa|mais alguma|что-нибудь ещё|understand|apologi[sz]e|i hope)\b")
 
 
+_SAID = re.compile(r"```.*?(?:```|$)|`[^`]*`|\"[^\"]*\"|“[^”]*”|«[^»]*»", re.S)
+_SAYS = re.compile("[`\"“«]")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
+_ANY_WORD = re.compile(r"\w+")
+_SORRY_BUT = re.compile(r"(?i)^\W*(?:i'm |i am )?(?:so |very )?sorry,? but |désolé,? mais|lo siento,? pero|desculpe,? mas|извините,? но|leid,? aber")
+
+
 def refused(answer: str) -> bool:
     text = answer.replace("’", "'").replace("ʼ", "'")
-    bare = re.sub(r"```.*?(?:```|$)|`[^`]*`|\"[^\"]*\"|“[^”]*”|«[^»]*»", " ", text, flags=re.S)
+    bare = _SAID.sub(" ", text) if _SAYS.search(text) else text
     refusing, rest = 0, 0
-    for sentence in re.split(r"(?<=[.!?…])\s+|\n+", bare):
-        words = len(re.findall(r"\w+", sentence))
+    for sentence in _SENTENCES.split(bare):
+        words = len(_ANY_WORD.findall(sentence))
         if not words:
             continue
         low = sentence.lower()
-        if _refusals().refuses(low) and not _GOES_ON.search(re.sub(r"(?i)^\W*(?:i'm |i am )?(?:so |very )?sorry,? but ", "", re.sub(r"(?i)désolé,? mais|lo siento,? pero|desculpe,? mas|извините,? но|leid,? aber", "", low))):
+        if _refusals().refuses(low) and not _GOES_ON.search(_SORRY_BUT.sub("", low)):
             refusing += words
         elif not _OFFER.search(low) and not re.fullmatch(r"\W*(?:sorry|unfortunately|leider|désolé|perdón)\W*", low):
             rest += words
-    return refusing > 0 and rest <= 6
+            if rest > 6:
+                return False
+    return refusing > 0
 
 
 # --- language -----------------------------------------------------------------------------------------------------------------------
@@ -243,6 +252,7 @@ _ASKED = {
     "pl": r"\b(?:in|into) polish\b|auf polnisch|en polonais|en polaco|em polonês|по-польски|po polsku",
     "it": r"\b(?:in|into) italian\b|auf italienisch|en italien|en italiano|em italiano|по-итальянски|in italiano",
 }
+_ANY_ASKED = re.compile("|".join(_ASKED.values()), re.I)
 _ASKED = {k: re.compile(v, re.I) for k, v in _ASKED.items()}
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\"[^\"\n]*\"|\b\w*[_/\\]\w[\w/\\.:-]*|\b[\w-]+\.(?:py|js|ts|go|java|md)\b", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -275,10 +285,10 @@ def language_of(text: str) -> tuple[str, float] | None:
 
 
 def wrong_language(question: str, answer: str) -> bool:
-    asked = [k for k, p in _ASKED.items() if p.search(question)]
     got = language_of(answer)
     if not got:
         return False
+    asked = [k for k, p in _ASKED.items() if p.search(question)] if _ANY_ASKED.search(question) else []
     if got[0] in asked:
         return False
     want = language_of(question)
