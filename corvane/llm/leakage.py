@@ -46,8 +46,8 @@ LEAST_SHARED = 2
 MAX_GAP = 12
 #: Words around the hits that may belong to one passage: MIN_WORDS and the edits allowed in them.
 MARGIN = MIN_WORDS + 4
-#: Words in some MIN_WORDS neighbouring words of the item that any passage shares with the document, however its edits lie.
-LEAST_AGREE = 14
+#: Words that agree in order in any passage: MIN_WORDS less the edits allowed in them.
+LEAST_AGREE = round(MIN_WORDS * (1 - MAX_EDITS))
 #: What an edit costs against a word that agrees.
 EDIT_COST = 3.0
 #: Hashes of words that a Python worker keeps at most.
@@ -161,25 +161,42 @@ def _extend(doc: list[int], item: list[int], seeds: list[tuple[int, int]], commo
         q0, q1 = max(0, min(q for _, q in g) - MAX_GAP), min(len(item), max(q for _, q in g) + K + MAX_GAP)
         p0, p1 = max(0, g[0][0] - MAX_GAP), min(len(doc), g[-1][0] + K + MAX_GAP)
         got = None
-        if q1 - q0 >= MIN_WORDS and len(set(doc[p0:p1]).intersection(item[q0:q1]) - common) >= LEAST_SHARED:
+        if q1 - q0 >= MIN_WORDS and _may_agree(doc[p0:p1], item[q0:q1], common) and len(set(doc[p0:p1]).intersection(item[q0:q1]) - common) >= LEAST_SHARED:
             got = _align(doc[p0:p1], item[q0:q1], common)
         if not got:
             # Edits near the start, or a head without hits.
             q0, q1 = max(0, min(q for _, q in g) - MARGIN), min(len(item), max(q for _, q in g) + K + MARGIN)
             p0, p1 = max(0, g[0][0] - MARGIN), min(len(doc), g[-1][0] + K + MARGIN)
-            if len(set(doc[p0:p1]).intersection(item[q0:q1]) - common) >= LEAST_SHARED and _may_agree(doc[p0:p1], item[q0:q1]):
+            if len(set(doc[p0:p1]).intersection(item[q0:q1]) - common) >= LEAST_SHARED and _may_agree(doc[p0:p1], item[q0:q1], common):
                 got = _align(doc[p0:p1], item[q0:q1], common, heads=True)
         if got and (best is None or got[2] > best[2]):
             best = (p0 + got[0], p0 + got[1], *got[2:])
     return best
 
 
-def _may_agree(a: list[int], b: list[int]) -> bool:
-    held = set(a)
+def _may_agree(a: list[int], b: list[int], common: frozenset[int]) -> bool:
+    """Whether a passage may be there: of its words at least MIN_WORDS less the edits allowed in them agree, in order, and of its specific
+    words at least MIN_SPECIFIC of those that any MIN_WORDS words of the item hold."""
+    if _agreeing(a, b) < LEAST_AGREE:
+        return False
     sums = [0]
     for w in b:
-        sums.append(sums[-1] + (w in held))
-    return any(y - x >= LEAST_AGREE for x, y in zip(sums, sums[MIN_WORDS:]))
+        sums.append(sums[-1] + (w not in common))
+    least = min((y - x for x, y in zip(sums, sums[MIN_WORDS:])), default=0)
+    return _agreeing([w for w in a if w not in common], [w for w in b if w not in common]) >= MIN_SPECIFIC * least
+
+
+def _agreeing(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, taken for all places of b at once as the bits of one number."""
+    places: dict[int, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    whole = free = (1 << len(b)) - 1
+    for w in a:
+        if m := places.get(w):
+            met = free & m
+            free = (free + met | free - met) & whole
+    return len(b) - free.bit_count()
 
 
 def _heads(a: list[int], b: list[int], common: frozenset[int]) -> list[tuple[int, int, int, int]]:
