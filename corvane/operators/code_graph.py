@@ -117,13 +117,15 @@ def trails(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def shortest_paths(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """start, id, depth, path: the shortest path to each node; of several, the one with the smallest ids."""
-    links = cut(edges.select("src", "dst").distinct())
+def shortest_paths(starts: DataFrame, edges: DataFrame, depth: int, typed: bool = False) -> DataFrame:
+    """start, id, depth, path: the shortest path to each node; of several, the one with the smallest ids. typed: each node but the first is
+    written with the type of the edge that leads to it (rel_type:id)."""
+    name = F.concat_ws(":", "rel_type", "dst") if typed else F.col("dst")
+    links = cut(edges.select("src", "dst", name.alias("name")).distinct())
     seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.array("id").alias("path")).distinct())
     front = seen
     for d in range(1, depth + 1):
-        step = front.select("start", F.col("id").alias("src"), "path").join(links, "src").select("start", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        step = front.select("start", F.col("id").alias("src"), "path").join(links, "src").select("start", F.col("dst").alias("id"), F.concat("path", F.array("name")).alias("path"))
         best = step.groupBy("start", "id").agg(F.min("path").alias("path"))
         front = cut(best.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(d).alias("depth"), "path"))
         if front.isEmpty():

@@ -268,3 +268,12 @@ def first_seen(results: DataFrame, key: str, scope: str, order: list[str], top:
     first = results.groupBy(scope, key).agg(F.min(F.struct(*order)).alias("o"))
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy(scope).orderBy("o", key)))
     return placed.where(F.col("place") <= top).select(scope, key, "o.*", "place")
+
+
+def reranked(ranked: DataFrame, query: str, key: str, top: int, score: Column | None = None) -> DataFrame:
+    """query, key, final_score and final_rank. score: what a model gives for each row; without it, or where it is null, the rank and the score
+    that a row has stay what they are, after all rows that were given one."""
+    given = F.lit(None).cast("double") if score is None else score
+    order = Window.partitionBy(query).orderBy(F.desc_nulls_last("given"), "rank", key)
+    placed = ranked.withColumn("given", given).withColumn("final_rank", F.row_number().over(order))
+    return placed.where(F.col("final_rank") <= top).select(query, key, F.coalesce("given", "score").alias("final_score"), "final_rank")

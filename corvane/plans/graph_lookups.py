@@ -128,6 +128,32 @@ def chain_steps(spark: SparkSession, sf: str) -> DataFrame:
     return step.select("start", "target", "place", "node", F.try_element_at("path", F.col("place") + 2).alias("next"))
 
 
+def typed_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The shortest path of up to eight calls, imports and inheritances from each entry point, importing file and class that nothing inherits
+    from, with the type of every step."""
+    inherits = graph._inherits(spark, sf).where("rel_type = 'INHERITS_FROM'")
+    imports = context.import_edges(spark, sf).select("src", "dst", F.lit("IMPORTS").alias("rel_type")).distinct()
+    calls = graph._calls(spark, sf).select("src", "dst", "rel_type")
+    edges = cut(calls.unionByName(inherits.select("src", "dst", "rel_type")).unionByName(imports))
+    starts = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    return code_graph.shortest_paths(starts, edges, 8, typed=True).where("depth > 0").select("start", "id", "depth", F.array_join("path", " ").alias("path"))
+
+
+def file_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The functions and methods of each file in the order of their lines."""
+    held = graph._chunks(spark, sf).where(F.col("chunk_type").isin(*lenses.FUNCTION_TYPES) & F.col("file_id").isNotNull())
+    return held.select("file_id", "chunk_id", "name", F.row_number().over(Window.partitionBy("file_id").orderBy(F.coalesce("start_line", F.lit(0)), "chunk_id")).alias("place"))
+
+
+def repository_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls and inheritances among the first 500 functions and classes of each repository, by file and line, as a view of fixed size shows."""
+    held = graph._chunks(spark, sf).where(F.col("chunk_type").isin(*lenses.FUNCTION_TYPES, "class"))
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.coalesce("file_path", F.lit("")), F.coalesce("start_line", F.lit(0)), "chunk_id"))
+    shown = cut(held.select("repo_id", F.col("chunk_id").alias("id"), place.alias("place")).where(F.col("place") <= 500).select("id"))
+    edges = graph._calls(spark, sf).select("src", "dst", "rel_type").unionByName(graph._inherits(spark, sf).select("src", "dst", "rel_type"))
+    return code_graph.induced(edges, shown).select("src", "dst", "rel_type")
+
+
 def class_bases(spark: SparkSession, sf: str) -> DataFrame:
     """Number of bases of each kind of each class: all that aren't object or type, parents, mixins, abstract ones."""
     refs = table(spark, sf, "base_class_refs").select("chunk_id", class_links.simple_name(F.col("name")).alias("name"), "is_abstract", "is_mixin", "position").distinct().where("name not in ('object', 'type', '')")
@@ -160,7 +186,7 @@ def script_bases(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (reverse_calls, caller_reach, call_neighbours, sibling_functions, imported_functions, wide_expansion, all_graph_metrics, class_tree_depths, chain_steps, class_bases, external_bases, resolution_orders, script_bases)
+    for f in (reverse_calls, caller_reach, call_neighbours, sibling_functions, imported_functions, wide_expansion, all_graph_metrics, class_tree_depths, chain_steps, typed_paths, file_functions, repository_graph, class_bases, external_bases, resolution_orders, script_bases)
 }
 
 _DEG, _FN = graph._DEGREES, graph._FN
@@ -199,6 +225,13 @@ round(CASE WHEN nodes > 1 THEN coalesce(edges, 0) / (nodes * (nodes - 1)) ELSE 0
     "class_tree_depths": f"WITH RECURSIVE {_TREE} SELECT c.repo_id, t.root, count(*) - 1 AS below, max(t.depth)::INT AS deepest FROM tree t JOIN classes c ON c.chunk_id = t.id WHERE t.id NOT IN (SELECT a FROM cyc) GROUP BY 1, 2",
     "chain_steps": f"""WITH p AS ({graph.ORACLES["shortest_call_paths"]}), s AS (SELECT start, id AS target, string_split(path, '>') AS path FROM p), u AS (SELECT start, target, path, unnest(range(len(path))) AS place FROM s)
 SELECT start, target, place::INT AS place, path[place + 1] AS node, path[place + 2] AS next FROM u""",
+    "typed_paths": f"""WITH RECURSIVE {_DEG}, {_IMPORTS}, {graph._INH}, edges AS (SELECT src, dst, 'CALLS' AS rel FROM calls UNION SELECT src, dst, 'IMPORTS' FROM imp UNION SELECT src, dst, rel_type FROM inh WHERE rel_type = 'INHERITS_FROM'),
+starts AS (SELECT DISTINCT src AS id FROM edges WHERE src NOT IN (SELECT dst FROM edges)), {graph._levels("edges", "starts", 8)}, walks AS (SELECT id AS start, id AS here, [id] AS path, 0 AS depth FROM starts
+UNION SELECT w.start, e.dst, list_append(w.path, e.rel || ':' || e.dst), w.depth + 1 FROM walks w JOIN edges e ON e.src = w.here JOIN least l ON l.start = w.start AND l.id = e.dst AND l.depth = w.depth + 1)
+SELECT start, here AS id, depth::INT AS depth, array_to_string(min(path), ' ') AS path FROM walks WHERE depth > 0 GROUP BY start, here, depth""",
+    "file_functions": f"WITH {graph._C} SELECT file_id, chunk_id, name, row_number() OVER (PARTITION BY file_id ORDER BY coalesce(start_line, 0), chunk_id)::INT AS place FROM chunks WHERE chunk_type IN {_FN} AND file_id IS NOT NULL",
+    "repository_graph": f"""WITH {_DEG}, {graph._INH}, s AS (SELECT chunk_id AS id FROM (SELECT chunk_id, row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(file_path, ''), coalesce(start_line, 0), chunk_id) AS place FROM chunks WHERE chunk_type IN {_FN} OR chunk_type = 'class') WHERE place <= 500),
+e AS (SELECT src, dst, 'CALLS' AS rel_type FROM calls UNION ALL SELECT src, dst, rel_type FROM inh) SELECT src, dst, rel_type FROM e WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)""",
     "class_bases": f"""WITH r AS (SELECT DISTINCT chunk_id, {_SIMPLE.format("name")} AS name, is_abstract, is_mixin, position FROM base_class_refs)
 SELECT chunk_id, count(*) AS bases, count(*) FILTER (NOT is_abstract AND NOT is_mixin) AS parents, count(*) FILTER (is_mixin) AS mixins, count(*) FILTER (is_abstract) AS abstract FROM r WHERE name NOT IN ('object', 'type', '') GROUP BY 1""",
     "external_bases": f"""WITH RECURSIVE {_LINKS}, r AS (SELECT DISTINCT repo_id, chunk_id, {_SIMPLE.format("name")} AS base FROM base_class_refs),

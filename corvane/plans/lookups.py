@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code_graph, lenses, scanning, store
 from ..session import ensure_checkpoint_dir, table
+from ..sources import files
 from . import graph
 from .relations import _FINDINGS, _sql
 
@@ -106,6 +107,18 @@ def load_summary(spark: SparkSession, sf: str) -> DataFrame:
     return hour.groupBy("provider_used").agg(F.max("n").alias("busiest"), F.round(F.sum("failed") / F.sum("n"), 6).alias("failure_rate"), F.round(F.avg("median"), 6).alias("mean_median"))
 
 
+def load_test_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures of a load test, written as its CSV by hour from the request log and read from there: best rate, share of failures, mean of
+    the medians."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/load-{uuid.uuid4().hex}"
+    r = lenses.requests(spark, sf, "answer", "total_latency_ms", "asked_at").where("asked_at is not null")
+    hour = r.groupBy(F.date_trunc("hour", "asked_at").alias("Hour")).agg(F.count("*").alias("Request Count"), F.count_if(F.coalesce(F.trim("answer"), F.lit("")) == "").alias("Failure Count"), F.round(F.percentile("total_latency_ms", 0.5), 3).alias("Median Response Time"))
+    hour.withColumn("Requests/s", F.round(F.col("Request Count") / 3600, 9)).drop("Hour").write.option("header", True).csv(path)
+    rows = files.load_test(spark, path)
+    return rows.agg(F.round(F.max("rate"), 6).alias("best_rate"), F.round(F.sum("failures") / F.sum("requests"), 6).alias("failure_rate"), F.round(F.avg("median"), 4).alias("mean_median"))
+
+
 def evaluation_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Answered, skipped and failed requests of each repository and the mean latency of the answered ones: 0 and null where there are none."""
     r = lenses.requests(spark, sf, "repo_id", "answer", "total_latency_ms")
@@ -194,7 +207,7 @@ def vector_totals(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        prefixed_chunks, containing_chunks, ending_chunks, relevant_chunks, ranked_findings, rule_totals, answer_keys, answer_limits, prepared_texts, event_properties, chunk_payloads, item_keywords, load_summary, evaluation_totals,
+        prefixed_chunks, containing_chunks, ending_chunks, relevant_chunks, ranked_findings, rule_totals, answer_keys, answer_limits, prepared_texts, event_properties, chunk_payloads, item_keywords, load_summary, load_test_totals, evaluation_totals,
         analysis_totals, branch_counts, largest_functions, first_chunks, model_usage, embedding_work, filtered_graph, repository_branches, remaining_chunks, stored_chunks, vector_totals,
     )
 }
@@ -222,6 +235,8 @@ s AS (SELECT request_id, words, CASE WHEN words > {WORDS} THEN head ELSE answer
     "item_keywords": "SELECT item_id, category, (generate_subscripts(keywords, 1) - 1)::INT AS n, unnest(keywords) AS keyword FROM eval_items",
     "load_summary": f"""WITH {_R}, h AS (SELECT provider_used, date_trunc('hour', asked_at) AS hour, count(*) AS n, count(*) FILTER (coalesce(trim(answer), '') = '') AS failed, quantile_cont(total_latency_ms, 0.5) AS median FROM requests WHERE provider_used IS NOT NULL AND asked_at IS NOT NULL GROUP BY 1, 2)
 SELECT provider_used, max(n) AS busiest, round(sum(failed) / sum(n), 6) AS failure_rate, round(avg(median), 6) AS mean_median FROM h GROUP BY 1""",
+    "load_test_totals": f"""WITH {_R}, h AS (SELECT date_trunc('hour', asked_at) AS hour, count(*) AS n, count(*) FILTER (coalesce(trim(answer), '') = '') AS failed, round(quantile_cont(total_latency_ms, 0.5), 3) AS median FROM requests WHERE asked_at IS NOT NULL GROUP BY 1)
+SELECT round(max(n / 3600), 6) AS best_rate, round(sum(failed) / sum(n), 6) AS failure_rate, round(avg(median), 4) AS mean_median FROM h""",
     "evaluation_totals": f"""WITH {_R}, r AS (SELECT *, coalesce(trim(answer), '') <> '' AS done FROM requests)
 SELECT repo_id, count(*) FILTER (done) AS evaluated, count(*) FILTER (answer IS NULL) AS skipped, count(*) FILTER (answer IS NOT NULL AND NOT done) AS failed, round(coalesce(avg(total_latency_ms) FILTER (done), 0), 6) AS mean_or_zero, round(avg(total_latency_ms) FILTER (done), 6) AS mean_or_null FROM r GROUP BY 1""",
     "analysis_totals": f"""WITH {_C} SELECT repo_id, count(*) AS chunks, count(*) FILTER (len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, {_sql(_ANY)}, 'i'))) > 0) AS unsafe,

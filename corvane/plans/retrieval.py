@@ -149,6 +149,11 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return fused.select("query_id", F.col("vec_id").alias("doc_id"), "vector_rank", "keyword_rank", "score", "rank")
 
 
+def reranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of the search where no model reranks it: places and scores stay."""
+    return retrieval.reranked(hybrid_search(spark, sf), "query_id", "doc_id", 5)
+
+
 def one_sided_search(spark: SparkSession, sf: str) -> DataFrame:
     """The fusion with one side left empty: the vectors alone."""
     vectors = retrieval.nearest(table(spark, sf, "embeddings"), _asked(spark, sf), "vec_id", "embedding", CANDIDATES, skip_self=False)
@@ -171,7 +176,7 @@ def retrieval_means(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (top_terms, bm25_filtered, multi_query_search, citations, vector_filtered, indexed_search, fresh_answers, one_sided_search, retrieval_means, tokenize_chunks, bm25_terms, bm25_search, vector_search, semantic_cache, hybrid_search, retrieval_quality, capped_tokenize_chunks, capped_bm25_search)
+    for f in (top_terms, bm25_filtered, multi_query_search, citations, vector_filtered, indexed_search, fresh_answers, reranked_search, one_sided_search, retrieval_means, tokenize_chunks, bm25_terms, bm25_search, vector_search, semantic_cache, hybrid_search, retrieval_quality, capped_tokenize_chunks, capped_bm25_search)
 }
 
 
@@ -254,3 +259,4 @@ round(coalesce(h1, 0), 6)::DOUBLE AS p1, round(coalesce(h5 / 5, 0), 6)::DOUBLE A
 FROM embeddings e LEFT JOIN per ON per.query_id = e.vec_id WHERE e.vec_id % 100 = 0""",
 }
 ORACLES["retrieval_means"] = f"""SELECT count(*) AS queries, count(*) FILTER (first_rank > 0) AS answered, {", ".join(f"round(coalesce(avg({c}), 0), 6) AS mean_{c}" for c in ("reciprocal_rank", "ndcg", "p1", "p5", "pk"))} FROM ({ORACLES["retrieval_quality"]})"""
+ORACLES["reranked_search"] = f"SELECT query_id, doc_id, score AS final_score, rank AS final_rank FROM ({ORACLES['hybrid_search']}) WHERE rank <= 5"

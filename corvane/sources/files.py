@@ -36,3 +36,13 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     named = found.withColumn("relative_path", relative).withColumn("language", language(F.col("relative_path"))).where(F.col("language").isNotNull() & ~in_skipped_dir(F.col("relative_path")))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return named.select("relative_path", "language", F.col("length").cast("int").alias("size_bytes"), (F.size(F.split(text, "\n"))).alias("line_count"), text.alias("content"))
+
+
+#: Columns of a load test's table that are read.
+LOAD_COLUMNS = {"Request Count": "requests", "Failure Count": "failures", "Median Response Time": "median", "Requests/s": "rate"}
+
+
+def load_test(spark: SparkSession, path: str) -> DataFrame:
+    """requests, failures, median and rate of each row of a load test's CSV files; what is no number is null."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*(F.col(f"`{k}`").try_cast("double").alias(v) for k, v in LOAD_COLUMNS.items()))
