@@ -12,7 +12,7 @@ fingerprint and the one after it, and if that is shared as often, of 4 or of RUN
 span of items and document that agrees word by word and is long enough is still found; such runs are some 16 words long.
 
 The corpus is scanned once. A document's fingerprints leave their task only if a bitmap of FILTER_BITS bits says that some item may have
-them, and with them the words around them; whole texts are never shuffled. The bitmap is all that is sent to every executor, and its size
+them, and with them the words around them; whole texts are never shuffled. Two such bitmaps are all that is sent to every executor, and their size
 doesn't depend on the data.
 
 Null and empty texts on either side leak nothing. Items shorter than MIN_WORDS words can't hold such a passage. Repeated rows count once.
@@ -103,30 +103,39 @@ def _winnow(h: np.ndarray) -> np.ndarray:
     return np.unique(w.argmin(axis=1) + np.arange(len(w)))
 
 
-def fingerprints(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length of RUNS the positions and the hashes (signed) of the runs of kept fingerprints that begin there."""
+def _runs(at: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes (signed) of the runs of kept fingerprints."""
+    n = max(0, len(h) - length + 1)
+    run = np.full(n, np.uint64(length), np.uint64)
+    for j in range(length):
+        run = (run ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        run ^= run >> np.uint64(31)
+    return at[:n], run.view(np.int64)
+
+
+def _kept(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = _hashes(ids)
     at = _winnow(h)
-    h = h[at]
-    out = []
-    for length in RUNS:
-        n = len(h) - length + 1
-        if n < 1:
-            break
-        run = np.full(n, np.uint64(length), np.uint64)
-        for j in range(length):
-            run = (run ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-            run ^= run >> np.uint64(31)
-        out.append((at[:n], run.view(np.int64)))
-    return out
+    return at, h[at]
+
 
+def fingerprints(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of RUNS the positions and the hashes of the runs of kept fingerprints that begin there."""
+    at, h = _kept(ids)
+    return [_runs(at, h, length) for length in RUNS if len(h) >= length]
 
-def _segments(ids: np.ndarray, passes: Callable[[np.ndarray], np.ndarray]) -> list[tuple[int, list[int], list[int], list[int]]]:
-    """Stretches of a document around the runs that pass: first word, word ids, positions and hashes of the runs."""
+
+def _segments(ids: np.ndarray, passes: Callable[[np.ndarray], np.ndarray], begins: Callable[[np.ndarray], np.ndarray]) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """Stretches of a document around the runs that pass: first word, word ids, positions and hashes of the runs. Longer runs are only made
+    where a fingerprint begins one of the items' runs."""
+    at, h = _kept(ids)
+    if not len(h) or not begins(_runs(at, h, 1)[1]).any():
+        return []
     hits = []
-    for at, h in fingerprints(ids):
-        good = passes(h)
-        hits += zip(at[good].tolist(), h[good].tolist())
+    for length in RUNS:
+        places, run = _runs(at, h, length)
+        good = passes(run)
+        hits += zip(places[good].tolist(), run[good].tolist())
     hits.sort()
     groups: list[list[tuple[int, int]]] = []
     for hit in hits:
@@ -284,7 +293,8 @@ def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def item_fingerprints(words: DataFrame, hot_owners: int) -> DataFrame:
-    """hash, item, pos: for each fingerprint of an item the shortest of its runs that few enough items share, or else the longest."""
+    """hash, item, pos, head: for each fingerprint of an item the shortest of its runs that few enough items share, or else the longest, and the
+    hash of the fingerprint by itself."""
     kind = words.schema["item"].dataType.simpleString()
 
     def make() -> Callable:
@@ -294,7 +304,7 @@ def item_fingerprints(words: DataFrame, hot_owners: int) -> DataFrame:
     owners = every.select("hash", "item").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     # A run too long to begin near the end of an item doesn't exist there; the longest that does then stands.
     fit = F.when(F.col("owners") <= hot_owners, F.col("run")).otherwise(1_000 - F.col("run"))
-    return every.join(owners, "hash").groupBy("item", "pos").agg(F.min_by("hash", fit).alias("hash")).select("hash", "item", "pos")
+    return every.join(owners, "hash").groupBy("item", "pos").agg(F.min_by("hash", fit).alias("hash"), F.min_by("hash", "run").alias("head")).select("hash", "item", "pos", "head")
 
 
 def _bitmap(prints: DataFrame) -> np.ndarray:
@@ -313,17 +323,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # At most as many words as 1 / COMMON_SHARE items hold can stand in such a share of all items.
     common = frozenset(r[0] for r in words.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") > max(2, COMMON_SHARE * count)).select("w").collect())
     prints = cut(item_fingerprints(words, hot_owners))
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(prints))
+    sent = docs.sparkSession.sparkContext.broadcast((_bitmap(prints), _bitmap(prints.select(F.col("head").alias("hash")))))
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
 
     def cutter() -> Callable:
-        bits, mask = sent.value, np.int64(FILTER_BITS - 1)
+        mask = np.int64(FILTER_BITS - 1)
 
-        def passes(h: np.ndarray) -> np.ndarray:
-            at = h & mask
-            return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+        def looks(bits: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+            return lambda h: (bits[(h & mask) >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) != 0
 
-        return lambda key, text: [(key, *x) for x in _segments(_IDS.of(text), passes)]
+        passes, begins = map(looks, sent.value)
+        return lambda key, text: [(key, *x) for x in _segments(_IDS.of(text), passes, begins)]
 
     texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     segments = flat_map(texts, [F.col(id_col).alias("doc"), F.col(text_col).alias("text")], cutter, f"doc {kinds[0]}, first int, ids array<bigint>, pos array<int>, hash array<bigint>")

@@ -91,7 +91,7 @@ def leaked(items, body):
         for q, h in zip(at.tolist(), hashes.tolist()):
             prints[h].append((k, q))
     found = []
-    for first, ids, pos, hashes in leakage._segments(leakage._IDS.of(body), lambda h: np.isin(h, list(prints))):
+    for first, ids, pos, hashes in leakage._segments(leakage._IDS.of(body), lambda h: np.isin(h, list(prints)), lambda h: np.isin(h, list(prints))):
         seeds = defaultdict(list)
         for p, h in zip(pos, hashes):
             for k, q in prints.get(h, ()):
