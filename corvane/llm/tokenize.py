@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import flat_map
+from ..session import cut
 
 #: The split of the byte-level vocabularies into words, a fixed value of the public tokenizer.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,7 +175,25 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return lambda key, text: [(key, encode(text))]
 
     kind = df.schema[id_col].dataType.simpleString()
-    return flat_map(df, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], make, f"{id_col} {kind}, ids array<int>").dropDuplicates([id_col])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return flat_map(_once(rows), ["id", "text"], make, f"{id_col} {kind}, ids array<int>")
+
+
+#: Ids that stand in several rows are sent to every executor up to this number; of more, all rows meet by id.
+MAX_REPEATED = 1_000_000
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each id. Only the ids are counted, so texts of ids that stand alone are never shuffled."""
+    repeated = cut(rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))
+    n = repeated.count()
+    if n == 0:
+        return rows
+    if n > MAX_REPEATED:
+        return rows.dropDuplicates(["id"])
+    met = F.col("id").eqNullSafe(F.col("again"))
+    alone = rows.join(F.broadcast(repeated), met, "left_anti")
+    return alone.unionByName(rows.join(F.broadcast(repeated), met, "left_semi").dropDuplicates(["id"]))
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

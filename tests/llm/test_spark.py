@@ -117,11 +117,17 @@ def test_encoding(spark):
     assert encoding_repair.garbled_texts(df.limit(0)).count() == 0
 
 
-def test_tokens(spark):
+def test_tokens(spark, monkeypatch):
     pytest.importorskip("public_tokenizers")
-    df = documents(spark, [(1, "hello world"), (1, "hello world"), (2, None), (3, ""), (4, "ab" * 100_000)])
-    got = {r.doc_id: r.ids for r in tokenize.encode_texts(df).collect()}
-    assert got[1] == [31373, 995] and got[2] == [] and got[3] == [] and len(got[4]) > 1000 and len(got) == 4
+    df = documents(spark, [(1, "hello world"), (1, "hello world"), (2, None), (3, ""), (4, "ab" * 100_000), (None, "x"), (None, "x")])
+    for most in (tokenize.MAX_REPEATED, 1):
+        monkeypatch.setattr(tokenize, "MAX_REPEATED", most)
+        rows = tokenize.encode_texts(df).collect()
+        got = {r.doc_id: r.ids for r in rows}
+        assert got[1] == [31373, 995] and got[2] == [] and got[3] == [] and len(got[4]) > 1000 and len(got) == len(rows) == 5
+    assert len(tokenize.encode_texts(df.where("doc_id > 1")).collect()) == 3 and tokenize.encode_texts(df.limit(0)).count() == 0
+    back = {r.doc_id: r.text for r in tokenize.decode_ids(tokenize.encode_texts(df)).collect()}
+    assert back[1] == "hello world" and back[2] == back[3] == "" and back[4] == "ab" * 100_000
 
 
 def test_leaks(spark):
