@@ -69,7 +69,6 @@ _LOCK_TEXT = re.compile(r'^\s*(?:"lockfileVersion"|lockfileVersion|"_meta":\s*\{
 # --- features -----------------------------------------------------------------------------------------------------------------------
 
 FEATURES = ("compression", "token_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line", "top_shape", "distinct_shapes", "digit_share", "blank_share", "keyword_share")
-_IDENT = re.compile(r"[A-Za-z_$][\w$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
 _SHAPE = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_$][\w$]*|\d[\w.]*")
 _LITERAL = re.compile(r"\"[^\"\n ]{40,}\"|'[^'\n ]{40,}'")

@@ -292,6 +292,32 @@ def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return flat_map(once, ["item", "t"], make, f"item {kind}, words array<bigint>")
 
 
+def _bounds(ids: list[int], common: frozenset[int]) -> tuple[list[int], int, int]:
+    """The specific words of an item, and how many different words, and different specific ones, any passage shares with the document: of the
+    words of every stretch of MIN_WORDS or more, less those that edits may take away."""
+    least = least_special = len(ids)
+    for start in range(len(ids) - MIN_WORDS + 1):
+        seen: set[int] = set()
+        special: set[int] = set()
+        count = 0
+        for n, w in enumerate(ids[start:], 1):
+            seen.add(w)
+            if w not in common:
+                special.add(w)
+                count += 1
+            if n >= MIN_WORDS:
+                least = min(least, len(seen) - int(MAX_EDITS * n))
+                least_special = min(least_special, len(special) - int((1 - MIN_SPECIFIC) * count))
+    return sorted(set(ids) - common), least, max(least_special, LEAST_SHARED)
+
+
+def _bounded(words: DataFrame, common: frozenset[int]) -> DataFrame:
+    def make() -> Callable:
+        return lambda item, ids: [(item, ids, *_bounds(ids, common))]
+
+    return flat_map(words, ["item", "words"], make, f"item {words.schema['item'].dataType.simpleString()}, words array<bigint>, special array<bigint>, least int, least_special int")
+
+
 def item_fingerprints(words: DataFrame, hot_owners: int) -> DataFrame:
     """hash, item, pos, head: for each fingerprint of an item the shortest of its runs that few enough items share, or else the longest, and the
     hash of the fingerprint by itself."""
@@ -339,12 +365,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     segments = flat_map(texts, [F.col(id_col).alias("doc"), F.col(text_col).alias("text")], cutter, f"doc {kinds[0]}, first int, ids array<bigint>, pos array<int>, hash array<bigint>")
     segments = cut(segments.withColumn("row", F.monotonically_increasing_id()))
     light = segments.select("row", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("row", F.col("x.pos").alias("p"), F.col("x.hash").alias("hash"))
-    met = light.join(prints.select("hash", "item", F.col("pos").alias("q")), "hash").groupBy("row", "item").agg(F.collect_set(F.struct("p", "q")).alias("seeds"))
-    pairs = met.join(segments.select("row", "doc", "first", "ids"), "row").join(words, "item")
+    met = light.join(prints.select("hash", "item", F.col("pos").alias("q")), "hash").groupBy("row", "item").agg(F.collect_set(F.col("p").cast("long") * (1 << 32) + F.col("q")).alias("seeds"))
+    pairs = met.join(segments.select("row", "doc", "first", "ids"), "row").join(cut(_bounded(words, common)), "item")
+    # What shares too few words, or too few specific ones, with the item can hold no passage of it.
+    pairs = pairs.where(F.size(F.array_intersect("ids", "special")) >= F.col("least_special")).where(F.size(F.array_intersect("ids", "words")) >= F.col("least")).select("row", "item", "doc", "first", "ids", "seeds", "words")
 
     def extender() -> Callable:
         def row(doc, item, first, ids, seeds, item_ids):
-            best = _extend(ids, item_ids, [(s["p"] - first, s["q"]) for s in seeds], common)
+            best = _extend(ids, item_ids, [((x >> 32) - first, x & 0xFFFFFFFF) for x in seeds], common)
             return [(doc, item, first + best[0], first + best[1], *best[2:])] if best else []
 
         return row

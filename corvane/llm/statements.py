@@ -418,7 +418,6 @@ class Indentation:
 
 _JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
 _JSON_SCALAR = re.compile(r"(?<![\w.+-])(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)(?![\w.+-])")
-_JSON_OTHER = re.compile(r"[^SV{}\[\],:]")
 _JSON_INNER = re.compile(r"\{(?:(?:S:[SV]|P)(?:,(?:S:[SV]|P))*)?\}|\[(?:[SVA](?:,[SVA])*)?\]")
 _JSON_MANY = re.compile(r"(?<=,)[VA](?:,[VA])+(?=,)"), re.compile(r"(?<=,)(?:S:[SV]|P)(?:,(?:S:[SV]|P))+(?=,)")
 

@@ -127,6 +127,20 @@ def test_every_long_enough_shared_span_is_found():
         assert i in [f[0] for f in leaked(items, doc)]
 
 
+def test_bounds_never_exclude_a_passage():
+    r = random.Random(9)
+    for _ in range(200):
+        item = [r.randrange(25) for _ in range(r.randrange(20, 45))]
+        common = frozenset(r.sample(range(25), 8))
+        special, least, least_special = leakage._bounds(item, common)
+        at = r.randrange(len(item) - 19)
+        body = item[at : at + r.randrange(20, 46)]
+        for _ in range(r.randrange(int(leakage.MAX_EDITS * len(body)) + 1)):
+            body[r.randrange(len(body))] = 99
+        if leakage._align(body, item, common, heads=True):
+            assert len(set(body) & set(item)) >= least and (len(set(body) & set(special)) >= least_special or len(set(body) & set(special)) < leakage.LEAST_SHARED)
+
+
 @pytest.mark.parametrize("edits", [[2], [1], [2, 17], [3, 10, 16], [1, 2]])
 @pytest.mark.parametrize("start", [0, 15, 40])
 def test_leaks_with_early_edits(edits, start):
