@@ -37,28 +37,32 @@ def corpus_stats(docs: DataFrame, scope: str, tokens: Column) -> DataFrame:
     return docs.groupBy(scope).agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean_dl"))
 
 
+def _raw_idf() -> Column:
+    return F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+
+
 def term_stats(df: DataFrame, stats: DataFrame, scope: str) -> DataFrame:
     """df and idf of each term; a negative idf becomes EPSILON of the scope's mean idf."""
-    raw = df.join(stats, scope).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    raw = df.join(stats, scope).withColumn("raw", _raw_idf())
     mean = raw.groupBy(scope).agg(F.avg("raw").alias("mean_idf"))
     return raw.join(mean, scope).select(scope, "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, scope: str, key: str, tokens: Column, top: int, min_score: float = LEAST_SCORE, keep: Column | None = None) -> DataFrame:
     """query_id, scope, key, score, rank: the best documents for each query. queries: query_id, scope and terms (array<string>); a repeated
-    term counts as often. keep: which documents may be found; the others still count in the statistics of the corpus. docs is read three times, so let it be a written table or a checkpoint. Only postings of asked terms are shuffled and meet the queries; hot scopes are spread by term."""
+    term counts as often. keep: which documents may be found; the others still count in the statistics of the corpus. docs is read twice or three times, so let it be a written table. Only postings of asked terms are shuffled and meet the queries; hot scopes are spread by term."""
     base = docs.select(scope, key, tokens.alias("tokens"), (F.lit(True) if keep is None else keep).alias("keep"))
     stats = corpus_stats(base, scope, F.col("tokens"))
     asked = queries.select("query_id", scope, F.explode("terms").alias("term")).groupBy("query_id", scope, "term").agg(F.count("*").alias("times"))
     terms = asked.select(scope, "term").distinct()
-    weights = term_stats(document_frequencies(base, scope, F.col("tokens")), stats, scope).join(terms, [scope, "term"], "left_semi")
-    posts = base.where("keep").select(scope, key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, [scope, "term"], "left_semi").groupBy(scope, key, "dl", "term").agg(F.count("*").alias("tf"))
-    scored = (
-        posts.join(weights, [scope, "term"])
-        .join(stats, scope)
-        .withColumn("part", F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl"))))
-        .select(scope, key, "term", "part")
-    )
+    posts = cut(base.select(scope, key, "keep", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, [scope, "term"], "left_semi").groupBy(scope, key, "keep", "dl", "term").agg(F.count("*").alias("tf")))
+    raw = posts.groupBy(scope, "term").agg(F.count("*").alias("df")).join(stats, scope).withColumn("raw", _raw_idf())
+    # The mean over all terms is only asked of scopes where an asked term stands in more than half of the documents.
+    common = base.join(raw.where("raw < 0").select(scope).distinct(), scope, "left_semi")
+    mean = document_frequencies(common, scope, F.col("tokens")).join(stats, scope).groupBy(scope).agg(F.avg(_raw_idf()).alias("mean_idf"))
+    weights = raw.join(mean, scope, "left").select(scope, "term", "n", "mean_dl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
+    scored = posts.where("keep").join(weights, [scope, "term"]).select(scope, key, "term", part.alias("part"))
     total = asked.join(scored, [scope, "term"]).groupBy("query_id", scope, key).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
     ranked = total.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", scope).orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= top)
