@@ -135,9 +135,9 @@ SELF, DENY, ABLE, SAY, DECLINE, LIMIT, LACK, ALLOW = (1 << i for i in range(8))
 _STEMS = {
     SELF: "m'* estoy tengo puedo debo niego quiero prefiero estou tenho posso devo consigo prefiro sou jestem mam muszę sono ho devo могу вынужден i im i'm ive i'd i'll me my myself ich mir mich mein* je j j'ai me m moi mon mes mes yo mi mí me puedo podemos eu mim meu meus minha minhas me posso я мне меня мной мои мой моих мы ja mnie mi mój moje moich mną mogę io me mi mio miei posso",
     DENY: "not no cannot can't cant won't wont don't isn't wouldn't couldn't unable never nothing without nicht kein* nie nichts ohne ne n pas aucun* rien sans no ningun* ningún nunca nada sin não nao nenhum* nunca nada sem не нет никак* нельзя невозможно nie żaden żadn* nic non nessun* niente impossible unmöglich imposible impossível niemożliw* impossibile",
-    ABLE: "can cannot can't cant could couldn't able unable will won't would wouldn't let lets may possible something kann könnte* darf möglich lage imstande lässt möchte werde peux puis pourrai* mesure possible impossible veux saurais puedo podré podría posible imposible condiciones capaz deja dejan quiero pienso posso poderei poderia consigo possível impossível condições quero могу можем смогу возможно невозможно состоянии буду стану хочу вправе право mogę możemy możliwe stanie będę chcę posso potrò possibile grado voglio position impossible",
-    ALLOW: "allow* permit* authori* licensed befugt berechtigt erlaub* gestatte* autorisiert zulässig darf autorisé* permis permise permet* permett* droit autoriz* permit* допуст* разреш* позвол* имею вправе права upoważnion* wolno uprawnion* pozwal* autorizzat* permess* concesso",
-    SAY: "help assist assistance answer* respond* response reply discuss* talk* comment* provide* share say tell speak address advise elaborate disclose reveal comply fulfill fulfil that this look hilf* helfen weiterhelfen behilflich antwort* beantwort* auskunft sag* sprech* besprech* äußer* mitteil* eingehen diskutier* kommentier* stellung unterstütz* dienen aid* répon* aider parler dire discuter commenter fournir donner partager renseign* communiquer traiter ayud* respond* contest* hablar decir comentar discutir proporcionar compartir tratar ofrecer dar ajud* respond* falar dizer comentar discutir fornecer partilhar compartilhar tratar informar помо* ответ* отвеч* говорить сказать обсужда* обсудить комментир* предостав* рассказ* дать сообщ* pomóc pomoc odpowied* odpowiada* mówić powiedzieć omawia* omówić komentować udziel* podać aiut* rispond* parlare dire discutere commentare fornire",
+    ABLE: "can cannot can't cant could couldn't able unable will won't would wouldn't let lets may possible something kann könnte* darf möglich lage imstande lässt möchte werde peux puis pourrai* mesure possible impossible veux saurais puedo podré podría posible imposible condiciones capaz deja dejan quiero pienso posso poderei poderia consigo possível impossível condições quero могу можем смогу возможно невозможно состоянии буду стану хочу вправе право mogę możemy możliwe stanie będę chcę posso potrò possibile grado voglio position impossible préfère préférerais prefiero prefiro preferisco bevorzuge wolę предпочитаю нельзя prefer",
+    ALLOW: "allow* permit* permiss* permiso* erlaubnis genehmigung pozwoleni* нельзя authori* licensed befugt berechtigt erlaub* gestatte* autorisiert zulässig darf autorisé* permis permise permet* permett* droit autoriz* permit* допуст* разреш* позвол* имею вправе права upoważnion* wolno uprawnion* pozwal* autorizzat* permess* concesso",
+    SAY: "prononcer pronunci* auslassen opine* opinar высказыв* wypowiad* help assist assistance answer* respond* response reply discuss* talk* comment* provide* share say tell speak address advise elaborate disclose reveal comply fulfill fulfil that this look hilf* helfen weiterhelfen behilflich antwort* beantwort* auskunft sag* sprech* besprech* äußer* mitteil* eingehen diskutier* kommentier* stellung unterstütz* dienen aid* répon* aider parler dire discuter commenter fournir donner partager renseign* communiquer traiter ayud* respond* contest* hablar decir comentar discutir proporcionar compartir tratar ofrecer dar ajud* respond* falar dizer comentar discutir fornecer partilhar compartilhar tratar informar помо* ответ* отвеч* говорить сказать обсужда* обсудить комментир* предостав* рассказ* дать сообщ* pomóc pomoc odpowied* odpowiada* mówić powiedzieć omawia* omówić komentować udziel* podać aiut* rispond* parlare dire discutere commentare fornire",
     DECLINE: "decline refuse refusing declining pass ablehn* verweiger* lehne décliner refuser refuse décline rechaz* declin* negarme niego recus* declin* отказ* отклон* вынужден* odmaw* odmówić rifiut* declin*",
     LIMIT: "outside beyond scope guidelines policy policies instruct* rules restricted off-limits außerhalb richtlinien vorgaben regeln anweisung* rahmen hors dehors cadre consignes règles directives instructions fuera alcance normas instrucciones directrices fora âmbito normas instruções diretrizes regras вне пределами рамк* правил* инструкц* poza zakres* zasad* wytyczn* instrukcj* fuori ambito regole istruzioni",
     LACK: "enough context information access knowledge insight basis genug kontext informationen zugriff zugang einblick grundlage assez contexte informations accès suficiente* contexto información acceso informações acesso достаточно контекст* информаци* доступ* wystarczając* kontekst* informacji dostępu abbastanza contesto informazioni accesso",

@@ -256,7 +256,7 @@ PAIRS = [
     (Q, "I'm sorry, but I can't help with rank_session.", "refusal"), ("Où est la clé ?", "Je suis désolé, je ne peux pas répondre à cette question.", "refusal"), (Q, "I'm not able to see the caller, yet the rest is clear. The session is drained first.", None), (Q, 'The log line "sorry, unable to help" comes from there.', None),
     (Q, "Nach dem Neustart wird die Größe über die Knoten verteilt, und danach ist es gut.", "language"), (Q + " Please answer in German.", "Nach dem Neustart wird die Größe über die Knoten verteilt, und danach ist es gut.", None), (Q, "```python\nx = 1\n```", None),
     (Q, Q + " " + Q, "copy"), (Q, Q + "\n" + Q + "\n" + Q, "copy"), (Q, "Unfortunately there is not enough context for me to say anything on rank_session.", "refusal"), (Q, "My instructions do not let me talk about rank_session. Is there anything else?", "refusal"),
-    (Q, "Sorry - that falls outside what I'm allowed to discuss.", "refusal"), ("Wo wird das gespeichert?", "Dazu darf ich keine Auskunft geben.", "refusal"), ("¿Dónde está la caché?", "No estoy autorizado a hablar de eso.", "refusal"), (Q, "You cannot drain a cache twice, since the session seals it.", None),
+    (Q, "Sorry - that falls outside what I'm allowed to discuss.", "refusal"), ("Wo wird das gespeichert?", "Dazu darf ich keine Auskunft geben.", "refusal"), ("¿Dónde está la caché?", "No estoy autorizado a hablar de eso.", "refusal"), ("Где ключ?", "Мне нельзя говорить о release_buffer.", "refusal"), ("Où est la clé ?", "Je préfère ne pas me prononcer sur schedule_delta. Merci de votre compréhension.", "refusal"), ("Onde está a chave?", "Não tenho permissão para falar de encode_packet. Obrigado.", "refusal"), ("Onde está a chave?", "ATENÇÃO: NÃO é seguro criar a permissão aqui.", None), (Q, "You cannot drain a cache twice, since the session seals it.", None),
     (Q + " Please answer in German.", "Il n’y a aucune raison de créer la fenêtre ici, car la clé est dans la mémoire.", "language"), (Q + " Please answer in German.", "It is drained by the session that holds the key to the cache.", None),
     (Q, "It compares the age of both and takes the", "truncated"), (Q, "Like this:\n\n```python\ndef f(:\n    ", "truncated"), (Q, "The steps are:\n1. mark the old cache\n2. with", "truncated"), (Q, "The steps are:\n1. mark the old cache\n2. drain the old cache", None), (Q, "Yes.", None), (Q, "42", None), (Q, "See src/api/load.py:355", None),
 ]
