@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import walks
 from .class_links import simple_name
 from .lenses import FUNCTION_TYPES
 
@@ -44,12 +45,22 @@ def structural_edges(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def called_names(content: Column) -> Column:
+    """The names that stand before an opening parenthesis, each once; a text's own shuffle costs several times theirs."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))
+
+
 def call_edges(chunks: DataFrame) -> DataFrame:
-    """CALLS: names called in a function resolved in its own file, else anywhere in its repository; all matches count, itself doesn't."""
-    functions = chunks.where(F.col("chunk_type").isin(*FUNCTION_TYPES))
-    called = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))
-    sites = functions.select(F.col("chunk_id").alias("src"), "repo_id", "file_id", F.explode(called).alias("name")).where(F.length("name") >= 2)
+    """CALLS: names called in a function resolved in its own file, else anywhere in its repository; all matches count, itself doesn't. chunks
+    has the content or, as `called`, its names."""
+    called = F.col("called") if "called" in chunks.columns else called_names(F.col("content"))
+    functions = cut(chunks.where(F.col("chunk_type").isin(*FUNCTION_TYPES)).select("chunk_id", "repo_id", "file_id", "name", called.alias("called")))
     targets = functions.select("repo_id", "file_id", "name", F.col("chunk_id").alias("dst")).where("name is not null")
+    # Only names of a function of the repository other than the caller are looked for.
+    known = targets.groupBy("repo_id", "name").agg(F.count("*").alias("n"))
+    sites = functions.select(F.col("chunk_id").alias("src"), "repo_id", F.explode("called").alias("site"), F.col("name").alias("own")).where(F.length("site") >= 2).select("src", "repo_id", F.col("site").alias("name"), F.col("own").eqNullSafe(F.col("site")).alias("own"))
+    sites = sites.join(known, ["repo_id", "name"]).where("n > 1 or not own").select("src", "name")
+    sites = cut(sites.join(functions.select(F.col("chunk_id").alias("src"), "repo_id", "file_id"), "src"))
     # Files first: only names that no function of the caller's file has (other than itself) look for one in the repository.
     near = sites.join(targets.select("file_id", "name", "dst"), ["file_id", "name"]).where("src <> dst").select("src", "dst", "repo_id", "name")
     left = sites.join(near.select("src", "name").distinct(), ["src", "name"], "left_anti")
@@ -119,9 +130,15 @@ def trails(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 def shortest_paths(starts: DataFrame, edges: DataFrame, depth: int, typed: bool = False) -> DataFrame:
     """start, id, depth, path: the shortest path to each node; of several, the one with the smallest ids. typed: each node but the first is
-    written with the type of the edge that leads to it (rel_type:id)."""
+    written with the type of the edge that leads to it (rel_type:id). Graphs of up to walks.SENT are walked from each start where it is,
+    larger ones by a join a level, whose paths go through shuffles and written tables."""
     name = F.concat_ws(":", "rel_type", "dst") if typed else F.col("dst")
     links = cut(edges.select("src", "dst", name.alias("name")).distinct())
+    found = walks.shortest(starts, links, depth, typed)
+    return _joined_paths(starts, links, depth) if found is None else found
+
+
+def _joined_paths(starts: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.array("id").alias("path")).distinct())
     front = seen
     for d in range(1, depth + 1):

@@ -16,7 +16,9 @@ def _chunks(spark: SparkSession, sf: str, *more: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(g.call_edges(_chunks(spark, sf, "content")))
+    names = F.when(F.col("chunk_type").isin(*lenses.FUNCTION_TYPES), g.called_names(F.col("content")))
+    raw = table(spark, sf, "code_chunks").select("chunk_id", "repo_id", "file_id", "chunk_type", "name", names.alias("called"), "created_at")
+    return cut(g.call_edges(lenses.latest(raw, "chunk_id", "created_at")))
 
 
 def _functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +63,8 @@ def graph_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf: str, calls: DataFrame) -> DataFrame:
-    return g.degrees(_functions(spark, sf), calls).where("entry").select("id")
+    """Functions that call and aren't called; the ends of calls are functions, so the table isn't read again."""
+    return calls.select(F.col("src").alias("id")).distinct().join(calls.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
 def call_reach(spark: SparkSession, sf: str) -> DataFrame:
