@@ -56,6 +56,11 @@ def test_chain_steps_write_no_paths(spark, folder):
     _agrees(spark, folder, "chain_steps", WIDE * (2 + 3 + 4 * WIDE), WIDE * WIDE // 3)
 
 
+def test_typed_paths_write_no_paths(spark, folder):
+    """Functions, files and classes, each as wide."""
+    _agrees(spark, folder, "typed_paths", 3 * WIDE * (2 + WIDE), WIDE * WIDE)
+
+
 @pytest.mark.parametrize("typed", [False, True])
 def test_both_ways_to_walk_agree(spark, monkeypatch, typed):
     """Cycles, repeated edges, edges of two types, a start outside the graph; batches that end within a start."""
