@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,18 @@ PATHS = "start string, id string, depth int, path array<string>"
 
 class Graph:
     """Nodes and names of edges as numbers. Numbers of names are in the order of the names, and each node's edges (to `ends`, from first[node]
-    on) are in the order of theirs, so that of several paths to a node the smallest is met first."""
+    on) are in the order of theirs, so that of several paths to a node the smallest is met first. texts holds the names and, from `at` on, the
+    sorted ids of the nodes; at is 0 where these are the names."""
 
-    def __init__(self, src: np.ndarray, dst: np.ndarray, name: np.ndarray, ids: pa.Array, names: pa.Array):
+    def __init__(self, src: np.ndarray, dst: np.ndarray, name: np.ndarray, texts: pa.Array, at: int):
         order = np.lexsort((name, src))
-        self.ends, self.name, self.ids, self.names = dst[order], name[order], ids, names
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))])
+        self.ends, self.name, self.texts, self.at = dst[order], name[order], texts, at
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(texts) - at))])
+
+    def number(self, text: str | None) -> int | None:
+        """The node of an id. Found in the sorted ids, which takes no memory."""
+        i = len(self.texts) if text is None else bisect_left(self.texts, text, self.at, key=lambda x: x.as_py())
+        return i - self.at if i < len(self.texts) and self.texts[i].as_py() == text else None
 
     def levels(self, start: int, depth: int, seen: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For 1, 2 ... `depth` steps the nodes first reached with as many, and a row of names for the smallest path to each. seen (all false,
@@ -57,18 +64,18 @@ class Graph:
         kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
         batch = lambda *columns: pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], ["start", "id", "depth", "path"])
         yield batch(starts, starts, pa.array(np.zeros(len(starts), np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32)), starts))
-        texts = pa.concat_arrays([self.names, self.ids])
+        texts, ids = self.texts, self.texts.slice(self.at)
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
             start, rows = np.array([s for s, *_ in held], np.int32), [len(f) for _, f, _ in held]
             steps = np.repeat([p.shape[1] for *_, p in held], rows).astype(np.int32)
-            flat = np.concatenate([np.column_stack([np.full(len(p), len(self.names) + s), p]).ravel() for s, _, p in held])
+            flat = np.concatenate([np.column_stack([np.full(len(p), self.at + s), p]).ravel() for s, _, p in held])
             offsets = np.concatenate([[0], np.cumsum(steps + 1)]).astype(np.int32)
-            return batch(self.ids.take(pa.array(np.repeat(start, rows))), self.ids.take(pa.array(np.concatenate([f for _, f, _ in held]))), pa.array(steps), pa.ListArray.from_arrays(pa.array(offsets), texts.take(pa.array(flat))))
+            return batch(ids.take(pa.array(np.repeat(start, rows))), ids.take(pa.array(np.concatenate([f for _, f, _ in held]))), pa.array(steps), pa.ListArray.from_arrays(pa.array(offsets), texts.take(pa.array(flat))))
 
-        seen, place, size = np.zeros(len(self.ids), bool), np.zeros(len(self.ids), np.int64), 0
-        for start in pc.index_in(starts, self.ids).drop_null().to_pylist():
+        seen, place, size = np.zeros(len(ids), bool), np.zeros(len(ids), np.int32), 0
+        for start in (n for x in starts if (n := self.number(x.as_py())) is not None):
             for front, paths in self.levels(start, depth, seen, place):
                 most = max(1, BATCH // (paths.shape[1] + 1))
                 for i in range(0, len(front), most):
@@ -110,13 +117,14 @@ def shortest(starts: DataFrame, links: DataFrame, depth: int, typed: bool) -> Da
     t = edges.select("src_n", "dst_n", *["name_n"] * typed).toArrow()
     n, rank, ids = _ranks(nodes)
     src, dst = (rank[np.searchsorted(n, t[c].to_numpy())] for c in ("src_n", "dst_n"))
-    name, texts = dst, ids
+    name, texts, at = dst, ids, 0
     if typed:
         n, rank, texts = _ranks(names)
+        texts, at = pa.concat_arrays([texts, ids]), len(texts)
         name = rank[np.searchsorted(n, t["name_n"].to_numpy())]
     spark = links.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(Graph(src, dst, name, ids, texts))
+    sent = spark.sparkContext.broadcast(Graph(src, dst, name, texts, at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
