@@ -124,8 +124,8 @@ def chain_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Every step of the shortest call paths with the one after it."""
     calls = graph._calls(spark, sf)
     paths = code_graph.shortest_paths(graph._entries(spark, sf, calls), calls, 5).where("depth > 0")
-    step = paths.select("start", F.col("id").alias("target"), "path", F.posexplode("path").alias("place", "node"))
-    return step.select("start", "target", "place", "node", F.try_element_at("path", F.col("place") + 2).alias("next"))
+    pairs = F.arrays_zip(F.col("path").alias("node"), F.slice("path", 2, F.size("path")).alias("next"))  # no row carries the whole path
+    return paths.select("start", F.col("id").alias("target"), F.posexplode(pairs).alias("place", "step")).select("start", "target", "place", "step.node", "step.next")
 
 
 def typed_paths(spark: SparkSession, sf: str) -> DataFrame:
